@@ -9,6 +9,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
+from pubweave.functions.text import string_array, string_map
 from pubweave.functions.vocabulary import CATEGORY_LABELS, WEEKDAY_LABELS_RU
 
 # Space, tab and line ends: what trimming means for fields and list items.
@@ -51,8 +52,7 @@ def category_names(
     codes: Column, labels: Mapping[str, str] = CATEGORY_LABELS
 ) -> Column:
     """Replace known category codes by their labels, keep unknown ones."""
-    pairs = [F.lit(part) for pair in labels.items() for part in pair]
-    lookup = F.create_map(*pairs)
+    lookup = string_map(labels)
     names = F.transform(
         list_items(codes),
         lambda code: F.coalesce(F.try_element_at(lookup, code), code),
@@ -95,11 +95,11 @@ def weekday_index(moment: Column) -> Column:
 
 
 def weekday_label(index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAY_LABELS_RU)), index + 1)
+    return F.element_at(string_array(WEEKDAY_LABELS_RU), index + 1)
 
 
 def weekday_label_ru(index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAY_LABELS_RU.values())), index + 1)
+    return F.element_at(string_array(WEEKDAY_LABELS_RU.values()), index + 1)
 
 
 def author_names(authors: Column) -> Column:

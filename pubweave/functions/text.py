@@ -92,21 +92,33 @@ def phrases_found(text: Column, topics: Mapping[str, Iterable[str]]) -> Column:
     beginnings = {
         phrase: [p for p in phrases if phrase.startswith(p + " ")] for phrase in phrases
     }
-    pairs = [
-        part
-        for phrase, shorter in beginnings.items()
-        if shorter
-        for part in (F.lit(phrase), string_array(shorter))
+    depth = max(map(len, beginnings.values()), default=0)
+    lookups = [
+        string_map({p: b[level] for p, b in beginnings.items() if len(b) > level})
+        for level in range(depth)
     ]
-    if not pairs:
-        return longest
-    none = F.array().cast("array<string>")
-    lookup = F.create_map(*pairs)
-    implied = F.transform(
-        longest, lambda phrase: F.coalesce(F.try_element_at(lookup, phrase), none)
+    # The extraction is used once, so it is evaluated once.
+    with_beginnings = F.transform(
+        longest,
+        lambda phrase: F.array(
+            phrase, *[F.try_element_at(lookup, phrase) for lookup in lookups]
+        ),
     )
-    return F.concat(longest, F.flatten(implied))
+    return F.array_compact(F.flatten(with_beginnings))
 
 
 def string_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values])
+    """Constant array; one literal to send, folded by the optimizer."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def string_map(pairs: Mapping[str, str]) -> Column:
+    """Constant map of strings, built like ``string_array``."""
+    text = "\n".join(f"{key}\t{value}" for key, value in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t"))
+
+
+def sql_text(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pubweave.functions.text import phrases_found, string_array
+from pubweave.functions.text import phrases_found, sql_text
 from pubweave.functions.vocabulary import FALLBACK_TAG, TOPIC_KEYWORDS
 from pubweave.schemas import require_columns
 
@@ -24,10 +24,12 @@ _FOUND = "__keywords_found"
 
 def _topic_scores(found: Column, topics: Topics) -> Column:
     """Array of (score, tag), one per topic, in topic order."""
-    table = F.array(*[
-        F.struct(F.lit(tag).alias("tag"), string_array(keywords).alias("keywords"))
+    # Written as SQL so that the whole table is one constant of the plan.
+    rows = ", ".join(
+        f"named_struct('tag', {sql_text(tag)},"
+        f" 'keywords', split({sql_text(','.join(keywords))}, ','))"
         for tag, keywords in topics.items()
-    ])
+    )
 
     def score(keywords: Column) -> Column:
         return F.aggregate(
@@ -37,7 +39,7 @@ def _topic_scores(found: Column, topics: Topics) -> Column:
         )
 
     return F.transform(
-        table,
+        F.expr(f"array({rows})"),
         lambda topic: F.struct(
             score(topic["keywords"]).alias("score"), topic["tag"].alias("tag")
         ),
@@ -57,9 +59,11 @@ def classify_data(df: DataFrame, topics: Topics = TOPIC_KEYWORDS) -> DataFrame:
         lambda top, topic: F.when(topic["score"] > top["score"], topic).otherwise(top),
     )["tag"]
     tag = F.when(F.coalesce(F.size(found), F.lit(0)) > 0, best).otherwise(FALLBACK_TAG)
+    # A one-item explode keeps later filters on the tag above it.  Pushed down,
+    # they would carry the whole classification into the scan a second time.
     return (
         df.withColumn(_FOUND, phrases_found(F.col("abstract"), topics))
-        .withColumn("tag", tag)
+        .withColumn("tag", F.explode(F.array(tag)))
         .drop(_FOUND)
     )
 

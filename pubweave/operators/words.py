@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pubweave.functions.text import COUNTABLE_WORD, words
+from pubweave.functions.text import COUNTABLE_WORD, sql_text, words
 from pubweave.functions.vocabulary import (
     ABSTRACT_STOPWORDS,
     BY_TAG_STOPWORDS,
@@ -38,7 +38,7 @@ def drop_stopwords(rows: DataFrame, *lists: Iterable[str]) -> DataFrame:
     are looked up inside generated code, which beats a join per occurrence.
     """
     stop = sorted({word for words_ in lists for word in words_})
-    return rows.filter(~F.col("word").isin(stop))
+    return rows.filter(f"word NOT IN ({', '.join(map(sql_text, stop))})")
 
 
 def most_frequent(counts: DataFrame, n: int, key: str = "word") -> DataFrame:

@@ -51,7 +51,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.incoming_papers(spark, sf_dir, _staged(spark, sf_dir))
+    turns = sample.conversation_turns(spark, sf_dir)
+    return sample.incoming_papers(_staged(spark, sf_dir), turns)
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +101,7 @@ def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources in one relation, nothing merged."""
-    turns = sample.read_table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"),
-        F.col("role").alias("title"),
-        F.col("text").alias("abstract"),
-    )
+    turns = sample.conversation_turns(spark, sf_dir).drop("turn")
     pages = sample.web_pages(spark, sf_dir).withColumnRenamed("paper_id", "id")
     papers = sample.raw_papers(spark, sf_dir).select("id", "title", "abstract")
     return sample.union_all(papers, pages, turns)

@@ -8,23 +8,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from pubweave.functions.text import string_array
 from pubweave.functions.vocabulary import TOPIC_KEYWORDS, distinct_keywords
 from pubweave.sources import files
 
-KEYWORDS = distinct_keywords(TOPIC_KEYWORDS)
-FIRST_DAY = "2018-01-01"
-DAY_SPAN = 3600
-#: Texts shorter than this count as a missing abstract.
-SHORT_TEXT = 40
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+              " value double, props string",
+}
+
 #: Spark's default size of an input split.
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,76 +42,52 @@ def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table.repartition(spark.sparkContext.defaultParallelism)
 
 
-def _text(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast("string")
-
-
-def _joined(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-
-def _keyword(number: Column) -> Column:
-    index = (number % len(KEYWORDS) + 1).cast("int")
-    return F.element_at(string_array(KEYWORDS), index)
+_KEYWORDS = distinct_keywords(TOPIC_KEYWORDS)
 
 
-def _two_digits(number: Column) -> Column:
-    return F.lpad(_text(F.floor(number)), 2, "0")
+def _keyword(number: str) -> str:
+    words = ",".join(_KEYWORDS)
+    return f"element_at(split('{words}', ','), cast({number} % {len(_KEYWORDS)} + 1 as int))"
 
 
-def _moment_text(number: Column, days: int, seconds: Column, separator: str, end: str):
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (number * 7919 % DAY_SPAN).cast("int") + days)
-    clock = F.concat_ws(
-        ":",
-        _two_digits(seconds / 3600),
-        _two_digits(seconds % 3600 / 60),
-        _two_digits(seconds % 60),
+def _moment(days: int) -> str:
+    """ISO text of a day and second that depend on doc_id; German papers use
+    the second accepted format."""
+    day = f"date_add(date'2018-01-01', cast(doc_id * 7919 % 3600 + {days} as int))"
+    seconds = "(doc_id * 37 % 86400)"
+    clock = (
+        f"concat_ws(':', lpad({seconds} div 3600, 2, '0'),"
+        f" lpad({seconds} % 3600 div 60, 2, '0'), lpad({seconds} % 60, 2, '0'))"
+    )
+    return (
+        f"if(lang = 'de', {day} || ' ' || {clock} || '.5', {day} || 'T' || {clock} || 'Z')"
     )
-    return _joined(_text(day), separator, clock, end)
 
 
 def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` in the raw layout, plus ``lang`` and ``n_chars``.
 
-    Two keywords are appended to every abstract that is not Spanish.
+    Texts under 40 characters count as a missing abstract; two keywords are
+    appended to every other text that is not Spanish.
     """
-    number, seconds = F.col("doc_id"), F.col("doc_id") * 37 % 86400
-    paper_id = _joined("d", _text("doc_id"))
-    appended = _joined(
-        F.col("text"), " ", _keyword(number), ". ", _keyword(number * 7)
-    )
-    german = F.col("lang") == "de"
-
-    def moment(days: int) -> Column:
-        return F.when(german, _moment_text(number, days, seconds, " ", ".5")).otherwise(
-            _moment_text(number, days, seconds, "T", "Z")
-        )
-
-    return read_texts(spark, sf_dir, "documents").select(
-        paper_id.alias("id"),
-        _joined(
-            "http://example.org/abs/", paper_id, "v", _text(number % 12 + 1)
-        ).alias("link"),
-        _joined("On ", _keyword(number * 5), " in ", F.col("source")).alias("title"),
-        F.concat_ws(
-            "; ",
-            _joined("Author ", _text(number % 37)),
-            F.when(number % 3 > 0, _joined("Author ", _text(number % 11))),
-            F.when(number % 5 == 0, F.lit(" ")),
-            F.when(number % 8 == 1, F.lit("Müller, Jr.")),
-        ).alias("authors"),
-        F.when(F.col("n_chars") < SHORT_TEXT, None)
-        .when(F.col("lang") == "es", F.col("text"))
-        .otherwise(appended)
-        .alias("abstract"),
-        F.when(number % 4 == 0, "cs.CR; cs.LG")
-        .when(number % 4 == 1, "cs.CE")
-        .when(number % 4 == 2, "zz.ZZ;; cs.NI ")
-        .when(number % 3 == 0, None)
-        .otherwise("")
-        .alias("categories"),
-        moment(0).alias("published_date"),
-        F.when(number % 7 != 0, moment(3)).alias("updated_date"),
+    return read_texts(spark, sf_dir, "documents").selectExpr(
+        "'d' || doc_id as id",
+        "'http://example.org/abs/d' || doc_id || 'v' || (doc_id % 12 + 1) as link",
+        f"'On ' || {_keyword('doc_id * 5')} || ' in ' || source as title",
+        """concat_ws('; ', 'Author ' || (doc_id % 37),
+                     if(doc_id % 3 > 0, 'Author ' || (doc_id % 11), null),
+                     if(doc_id % 5 = 0, ' ', null),
+                     if(doc_id % 8 = 1, 'Müller, Jr.', null)) as authors""",
+        f"""case when n_chars < 40 then null
+                 when lang = 'es' then text
+                 else text || ' ' || {_keyword('doc_id')} || '. '
+                      || {_keyword('doc_id * 7')} end as abstract""",
+        """case when doc_id % 4 = 0 then 'cs.CR; cs.LG'
+                when doc_id % 4 = 1 then 'cs.CE'
+                when doc_id % 4 = 2 then 'zz.ZZ;; cs.NI '
+                when doc_id % 3 = 0 then null else '' end as categories""",
+        f"{_moment(0)} as published_date",
+        f"if(doc_id % 7 <> 0, {_moment(3)}, null) as updated_date",
         "lang",
         "n_chars",
     )
@@ -117,80 +95,68 @@ def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as papers whose abstract is the raw HTML."""
-    return read_texts(spark, sf_dir, "pages").select(
-        _joined("p", _text("page_id")).alias("paper_id"),
-        F.col("url").alias("title"),
-        F.col("html").alias("abstract"),
+    return read_texts(spark, sf_dir, "pages").selectExpr(
+        "'p' || page_id as paper_id", "url as title", "html as abstract"
     )
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as publications: sub-day dates, users as authors."""
-    user = F.col("user_id")
-    return read_table(spark, sf_dir, "events").select(
-        _joined("e", _text("event_id")).alias("paper_id"),
-        _joined("User ", _text(user), ", ", " Team ", _text(user % 10), " ").alias("authors"),
-        F.col("ts").alias("published_date"),
-        F.col("event_type").alias("tag"),
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "'e' || event_id as paper_id",
+        "'User ' || user_id || ',  Team ' || (user_id % 10) || ' ' as authors",
+        "ts as published_date",
+        "event_type as tag",
+    )
+
+
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as raw papers: one row per turn, so many rows per id."""
+    return read_table(spark, sf_dir, "conversations").selectExpr(
+        "'c' || conv_id as id", "role as title", "text as abstract", "turn"
     )
 
 
 def stored_publications(papers: DataFrame, pages: DataFrame) -> DataFrame:
     """A publications table: staged ``papers`` and undated ``pages``."""
-    stored_papers = papers.select(
+    ingested = "timestamp_ntz'2024-01-01 00:00:00' as ingested_at"
+    stored_papers = papers.selectExpr(
         "paper_id", "link", "title", "authors", "abstract", "categories",
-        "published_date", "updated_date",
-        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ingested_at"),
-        "tag",
-        F.length("abstract").cast("double").alias("umap_x"),
-        F.lit(None).cast("double").alias("umap_y"),
+        "published_date", "updated_date", ingested, "tag",
+        "cast(length(abstract) as double) as umap_x",
+        "cast(null as double) as umap_y",
     )
-    no_date = F.lit(None).cast("timestamp_ntz")
-    stored_pages = pages.select(
-        "paper_id", F.col("title").alias("link"), "title",
-        F.lit("").alias("authors"), "abstract", F.lit("").alias("categories"),
-        no_date.alias("published_date"), no_date.alias("updated_date"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ingested_at"),
-        F.lit("web").alias("tag"),
-        F.lit(None).cast("double").alias("umap_x"),
-        F.lit(None).cast("double").alias("umap_y"),
+    stored_pages = pages.selectExpr(
+        "paper_id", "title as link", "title", "'' as authors", "abstract",
+        "'' as categories", "cast(null as timestamp_ntz) as published_date",
+        "cast(null as timestamp_ntz) as updated_date", ingested, "'web' as tag",
+        "cast(null as double) as umap_x", "cast(null as double) as umap_y",
     )
     return stored_papers.unionByName(stored_pages)
 
 
-def incoming_papers(spark: SparkSession, sf_dir: str, staged: DataFrame) -> DataFrame:
+def incoming_papers(staged: DataFrame, turns: DataFrame) -> DataFrame:
     """A staged batch: every stored document again, a day earlier, the same day
     or a day later, and one paper per conversation turn, with many turns to a
     paper and no key for system turns."""
-    shift = F.length("title") % 3 - 1
-    again = staged.select(
-        "paper_id",
-        _joined(F.col("link"), "#again").alias("link"),
-        "title", "authors", "abstract", "categories", "published_date",
-        F.when(
-            F.length("title") % 10 > 0,
-            F.col("updated_date") + F.make_dt_interval(days=shift),
-        ).alias("updated_date"),
-        F.when(F.length("link") % 4 == 0, "")
-        .when(F.length("link") % 4 == 1, "  ")
-        .when(F.length("link") % 4 == 2, " X ")
-        .alias("tag"),
+    again = staged.selectExpr(
+        "paper_id", "link || '#again' as link", "title", "authors", "abstract",
+        "categories", "published_date",
+        """if(length(title) % 10 > 0,
+              updated_date + make_dt_interval(length(title) % 3 - 1), null)
+           as updated_date""",
+        """case length(link) % 4 when 0 then '' when 1 then '  ' when 2 then ' X '
+           end as tag""",
     )
-    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    turns = read_table(spark, sf_dir, "conversations").select(
-        F.when(F.col("role") == "system", None)
-        .otherwise(_joined("c", _text("conv_id")))
-        .alias("paper_id"),
-        _joined("turn ", _text("turn")).alias("link"),
-        F.col("role").alias("title"),
-        F.lit("").alias("authors"),
-        F.col("text").alias("abstract"),
-        F.lit("").alias("categories"),
-        base.alias("published_date"),
-        (base + F.make_dt_interval(hours=F.col("turn").cast("int"))).alias("updated_date"),
-        F.lit(" q ").alias("tag"),
+    start = "timestamp_ntz'2024-01-01 00:00:00'"
+    new = turns.selectExpr(
+        "if(title = 'system', null, id) as paper_id", "'turn ' || turn as link",
+        "title", "'' as authors", "abstract", "'' as categories",
+        f"{start} as published_date",
+        f"{start} + make_dt_interval(0, cast(turn as int)) as updated_date",
+        "' q ' as tag",
     )
-    return again.unionByName(turns)
+    return again.unionByName(new)
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -41,20 +41,27 @@ def clean_text(text: Column, stopwords: Iterable[str] = CLEANER_STOPWORDS) -> Co
     def drop_words(column: Column, pattern: str) -> Column:
         return F.regexp_replace(column, f"(?<![{ALNUM}])(?:{pattern})(?![{ALNUM}])", "")
 
-    kept = F.regexp_replace(strip_tags(F.lower(text)), f"[^{ALNUM}{SPACE}-]", "")
-    kept = drop_words(kept, f"[{ALNUM}]")
-    kept = drop_words(kept, r"\p{Nd}+")
+    kept = F.regexp_replace(strip_tags(F.lower(text)), f"[^{ALNUM}{SPACE}-]+", "")
+    kept = drop_words(kept, rf"[{ALNUM}]|\p{{Nd}}+")
     squished = F.btrim(F.regexp_replace(kept, f"[{SPACE}]+", " "))
-    return drop_words(squished, "|".join(dict.fromkeys(stopwords)))
+    starts, any_stopword = _alternatives(stopwords)
+    return drop_words(squished, f"(?=[{starts}]){any_stopword}")
 
 
 def phrase_pattern(phrases: Iterable[str]) -> str:
     """A regular expression whose group 1 is the longest phrase starting at a
     word start and ending at a word end.
 
-    Common beginnings are shared, so the cost per position does not grow with
-    the number of phrases; the match itself is empty, so phrases may overlap.
+    The cost per position hardly grows with the number of phrases; the match
+    itself is empty, so phrases may overlap.
     """
+    starts, any_phrase = _alternatives(phrases)
+    return f"(?=[{starts}])(?<![{WORD}])(?=({any_phrase})(?![{WORD}]))"
+
+
+def _alternatives(phrases: Iterable[str]) -> tuple[str, str]:
+    """First characters of the phrases, and a pattern that tries the longest
+    first and shares common beginnings."""
     branches: dict = {}
     for phrase in phrases:
         node = branches
@@ -71,8 +78,7 @@ def phrase_pattern(phrases: Iterable[str]) -> str:
         body = options[0] if len(options) == 1 else f"(?:{'|'.join(options)})"
         return f"(?:{body})?" if "" in node else body
 
-    starts = "".join(_escaped(char) for char in branches)
-    return f"(?=[{starts}])(?<![{WORD}])(?=({render(branches)})(?![{WORD}]))"
+    return "".join(_escaped(char) for char in branches), render(branches)
 
 
 def _escaped(char: str) -> str:

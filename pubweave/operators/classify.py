@@ -82,11 +82,15 @@ def keyword_scores(
 ) -> DataFrame:
     """One row (key, tag, score) per paper and topic with a positive score."""
     require_columns(df, [key, "abstract"])
-    scored = (
+    found = F.col(_FOUND)
+    positive = F.filter(
+        _topic_scores(found, topics), lambda topic: topic["score"] > F.lit(0.0)
+    )
+    # Filtered inside the row: filters on rows would be pushed down and repeat
+    # the extraction.
+    topic = F.explode(F.when(F.size(found) > 0, positive)).alias("topic")
+    return (
         df.select(key, phrases_found(F.col("abstract"), topics).alias(_FOUND))
-        .filter(F.size(_FOUND) > 0)
-        .select(key, F.explode(_topic_scores(F.col(_FOUND), topics)).alias("topic"))
+        .select(key, topic)
+        .select(key, "topic.tag", "topic.score")
     )
-    return scored.select(
-        key, F.col("topic.tag").alias("tag"), F.col("topic.score").alias("score")
-    ).filter(F.col("score") > 0)

@@ -45,14 +45,16 @@ def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.stored_publications(
-        _staged(spark, sf_dir), sample.web_pages(spark, sf_dir)
-    )
+    return _store_and_batch(spark, sf_dir)[0]
 
 
-def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = sample.conversation_turns(spark, sf_dir)
-    return sample.incoming_papers(_staged(spark, sf_dir), turns)
+def _store_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A publications table and a staged batch to merge into it."""
+    staged = _staged(spark, sf_dir)
+    return (
+        sample.stored_publications(staged, sample.web_pages(spark, sf_dir)),
+        sample.incoming_papers(staged, sample.conversation_turns(spark, sf_dir)),
+    )
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,29 +328,30 @@ def abstracts_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def newest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.newest_per_key(_incoming(spark, sf_dir))
+    return upsert.newest_per_key(_store_and_batch(spark, sf_dir)[1])
 
 
 @_query
 def new_papers_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = upsert.new_papers_only(_incoming(spark, sf_dir), _stored(spark, sf_dir))
+    stored, batch = _store_and_batch(spark, sf_dir)
+    found = upsert.new_papers_only(batch, stored)
     return found.select("paper_id", "link", "updated_date")
 
 
 @_query
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = upsert.merge_publications(_stored(spark, sf_dir), _incoming(spark, sf_dir))
-    return merged.drop("ingested_at")
+    return upsert.merge_publications(*_store_and_batch(spark, sf_dir)).drop("ingested_at")
 
 
 @_query
 def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the inserted and updated rows, as the store writes them."""
-    batch = upsert.newest_per_key(_incoming(spark, sf_dir))
-    changes = upsert.decide_changes(_stored(spark, sf_dir), batch)
+    stored, batch = _store_and_batch(spark, sf_dir)
+    changes = upsert.decide_changes(stored, upsert.newest_per_key(batch))
     return changes.drop("ingested_at")
 
 
 @_query
 def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.count_actions(_incoming(spark, sf_dir), _stored(spark, sf_dir))
+    stored, batch = _store_and_batch(spark, sf_dir)
+    return upsert.count_actions(batch, stored)

@@ -161,102 +161,128 @@ def save_publications(
 ) -> dict[str, Any]:
     """Merge classified papers into the store; returns what was done.
 
-    ``papers`` is computed once, into an intermediate table; so are the
-    decisions.  Later steps read them back from files, so a lost executor costs
-    a re-read, and no count depends on task retries.
+    ``papers`` is computed once, into an intermediate table, and the decisions
+    are written once, as the new data.  Later steps read them back from files,
+    so a lost executor costs a re-read, and no count depends on task retries.
     """
     spark = papers.sparkSession
     store = store_path(spark, path)
     staged = stage_publications(papers, strict)
     scratch = f"{files.scratch_root(spark, store)}/staging-{uuid.uuid4().hex}"
     try:
-        newest_per_key(staged).write.parquet(f"{scratch}/batch")
-        batch = spark.read.schema(BATCH_SCHEMA).parquet(f"{scratch}/batch")
-        size = batch.agg(
+        newest_per_key(staged).write.parquet(scratch)
+        batch = spark.read.schema(BATCH_SCHEMA).parquet(scratch)
+        total = batch.agg(
             F.count(F.lit(1)).alias("keys"),
             F.coalesce(F.sum("copies"), F.lit(0)).alias("papers"),
         ).first()
         inserted = updated = 0
-        if size["keys"]:
+        if total["keys"]:
             version = init_store(spark, store, buckets)
-            changes = f"{scratch}/changes"
-            _decide(spark, store, version, batch, size["keys"]).write.parquet(changes)
+            size = files.size_bytes(spark, scratch)
+            changes = _decide(spark, store, version, batch, total["keys"], size)
             inserted, updated = _apply(spark, store, version, changes)
     finally:
         files.delete(spark, scratch)
     return {
         "inserted": inserted,
         "updated": updated,
-        "skipped": size["papers"] - inserted - updated,
+        "skipped": total["papers"] - inserted - updated,
         "path": store,
     }
 
 
 def _decide(
-    spark: SparkSession, store: str, version: Version, batch: DataFrame, keys: int
+    spark: SparkSession,
+    store: str,
+    version: Version,
+    batch: DataFrame,
+    keys: int,
+    size: int,
 ) -> DataFrame:
+    """Changed publications, with their buckets, a bucket's rows in few tasks."""
     known = read_publications(spark, store, version=version).select(*DECISION_COLUMNS)
     if keys <= BROADCAST_KEYS:
         # A small batch visits the stored keys instead of having them shuffled.
         wanted = F.broadcast(valid_keys(batch).select("paper_id"))
         known = known.join(wanted, "paper_id", "left_semi")
-    bucket = F.pmod(F.hash("paper_id"), F.lit(version.buckets))
-    return decide_changes(known, batch).withColumn("bucket", bucket)
+        changes = _with_bucket(decide_changes(known, batch), version)
+        tasks = min(version.buckets, ceil(size / TASK_BYTES))
+        return changes.repartition(max(1, tasks), "bucket")
+    tasks = _whole_bucket_tasks(version, size)
+    known = known.repartition(tasks, "paper_id")
+    batch = batch.repartition(tasks, "paper_id")
+    return _with_bucket(decide_changes(known, batch), version)
 
 
 def _apply(
-    spark: SparkSession, store: str, version: Version, changes_path: str
+    spark: SparkSession, store: str, version: Version, changes: DataFrame
 ) -> tuple[int, int]:
-    changes = spark.read.parquet(changes_path)
-    # One row per bucket, so its size does not depend on the batch.
-    per_bucket = changes.groupBy("bucket").agg(
-        F.count_if(F.col("action") == INSERT).alias("inserted"),
-        F.count_if(F.col("action") == UPDATE).alias("updated"),
-    ).collect()
-    if not per_bucket:
-        return 0, 0
-    inserted = sum(row["inserted"] for row in per_bucket)
-    updated = sum(row["updated"] for row in per_bucket)
-    rewritten = {
-        row["bucket"]
-        for row in per_bucket
-        if row["updated"] or len(version.folders.get(row["bucket"], [])) >= MAX_FOLDERS
-    }
-
-    columns = [*PUBLICATIONS_SCHEMA.names, "bucket"]
-    content = _spread(
-        changes.select(*columns), version, files.size_bytes(spark, changes_path)
-    )
-    if rewritten:
-        kept = _unchanged(spark, store, version, rewritten, changes, updated)
-        content = content.unionByName(kept)
+    """Write the changes and what they leave of their buckets; publish both."""
     folder = f"{version.number + 1}-{uuid.uuid4().hex[:12]}"
-    target = f"{store}/data/{folder}"
-    content.write.partitionBy("bucket").parquet(target)
-
-    folders = {bucket: list(names) for bucket, names in version.folders.items()}
-    for bucket in (row["bucket"] for row in per_bucket):
-        earlier = [] if bucket in rewritten else folders.get(bucket, [])
-        folders[bucket] = [*earlier, folder]
-    following = Version(version.number + 1, version.buckets, folders)
-    if not following.publish(spark, store):
+    rest = f"{folder}-rest"
+    target, rest_target = f"{store}/data/{folder}", f"{store}/data/{rest}"
+    try:
+        changes.write.partitionBy("bucket").parquet(target)
+        written = _bucket_numbers(spark, target)
+        if not written:
+            files.delete(spark, target)
+            return 0, 0
+        # One row per bucket, so its size does not depend on the batch.
+        done = spark.read.parquet(target).groupBy("bucket").agg(
+            F.count_if(F.col("action") == INSERT).alias("inserted"),
+            F.count_if(F.col("action") == UPDATE).alias("updated"),
+        ).collect()
+        inserted = sum(row["inserted"] for row in done)
+        updated = sum(row["updated"] for row in done)
+        rewritten = {row["bucket"] for row in done if row["updated"]} | {
+            bucket
+            for bucket in written
+            if len(version.folders.get(bucket, [])) >= MAX_FOLDERS
+        }
+        if rewritten:
+            replaced = spark.read.parquet(target).filter(F.col("action") == UPDATE)
+            _unchanged(
+                spark, store, version, rewritten, replaced.select("paper_id"), updated
+            ).write.partitionBy("bucket").parquet(rest_target)
+        left_over = _bucket_numbers(spark, rest_target) if rewritten else set()
+
+        folders = {bucket: list(names) for bucket, names in version.folders.items()}
+        for bucket in written:
+            if bucket in rewritten:
+                folders[bucket] = [rest] if bucket in left_over else []
+            folders.setdefault(bucket, []).append(folder)
+        following = Version(version.number + 1, version.buckets, folders)
+        if not following.publish(spark, store):
+            raise RuntimeError(f"Another save to '{store}' finished first; save again")
+    except BaseException:
         files.delete(spark, target)
-        raise RuntimeError(f"Another save to '{store}' finished first; save again")
+        files.delete(spark, rest_target)
+        raise
     _forget_old_versions(spark, store)
     return inserted, updated
 
 
+def _bucket_numbers(spark: SparkSession, path: str) -> set[int]:
+    names = files.list_names(spark, path)
+    return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
+
+
+def _with_bucket(rows: DataFrame, version: Version) -> DataFrame:
+    bucket = F.pmod(F.hash("paper_id"), F.lit(version.buckets))
+    return rows.withColumn("bucket", bucket)
+
+
 def _unchanged(
     spark: SparkSession,
     store: str,
     version: Version,
     buckets: set[int],
-    changes: DataFrame,
+    replaced: DataFrame,
     updated: int,
 ) -> DataFrame:
     """Rows of the buckets to rewrite that no change replaces."""
     stored = read_publications(spark, store, buckets, version)
-    replaced = changes.filter(F.col("action") == UPDATE).select("paper_id")
     if updated <= BROADCAST_KEYS:
         replaced = F.broadcast(replaced)
     else:
@@ -264,8 +290,7 @@ def _unchanged(
         tasks = _whole_bucket_tasks(version, size)
         stored = stored.repartition(tasks, "paper_id")
         replaced = replaced.repartition(tasks, "paper_id")
-    bucket = F.pmod(F.hash("paper_id"), F.lit(version.buckets))
-    return stored.join(replaced, "paper_id", "left_anti").withColumn("bucket", bucket)
+    return _with_bucket(stored.join(replaced, "paper_id", "left_anti"), version)
 
 
 def _whole_bucket_tasks(version: Version, size: int) -> int:
@@ -277,14 +302,6 @@ def _whole_bucket_tasks(version: Version, size: int) -> int:
     return version.buckets * max(1, ceil(size / (version.buckets * TASK_BYTES)))
 
 
-def _spread(rows: DataFrame, version: Version, size: int) -> DataFrame:
-    """Bring the rows of a bucket together, to write few files."""
-    tasks = max(1, ceil(size / TASK_BYTES))
-    if tasks <= version.buckets:
-        return rows.repartition(tasks, "bucket")
-    return rows.repartition(_whole_bucket_tasks(version, size), "paper_id")
-
-
 def _forget_old_versions(spark: SparkSession, store: str) -> None:
     """Delete versions beyond the kept ones and data only they refer to."""
     numbers = _version_numbers(spark, store)

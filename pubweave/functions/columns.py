@@ -120,6 +120,8 @@ def between_years(moment: Column, first: int, last: int, is_text: bool) -> Colum
     ISO text orders like the dates it spells, so text columns get a string
     range and typed columns a timestamp range; both are pushed to Parquet.
     """
+    if not 0 < first <= last < 9999:
+        return F.lit(False)
     if is_text:
         return (moment >= f"{first:04d}") & (moment < f"{last + 1:04d}")
     start, stop = (

@@ -44,24 +44,25 @@ def clean_text(text: Column, stopwords: Iterable[str] = CLEANER_STOPWORDS) -> Co
     kept = F.regexp_replace(strip_tags(F.lower(text)), f"[^{ALNUM}{SPACE}-]+", "")
     kept = drop_words(kept, rf"[{ALNUM}]|\p{{Nd}}+")
     squished = F.btrim(F.regexp_replace(kept, f"[{SPACE}]+", " "))
-    starts, any_stopword = _alternatives(stopwords)
-    return drop_words(squished, f"(?=[{starts}]){any_stopword}")
+    return drop_words(squished, _any_of(stopwords))
 
 
 def phrase_pattern(phrases: Iterable[str]) -> str:
     """A regular expression whose group 1 is the longest phrase starting at a
     word start and ending at a word end.
 
-    The cost per position hardly grows with the number of phrases; the match
-    itself is empty, so phrases may overlap.
+    The cost per word hardly grows with the number of phrases; the match itself
+    is empty, so phrases may overlap.
     """
-    starts, any_phrase = _alternatives(phrases)
-    return f"(?=[{starts}])(?<![{WORD}])(?=({any_phrase})(?![{WORD}]))"
+    return f"(?<![{WORD}])(?=({_any_of(phrases)})(?![{WORD}]))"
 
 
-def _alternatives(phrases: Iterable[str]) -> tuple[str, str]:
-    """First characters of the phrases, and a pattern that tries the longest
-    first and shares common beginnings."""
+def _any_of(phrases: Iterable[str], group: int = 6) -> str:
+    """A pattern for any of the phrases that prefers longer ones.
+
+    Common beginnings are shared, and first characters are tested a group at a
+    time, so most positions are dismissed after a few comparisons.
+    """
     branches: dict = {}
     for phrase in phrases:
         node = branches
@@ -78,7 +79,13 @@ def _alternatives(phrases: Iterable[str]) -> tuple[str, str]:
         body = options[0] if len(options) == 1 else f"(?:{'|'.join(options)})"
         return f"(?:{body})?" if "" in node else body
 
-    return "".join(_escaped(char) for char in branches), render(branches)
+    starts = sorted(branches)
+    groups = [starts[i : i + group] for i in range(0, len(starts), group)]
+    return "|".join(
+        f"(?=[{''.join(map(_escaped, chars))}])"
+        + render({char: branches[char] for char in chars})
+        for chars in groups
+    )
 
 
 def _escaped(char: str) -> str:

@@ -52,6 +52,11 @@ def by_tag_order(topic_words: DataFrame) -> DataFrame:
     return topic_words.orderBy("tag", "rank")
 
 
+def by_count_order(table: DataFrame) -> DataFrame:
+    """Rows in the order a bar chart shows them, smallest count first."""
+    return table.orderBy("n")
+
+
 def write_marts(pubs: DataFrame, directory: str) -> dict[str, str]:
     """Write every report table as Parquet; returns their paths."""
     spark: SparkSession = pubs.sparkSession

@@ -308,7 +308,9 @@ author_rows AS (
   SELECT paper_id, trim(unnest(string_split_regex(authors, ',\\s*'))) AS authors
   FROM {0} WHERE authors IS NOT NULL
 )"""
-    by_author = "SELECT authors, count(*) AS n FROM author_rows GROUP BY authors ORDER BY n DESC, authors LIMIT 10"
+    by_author = """
+SELECT authors, count(*) AS n FROM author_rows
+GROUP BY authors ORDER BY n DESC, authors LIMIT 10"""
     n_authors = "CAST(length(authors) - length(replace(authors, ',', '')) + 1 AS INTEGER)"
     return {
         "atom_entries": f"""{_with(RAW)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -23,8 +25,11 @@ def size_bytes(spark: SparkSession, path: str) -> int:
 
 
 def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
     fs, jpath = _locate(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    if not fs.exists(jpath):
+        return []
+    return [status.getPath().getName() for status in fs.listStatus(jpath)]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -44,17 +49,17 @@ def read_text(spark: SparkSession, path: str) -> str:
 def publish_text(spark: SparkSession, path: str, text: str) -> bool:
     """Make ``path`` appear at once with ``text``; False if it already exists."""
     fs, jpath = _locate(spark, path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    draft = hadoop.Path(jpath.getParent(), f".{jpath.getName()}.{spark._jvm.java.util.UUID.randomUUID()}")
+    draft_name = f".{jpath.getName()}.{uuid.uuid4().hex}"
+    draft = spark._jvm.org.apache.hadoop.fs.Path(jpath.getParent(), draft_name)
     stream = fs.create(draft, False)
     try:
         stream.write(bytearray(text, "utf-8"))
     finally:
         stream.close()
-    if fs.exists(jpath):
-        fs.delete(draft, False)
-        return False
-    return fs.rename(draft, jpath)
+    if not fs.exists(jpath) and fs.rename(draft, jpath):
+        return True
+    fs.delete(draft, False)
+    return False
 
 
 def scratch_root(spark: SparkSession, fallback: str) -> str:

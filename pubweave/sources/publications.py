@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from math import ceil
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubweave.operators.search import filter_publications, latest_publications
 from pubweave.operators.upsert import (

@@ -59,6 +59,8 @@ def test_search_year_on_text_and_typed_dates(papers, pubs):
     assert ids(search_papers(papers, year=2024)) == ["1", "4"]
     assert ids(search_papers(papers, "malware", 2024)) == ["1"]
     assert ids(search_papers(pubs, year=2024)) == ["a", "b", "e"]
+    for impossible in (-1, 0, 12345):
+        assert search_papers(pubs, year=impossible).count() == 0
 
 
 def test_category_filter_matches_labels(pubs):

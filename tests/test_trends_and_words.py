@@ -4,7 +4,7 @@ import pytest
 from conftest import plan_of
 
 from pubweave.operators import trends, words
-from pubweave.plans.marts import build_marts, write_marts
+from pubweave.plans.marts import by_count_order, build_marts, write_marts
 
 SCHEMA = (
     "paper_id string, authors string, abstract string,"
@@ -117,3 +117,9 @@ def test_marts(spark, pubs, tmp_path):
         assert sorted(map(str, rows(spark.read.parquet(paths[name])))) == sorted(
             map(str, rows(table))
         )
+
+
+def test_chart_orders(pubs):
+    marts = build_marts(pubs)
+    assert [r.n for r in by_count_order(marts["top_authors"]).collect()] == [1, 1, 2, 3]
+    assert [(r.tag, r.rank) for r in marts["topic_words"].collect()][:2] == [("x", 1), ("x", 2)]

@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table of long texts, spread over the cores if it is tiny.
 
     A sample file has a single row group, so one task would read and process
@@ -39,7 +39,7 @@ def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = read_table(spark, sf_dir, name)
     if files.size_bytes(spark, f"{sf_dir}/{name}.parquet") > SPLIT_BYTES:
         return table
-    return table.repartition(spark.sparkContext.defaultParallelism)
+    return table.repartition(2 * spark.sparkContext.defaultParallelism, key)
 
 
 _KEYWORDS = distinct_keywords(TOPIC_KEYWORDS)
@@ -70,7 +70,7 @@ def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     Texts under 40 characters count as a missing abstract; two keywords are
     appended to every other text that is not Spanish.
     """
-    return read_texts(spark, sf_dir, "documents").selectExpr(
+    return read_texts(spark, sf_dir, "documents", "doc_id").selectExpr(
         "'d' || doc_id as id",
         "'http://example.org/abs/d' || doc_id || 'v' || (doc_id % 12 + 1) as link",
         f"'On ' || {_keyword('doc_id * 5')} || ' in ' || source as title",
@@ -95,7 +95,7 @@ def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as papers whose abstract is the raw HTML."""
-    return read_texts(spark, sf_dir, "pages").selectExpr(
+    return read_texts(spark, sf_dir, "pages", "page_id").selectExpr(
         "'p' || page_id as paper_id", "url as title", "html as abstract"
     )
 

@@ -19,6 +19,7 @@ from pubweave.operators.words import (
     top_words_by_tag_from_counts,
     top_words_from_counts,
 )
+from pubweave.sources.files import overwrite_parquet
 
 WORD_COUNTS = "word_counts"
 
@@ -61,9 +62,9 @@ def write_marts(pubs: DataFrame, directory: str) -> dict[str, str]:
     """Write every report table as Parquet; returns their paths."""
     spark: SparkSession = pubs.sparkSession
     paths = {WORD_COUNTS: f"{directory}/{WORD_COUNTS}"}
-    count_words_by_tag(pubs).write.mode("overwrite").parquet(paths[WORD_COUNTS])
+    overwrite_parquet(count_words_by_tag(pubs), paths[WORD_COUNTS])
     counts = spark.read.parquet(paths[WORD_COUNTS])
     for name, table in build_marts(pubs, counts).items():
         paths[name] = f"{directory}/{name}"
-        table.write.mode("overwrite").parquet(paths[name])
+        overwrite_parquet(table, paths[name])
     return paths

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -62,6 +62,25 @@ def publish_text(spark: SparkSession, path: str, text: str) -> bool:
     return False
 
 
+def overwrite_parquet(df: DataFrame, path: str) -> None:
+    """Replace the table at ``path``, also if ``df`` reads from it.
+
+    The old table stays until the new one is written in full.
+    """
+    spark = df.sparkSession
+    draft = f"{path}.writing-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(draft)
+        delete(spark, path)
+        fs, jpath = _locate(spark, path)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), jpath):
+            raise OSError(f"Cannot move {draft} to {path}")
+    except BaseException:
+        if exists(spark, path):
+            delete(spark, draft)
+        raise
+
+
 def scratch_root(spark: SparkSession, fallback: str) -> str:
     """Shared folder for intermediate tables: the cluster's checkpoint folder
     if it names one, else ``fallback``."""

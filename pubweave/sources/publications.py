@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from math import ceil
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pubweave.operators.search import filter_publications, latest_publications
 from pubweave.operators.upsert import (
@@ -46,8 +46,8 @@ DEFAULT_BUCKETS = 32
 
 #: Input bytes one task of a rewrite should get.
 TASK_BYTES = 256 * 1024 * 1024
-#: Up to this many keys travel to every task; beyond it both sides are shuffled.
-BROADCAST_KEYS = 100_000
+#: Up to this size, keys travel to every task; beyond it both sides are shuffled.
+BROADCAST_BYTES = 8 * 1024 * 1024
 #: A bucket made up of this many folders is rewritten into one.
 MAX_FOLDERS = 16
 #: Versions whose data stays on disk, for readers that started before a save.
@@ -173,14 +173,14 @@ def save_publications(
         newest_per_key(staged).write.parquet(scratch)
         batch = spark.read.schema(BATCH_SCHEMA).parquet(scratch)
         total = batch.agg(
-            F.count(F.lit(1)).alias("keys"),
             F.coalesce(F.sum("copies"), F.lit(0)).alias("papers"),
+            F.coalesce(F.sum(_key_bytes()), F.lit(0)).alias("key_bytes"),
         ).first()
         inserted = updated = 0
-        if total["keys"]:
+        if total["papers"]:
             version = init_store(spark, store, buckets)
             size = files.size_bytes(spark, scratch)
-            changes = _decide(spark, store, version, batch, total["keys"], size)
+            changes = _decide(spark, store, version, batch, total["key_bytes"], size)
             inserted, updated = _apply(spark, store, version, changes)
     finally:
         files.delete(spark, scratch)
@@ -197,12 +197,12 @@ def _decide(
     store: str,
     version: Version,
     batch: DataFrame,
-    keys: int,
+    key_bytes: int,
     size: int,
 ) -> DataFrame:
     """Changed publications, with their buckets, a bucket's rows in few tasks."""
     known = read_publications(spark, store, version=version).select(*DECISION_COLUMNS)
-    if keys <= BROADCAST_KEYS:
+    if key_bytes <= BROADCAST_BYTES:
         # A small batch visits the stored keys instead of having them shuffled.
         wanted = F.broadcast(valid_keys(batch).select("paper_id"))
         known = known.join(wanted, "paper_id", "left_semi")
@@ -232,6 +232,7 @@ def _apply(
         done = spark.read.parquet(target).groupBy("bucket").agg(
             F.count_if(F.col("action") == INSERT).alias("inserted"),
             F.count_if(F.col("action") == UPDATE).alias("updated"),
+            F.sum(F.when(F.col("action") == UPDATE, _key_bytes())).alias("key_bytes"),
         ).collect()
         inserted = sum(row["inserted"] for row in done)
         updated = sum(row["updated"] for row in done)
@@ -242,8 +243,9 @@ def _apply(
         }
         if rewritten:
             replaced = spark.read.parquet(target).filter(F.col("action") == UPDATE)
+            key_bytes = sum(row["key_bytes"] or 0 for row in done)
             _unchanged(
-                spark, store, version, rewritten, replaced.select("paper_id"), updated
+                spark, store, version, rewritten, replaced.select("paper_id"), key_bytes
             ).write.partitionBy("bucket").parquet(rest_target)
         left_over = _bucket_numbers(spark, rest_target) if rewritten else set()
 
@@ -263,6 +265,11 @@ def _apply(
     return inserted, updated
 
 
+def _key_bytes() -> Column:
+    """Memory a broadcast key takes, generously."""
+    return F.octet_length("paper_id") + 64
+
+
 def _bucket_numbers(spark: SparkSession, path: str) -> set[int]:
     names = files.list_names(spark, path)
     return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
@@ -279,11 +286,11 @@ def _unchanged(
     version: Version,
     buckets: set[int],
     replaced: DataFrame,
-    updated: int,
+    key_bytes: int,
 ) -> DataFrame:
     """Rows of the buckets to rewrite that no change replaces."""
     stored = read_publications(spark, store, buckets, version)
-    if updated <= BROADCAST_KEYS:
+    if key_bytes <= BROADCAST_BYTES:
         replaced = F.broadcast(replaced)
     else:
         size = sum(files.size_bytes(spark, p) for p in version.paths(store, buckets))

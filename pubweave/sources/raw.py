@@ -24,7 +24,7 @@ def save_raw_data(
     if not isinstance(df, DataFrame):
         raise TypeError("df must be a DataFrame")
     spark, path = df.sparkSession, f"{directory}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    files.overwrite_parquet(df, path)
     return {
         "path": path,
         "rows": spark.read.schema(df.schema).parquet(path).count(),

@@ -16,7 +16,7 @@ def apply(spark, function, *texts):
 def test_paper_id_from_link(spark):
     assert apply(
         spark, C.paper_id_from_link,
-        "http://arxiv.org/abs/2512.00001v2", "http://arxiv.org/abs/cs/0001001v10",
+        "http://example.org/abs/2512.00001v2", "http://example.org/abs/cs/0001001v10",
         "http://a/abs/b/abs/x", "plain", None,
     ) == ["2512.00001", "cs/0001001", "x", "plain", None]
 

@@ -2,6 +2,7 @@ import warnings
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from pubweave.plans.etl import get_papers, main, run_etl
 from pubweave.schemas import RAW_SCHEMA
@@ -20,7 +21,7 @@ PAGE = """<?xml version="1.0" encoding="UTF-8"?>
 """
 
 FULL = """  <entry>
-    <id>http://arxiv.org/abs/2512.00001v2</id>
+    <id>http://example.org/abs/2512.00001v2</id>
     <updated>2025-12-02T10:00:00Z</updated>
     <published>2025-12-01T10:00:00Z</published>
     <title> Malware in
@@ -31,13 +32,13 @@ FULL = """  <entry>
     <author><name> Müller, A. </name><x:affiliation>Somewhere</x:affiliation></author>
     <author><name>B</name></author>
     <x:comment>3 pages</x:comment>
-    <link href="http://arxiv.org/abs/2512.00001v2" rel="alternate" type="text/html"/>
-    <category term="cs.CR" scheme="http://arxiv.org/schemas/atom"/>
-    <category term="zz.ZZ" scheme="http://arxiv.org/schemas/atom"/>
+    <link href="http://example.org/abs/2512.00001v2" rel="alternate" type="text/html"/>
+    <category term="cs.CR" scheme="http://example.org/schemas/atom"/>
+    <category term="zz.ZZ" scheme="http://example.org/schemas/atom"/>
   </entry>"""
 
 SPARSE = """  <entry>
-    <id>http://arxiv.org/abs/cs/0001001v10</id>
+    <id>http://example.org/abs/cs/0001001v10</id>
     <title>An old threat</title>
     <published>2024-01-01T00:00:00Z</published>
     <category term="cs.NI"/>
@@ -45,7 +46,7 @@ SPARSE = """  <entry>
 
 
 def entry(number, published, title="A botnet"):
-    return f"""  <entry><id>http://arxiv.org/abs/{number}v1</id><title>{title}</title>
+    return f"""  <entry><id>http://example.org/abs/{number}v1</id><title>{title}</title>
     <summary>botnet</summary><author><name>Z</name></author>
     <published>{published}</published><updated>{published}</updated>
     <category term="cs.CR"/></entry>"""
@@ -67,7 +68,7 @@ def test_atom_entries(spark, landing):
     full, sparse = papers["2512.00001"], papers["cs/0001001"]
     assert full.asDict() == {
         "id": "2512.00001",
-        "link": "http://arxiv.org/abs/2512.00001v2",
+        "link": "http://example.org/abs/2512.00001v2",
         "title": "Malware in\n  two lines",
         "authors": "Müller, A.; B",
         "abstract": "We study an attack & ransomware, 1 < 2.",
@@ -99,7 +100,20 @@ def test_raw_snapshot_round_trip(spark, landing, tmp_path):
     assert sorted(load_raw_data(spark, "s", str(tmp_path / "raw")).collect()) == sorted(
         papers.collect()
     )
-    assert save_raw_data(papers.limit(1), "s", str(tmp_path / "raw"))["rows"] == 1
+    # A snapshot may be replaced by something read from it.
+    shorter = load_raw_data(spark, "s", str(tmp_path / "raw")).filter("id <> '7'")
+    assert save_raw_data(shorter, "s", str(tmp_path / "raw"))["rows"] == 2
+    assert load_raw_data(spark, "s", str(tmp_path / "raw")).count() == 2
+    assert [p.name for p in (tmp_path / "raw").iterdir() if p.is_dir()] == ["s"]
+
+
+def test_failed_snapshot_keeps_the_old_one(spark, landing, tmp_path):
+    directory = str(tmp_path / "raw")
+    save_raw_data(read_atom(spark, str(landing)), "s", directory)
+    failing = load_raw_data(spark, "s", directory).withColumn("title", F.raise_error("no"))
+    with pytest.raises(Exception, match="no"):
+        save_raw_data(failing, "s", directory)
+    assert load_raw_data(spark, "s", directory).count() == 3
 
 
 def test_missing_snapshot_warns(spark, tmp_path):

@@ -194,9 +194,9 @@ def test_a_version_file_is_never_replaced(spark, path):
     assert files.list_names(spark, f"{path}/versions") == ["1.json"]
 
 
-@pytest.mark.parametrize("broadcast_keys", [100_000, 0])
-def test_store_agrees_with_the_one_shot_merge(spark, path, monkeypatch, broadcast_keys):
-    monkeypatch.setattr(store_module, "BROADCAST_KEYS", broadcast_keys)
+@pytest.mark.parametrize("broadcast_bytes", [1_000_000, 0])
+def test_store_agrees_with_the_one_shot_merge(spark, path, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(3)
 
     def random_batch(n):
@@ -224,7 +224,7 @@ def test_store_agrees_with_the_one_shot_merge(spark, path, monkeypatch, broadcas
 
 
 def test_each_bucket_is_written_by_few_tasks(spark, path, monkeypatch):
-    monkeypatch.setattr(store_module, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", 0)
     keys = [str(i) for i in range(200)]
     save_publications(batch(spark, *map(paper, keys)), path, buckets=4)
     newer = [paper(k, "2025-01-01T00:00:00Z") for k in keys[:100]]

@@ -17,12 +17,12 @@ from pubweave.plans.queries import all_queries
 
 HEADLINES = [
     "classify_papers",
-    "keyword_score_rows",
+    "keyword_scores",
     "tag_share",
     "top_words",
     "top_words_html",
     "top_words_by_tag",
-    "abstracts_cleaned",
+    "clean_text",
     "staged_publications",
     "corpus_filter",
     "search_regex",

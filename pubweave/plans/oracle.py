@@ -328,7 +328,7 @@ UNION ALL SELECT 'c' || conv_id, role, text FROM conversations""",
         "corpus_filter": _corpus(),
         "newest_first_topn": f"""{_with(EVENTS)}
 SELECT * FROM event_log ORDER BY published_date DESC NULLS LAST, paper_id LIMIT 100""",
-        "paper_id_from_link_parts": """
+        "paper_id_from_link": """
 SELECT 'd' || doc_id AS id, 'd' || doc_id AS paper_id FROM documents""",
         "authors_normalized": f"{_with(RAW)} SELECT id, {AUTHORS} AS authors FROM raw",
         "categories_named": f"{_with(RAW)} SELECT id, {CATEGORIES} AS categories FROM raw",
@@ -389,7 +389,7 @@ FROM (SELECT tag, count(*) AS n FROM classified GROUP BY tag)""",
         "classify_papers": f"{_with(*_CLASSIFY)} SELECT id, tag FROM classified",
         "keyword_presence": f"""{_with(RAW, KEYWORD_HITS)}
 SELECT DISTINCT id, keyword FROM hits""",
-        "keyword_score_rows": f"""{_with(RAW, KEYWORD_HITS, SCORES)}
+        "keyword_scores": f"""{_with(RAW, KEYWORD_HITS, SCORES)}
 SELECT id, tag, score FROM scores""",
         "top_words": _with(RAW, _words("raw")) + _top_words("raw", 30),
         "top_words_html": "WITH" + _words(
@@ -404,7 +404,7 @@ SELECT tag, word, n FROM ({_ranked_words(5)})""",
         "topic_words_ranked": _with(
             *_CLASSIFY, _words("classified", "tag,", "tag <> 'other'")
         ) + _ranked_words(10),
-        "abstracts_cleaned": f"{_with(RAW)} SELECT id, {_cleaned()} AS cleaned FROM raw",
+        "clean_text": f"{_with(RAW)} SELECT id, {_cleaned()} AS cleaned FROM raw",
         "newest_per_key": f"{_with(RAW, STAGED, INCOMING, NEWEST)} SELECT * FROM newest",
         "new_papers_only": f"""{_with(RAW, STAGED, STORED, INCOMING)}
 SELECT paper_id, link, updated_date FROM incoming s

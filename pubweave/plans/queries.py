@@ -30,7 +30,7 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def _query(function: Query) -> Query:
-    _REGISTRY[function.__name__] = function
+    _REGISTRY[function.__name__.removesuffix("_")] = function
     return function
 
 
@@ -124,7 +124,7 @@ def newest_first_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def paper_id_from_link_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paper_id_from_link_(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = sample.raw_papers(spark, sf_dir)
     return papers.select("id", paper_id_from_link(F.col("link")).alias("paper_id"))
 
@@ -282,7 +282,7 @@ def keyword_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def keyword_score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keyword_scores_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_scores(sample.raw_papers(spark, sf_dir))
 
 
@@ -318,7 +318,7 @@ def topic_words_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def abstracts_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_text_(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = sample.raw_papers(spark, sf_dir)
     return papers.select("id", clean_text(F.col("abstract")).alias("cleaned"))
 

@@ -42,8 +42,11 @@ STORE_ENV = "PUBWEAVE_STORE"
 STORE_CONF = "spark.pubweave.store"
 BUCKETS_CONF = "spark.pubweave.store.buckets"
 DEFAULT_STORE = "data/publications"
-DEFAULT_BUCKETS = 32
 
+#: Without other choice, a store has at least this many buckets, and so many
+#: that each gets no more than this of the first batch.
+MIN_BUCKETS = 32
+BUCKET_BYTES = 1024 * 1024 * 1024
 #: Input bytes one task of a rewrite should get.
 TASK_BYTES = 256 * 1024 * 1024
 #: Up to this size, keys travel to every task; beyond it both sides are shuffled.
@@ -107,7 +110,10 @@ def current_version(spark: SparkSession, store: str) -> Version | None:
 
 
 def init_store(
-    spark: SparkSession, path: str | None = None, buckets: int | None = None
+    spark: SparkSession,
+    path: str | None = None,
+    buckets: int | None = None,
+    expected_bytes: int = 0,
 ) -> Version:
     """Create the empty table if there is none.
 
@@ -117,8 +123,9 @@ def init_store(
     store = store_path(spark, path)
     version = current_version(spark, store)
     if version is None:
-        count = buckets or int(spark.conf.get(BUCKETS_CONF, str(DEFAULT_BUCKETS)))
-        Version(0, count).publish(spark, store)
+        chosen = buckets or int(spark.conf.get(BUCKETS_CONF, "0"))
+        fitting = max(MIN_BUCKETS, ceil(expected_bytes / BUCKET_BYTES))
+        Version(0, chosen or fitting).publish(spark, store)
         version = current_version(spark, store)
     return version
 
@@ -178,8 +185,8 @@ def save_publications(
         ).first()
         inserted = updated = 0
         if total["papers"]:
-            version = init_store(spark, store, buckets)
             size = files.size_bytes(spark, scratch)
+            version = init_store(spark, store, buckets, size)
             changes = _decide(spark, store, version, batch, total["key_bytes"], size)
             inserted, updated = _apply(spark, store, version, changes)
     finally:
@@ -223,7 +230,7 @@ def _apply(
     rest = f"{folder}-rest"
     target, rest_target = f"{store}/data/{folder}", f"{store}/data/{rest}"
     try:
-        changes.write.partitionBy("bucket").parquet(target)
+        _write_buckets(changes, target)
         written = _bucket_numbers(spark, target)
         if not written:
             files.delete(spark, target)
@@ -244,9 +251,10 @@ def _apply(
         if rewritten:
             replaced = spark.read.parquet(target).filter(F.col("action") == UPDATE)
             key_bytes = sum(row["key_bytes"] or 0 for row in done)
-            _unchanged(
+            kept = _unchanged(
                 spark, store, version, rewritten, replaced.select("paper_id"), key_bytes
-            ).write.partitionBy("bucket").parquet(rest_target)
+            )
+            _write_buckets(kept, rest_target)
         left_over = _bucket_numbers(spark, rest_target) if rewritten else set()
 
         folders = {bucket: list(names) for bucket, names in version.folders.items()}
@@ -265,6 +273,13 @@ def _apply(
     return inserted, updated
 
 
+def _write_buckets(rows: DataFrame, path: str) -> None:
+    # Writing by bucket sorts by it anyway; with the date behind it, the
+    # statistics of a row group cover few years and a year filter skips most.
+    ordered = rows.sortWithinPartitions("bucket", "published_date")
+    ordered.write.partitionBy("bucket").parquet(path)
+
+
 def _key_bytes() -> Column:
     """Memory a broadcast key takes, generously."""
     return F.octet_length("paper_id") + 64

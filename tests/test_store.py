@@ -62,6 +62,15 @@ def test_init_is_idempotent(spark, path):
     assert load_publications(spark, path).count() == 0
 
 
+def test_bucket_count_follows_the_first_batch(spark, tmp_path):
+    for folder, chosen, size, expected in (
+        ("a", None, 0, store_module.MIN_BUCKETS),
+        ("b", None, 100 * store_module.BUCKET_BYTES, 100),
+        ("c", 8, 100 * store_module.BUCKET_BYTES, 8),
+    ):
+        assert init_store(spark, str(tmp_path / folder), chosen, size).buckets == expected
+
+
 def test_insert_then_read(spark, path):
     stats = save_publications(batch(spark, paper("a", tag=" q "), paper("b", None)), path)
     assert counts(stats) == (2, 0, 0) and stats["path"] == path

@@ -20,6 +20,12 @@ from pubweave.functions.vocabulary import (
 # Never part of a search text, so LIKE patterns have no escape sequences.
 _NO_ESCAPE = "\u0001"
 
+#: Up to this many first rows are found as a top-k, in one task at the end.
+TOP_K_ROWS = 100_000
+_POSITION = "__position"
+# monotonically_increasing_id: task number above these bits, row number below.
+_ROW_BITS = 33
+
 
 def in_years(df: DataFrame, column: str, first: int, last: int) -> Column:
     """Range predicate on a date column that is either text or typed."""
@@ -54,7 +60,31 @@ def newest_first(df: DataFrame, n: int | None, key: str = "id") -> DataFrame:
     count = as_integer(n)
     if count is None or count < 1:
         return df.limit(0)
-    return df.orderBy(F.desc_nulls_last("published_date"), F.asc(key)).limit(count)
+    return first_rows(df, [F.desc_nulls_last("published_date"), F.asc(key)], count)
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order.
+
+    A report-sized ``n`` is a lazy top-k.  A larger one sorts by ranges and
+    checkpoints the rows with their positions (this runs at once, and needs
+    ``spark.checkpoint.dir``): the tasks' row counts then tell where to cut, and
+    no task ever holds more than its own range.
+    """
+    ordered = df.orderBy(*order)
+    if n <= TOP_K_ROWS:
+        return ordered.limit(n)
+    placed = ordered.withColumn(_POSITION, F.monotonically_increasing_id()).checkpoint()
+    task = F.shiftright(_POSITION, _ROW_BITS).alias("task")
+    sizes = placed.groupBy(task).agg(F.count(F.lit(1)).alias("n")).collect()
+    wanted = n
+    for size in sorted(sizes, key=lambda row: row["task"]):
+        if wanted <= size["n"]:
+            end = (size["task"] << _ROW_BITS) + wanted
+            placed = placed.filter(F.col(_POSITION) < F.lit(end))
+            break
+        wanted -= size["n"]
+    return placed.drop(_POSITION)
 
 
 def search_papers(
@@ -100,13 +130,15 @@ def latest_publications(df: DataFrame, limit: Any = None) -> DataFrame:
 
     A positive ``limit`` keeps the first rows; anything else keeps all.
     """
-    ordered = df.orderBy(
+    order = [
         F.desc_nulls_last("updated_date"),
         F.desc_nulls_last("published_date"),
         F.asc("paper_id"),
-    )
+    ]
     count = as_integer(limit)
-    return ordered.limit(count) if count is not None and count > 0 else ordered
+    if count is None or count < 1:
+        return df.orderBy(*order)
+    return first_rows(df, order, count)
 
 
 def as_integer(value: Any) -> int | None:

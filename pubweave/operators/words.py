@@ -19,6 +19,7 @@ from pubweave.functions.vocabulary import (
     OVERALL_STOPWORDS,
     SNOWBALL_STOPWORDS,
 )
+from pubweave.operators.search import first_rows
 from pubweave.schemas import require_columns
 
 
@@ -43,7 +44,7 @@ def drop_stopwords(rows: DataFrame, *lists: Iterable[str]) -> DataFrame:
 
 def most_frequent(counts: DataFrame, n: int, key: str = "word") -> DataFrame:
     """First ``n`` rows by descending count, ties by key in byte order."""
-    return counts.orderBy(F.desc("n"), F.asc(key)).limit(n)
+    return first_rows(counts, [F.desc("n"), F.asc(key)], n)
 
 
 def get_top_words(

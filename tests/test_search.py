@@ -95,6 +95,23 @@ def test_newest_first(pubs):
     assert newest_first(pubs, None, "paper_id").count() == 5
 
 
+def test_large_limits_are_cut_by_position(spark, monkeypatch):
+    # Many ties, nulls and copies; several tasks.
+    rows = spark.range(0, 5000, 1, 7).selectExpr(
+        "cast(id % 997 as string) as paper_id",
+        "if(id % 3 = 0, null, timestamp_ntz'2024-01-01 00:00:00'"
+        " + make_dt_interval(cast(id % 40 as int))) as updated_date",
+        "timestamp_ntz'2023-01-01 00:00:00' as published_date",
+    )
+    expected = [tuple(r) for r in latest_publications(rows).collect()]
+    monkeypatch.setattr("pubweave.operators.search.TOP_K_ROWS", 10)
+    for limit in (11, 1000, 4999, 5000, 6000):
+        cut = latest_publications(rows, limit)
+        assert [tuple(r) for r in cut.collect()] == expected[:limit]
+    assert "checkpoint" not in plan_of(latest_publications(rows, 10)).lower()
+    assert newest_first(rows, 2500, "paper_id").count() == 2500
+
+
 def test_as_integer():
     assert [as_integer(v) for v in (3, "3", 3.9, "x", None, float("nan"), float("inf"))] == [
         3, 3, 3, None, None, None, None,

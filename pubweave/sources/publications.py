@@ -308,7 +308,8 @@ def _unchanged(
     if key_bytes <= BROADCAST_BYTES:
         replaced = F.broadcast(replaced)
     else:
-        size = sum(files.size_bytes(spark, p) for p in version.paths(store, buckets))
+        folders = {f for bucket in buckets for f in version.folders.get(bucket, [])}
+        size = sum(files.size_bytes(spark, f"{store}/data/{f}") for f in folders)
         tasks = _whole_bucket_tasks(version, size)
         stored = stored.repartition(tasks, "paper_id")
         replaced = replaced.repartition(tasks, "paper_id")

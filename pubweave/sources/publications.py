@@ -256,19 +256,23 @@ def _apply(
             )
             _write_buckets(kept, rest_target)
         left_over = _bucket_numbers(spark, rest_target) if rewritten else set()
-
-        folders = {bucket: list(names) for bucket, names in version.folders.items()}
-        for bucket in written:
-            if bucket in rewritten:
-                folders[bucket] = [rest] if bucket in left_over else []
-            folders.setdefault(bucket, []).append(folder)
-        following = Version(version.number + 1, version.buckets, folders)
-        if not following.publish(spark, store):
-            raise RuntimeError(f"Another save to '{store}' finished first; save again")
     except BaseException:
         files.delete(spark, target)
         files.delete(spark, rest_target)
         raise
+
+    folders = {bucket: list(names) for bucket, names in version.folders.items()}
+    for bucket in written:
+        if bucket in rewritten:
+            folders[bucket] = [rest] if bucket in left_over else []
+        folders.setdefault(bucket, []).append(folder)
+    following = Version(version.number + 1, version.buckets, folders)
+    # If this raises, the version may or may not be there, so its data stay;
+    # should they be unused, a later save removes them.
+    if not following.publish(spark, store):
+        files.delete(spark, target)
+        files.delete(spark, rest_target)
+        raise RuntimeError(f"Another save to '{store}' finished first; save again")
     _forget_old_versions(spark, store)
     return inserted, updated
 

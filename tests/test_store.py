@@ -196,6 +196,18 @@ def test_losing_a_race_changes_nothing(spark, path, monkeypatch):
     assert len(files.list_names(spark, f"{path}/data")) == 1
 
 
+def test_failing_write_leaves_no_data(spark, path, monkeypatch):
+    save_publications(batch(spark, paper("a")), path)
+    before = current_version(spark, path)
+    monkeypatch.setattr(store_module, "_unchanged", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        save_publications(batch(spark, paper("a", "2025-01-01T00:00:00Z")), path)
+    monkeypatch.undo()
+    assert current_version(spark, path) == before
+    assert len(files.list_names(spark, f"{path}/data")) == 1
+    assert stored(spark, path)["a"].updated_date == datetime(2024, 1, 2)
+
+
 def test_a_version_file_is_never_replaced(spark, path):
     assert files.publish_text(spark, f"{path}/versions/1.json", "one")
     assert not files.publish_text(spark, f"{path}/versions/1.json", "two")

@@ -87,5 +87,10 @@ def tag_share(papers: DataFrame) -> DataFrame:
     )
 
 
+def data_flag(pubs: DataFrame) -> DataFrame:
+    """One row (has_data): whether there is any paper.  Reads at most one."""
+    return pubs.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_data"))
+
+
 def has_data(pubs: DataFrame) -> bool:
     return not pubs.isEmpty()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pubweave.operators.trends import (
     author_counts,
     authors_per_paper_histogram,
+    data_flag,
     papers_by_day,
     papers_by_month,
     papers_by_weekday,
@@ -35,6 +36,7 @@ def build_marts(
     """
     counts = count_words_by_tag(pubs) if word_counts is None else word_counts
     return {
+        "has_data": data_flag(pubs),
         "pubs_by_day": papers_by_day(pubs),
         "pubs_by_month": papers_by_month(pubs),
         "pubs_by_weekday": papers_by_weekday(pubs),

@@ -386,6 +386,8 @@ SELECT tag, count(*) AS n FROM classified GROUP BY tag""",
 SELECT tag, n, round_even(CAST(n AS DOUBLE) / (SELECT count(*) FROM raw) * 100, 1)
          AS percentage
 FROM (SELECT tag, count(*) AS n FROM classified GROUP BY tag)""",
+        "has_data": f"""{_with(RAW, STAGED, STORED)}
+SELECT count(*) > 0 AS has_data FROM stored""",
         "classify_papers": f"{_with(*_CLASSIFY)} SELECT id, tag FROM classified",
         "keyword_presence": f"""{_with(RAW, KEYWORD_HITS)}
 SELECT DISTINCT id, keyword FROM hits""",

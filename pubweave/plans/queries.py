@@ -268,6 +268,11 @@ def tag_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.tag_share(_classified(spark, sf_dir))
 
 
+@_query
+def has_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trends.data_flag(_stored(spark, sf_dir))
+
+
 # --- topics ---------------------------------------------------------------
 
 

@@ -69,6 +69,8 @@ def test_tag_share_rounds_half_to_even(spark):
 
 def test_has_data(pubs):
     assert trends.has_data(pubs) and not trends.has_data(pubs.limit(0))
+    assert rows(trends.data_flag(pubs)) == [(True,)]
+    assert rows(trends.data_flag(pubs.filter("false"))) == [(False,)]
 
 
 def test_top_words_order_and_stop_lists(pubs):

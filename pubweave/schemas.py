@@ -11,9 +11,13 @@ def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(name, T.StringType()) for name in names]
 
 
-#: One ``<entry>`` of a landed Atom page, as the XML reader delivers it.
+#: One ``<entry>`` of a landed Atom page, as the XML reader delivers it.  Every
+#: child may be repeated.
 ATOM_ENTRY_SCHEMA = T.StructType([
-    *_strings("id", "title", "summary", "published", "updated"),
+    *(
+        T.StructField(name, T.ArrayType(T.StringType()))
+        for name in ("id", "title", "summary", "published", "updated")
+    ),
     T.StructField("author", T.ArrayType(T.StructType(_strings("name")))),
     T.StructField("category", T.ArrayType(T.StructType(_strings("_term")))),
 ])

@@ -20,19 +20,22 @@ def read_atom(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def entries_to_raw(entries: DataFrame) -> DataFrame:
-    """Project parsed entries onto the raw layout."""
-    link = trim_field(F.col("id"))
+    """Project parsed entries onto the raw layout.
+
+    Of a repeated child that should be single, the first one counts.
+    """
+    link = _first("id")
     names = F.transform("author", lambda author: trim_field(author["name"]))
     terms = F.transform("category", lambda category: category["_term"])
     return entries.select(
         paper_id_from_link(link).alias("id"),
         link.alias("link"),
-        trim_field(F.col("title")).alias("title"),
+        _first("title").alias("title"),
         _joined(names).alias("authors"),
-        trim_field(F.col("summary")).alias("abstract"),
+        _first("summary").alias("abstract"),
         _joined(terms).alias("categories"),
-        trim_field(F.col("published")).alias("published_date"),
-        trim_field(F.col("updated")).alias("updated_date"),
+        _first("published").alias("published_date"),
+        _first("updated").alias("updated_date"),
     )
 
 
@@ -40,6 +43,10 @@ def empty_raw(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RAW_SCHEMA)
 
 
+def _first(child: str) -> Column:
+    return trim_field(F.get(child, F.lit(0)))
+
+
 def _joined(items: Column) -> Column:
     # array_join skips nulls, so authors without name leave no trace.
     return F.coalesce(F.array_join(items, "; "), F.lit(""))

@@ -39,7 +39,7 @@ FULL = """  <entry>
 
 SPARSE = """  <entry>
     <id>http://example.org/abs/cs/0001001v10</id>
-    <title>An old threat</title>
+    <title>An old threat</title><title>Second title</title>
     <published>2024-01-01T00:00:00Z</published>
     <category term="cs.NI"/>
   </entry>"""
@@ -76,6 +76,7 @@ def test_atom_entries(spark, landing):
         "published_date": "2025-12-01T10:00:00Z",
         "updated_date": "2025-12-02T10:00:00Z",
     }
+    assert sparse.title == "An old threat"
     assert sparse.authors == "" and sparse.categories == "cs.NI"
     assert sparse.abstract is None and sparse.updated_date is None
 

@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from pubweave.plans.oracle import all_oracles
+from pubweave.plans.queries import all_queries
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,8 @@ def duck(sf_dir):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -94,3 +94,8 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     """Rows of ``docs`` whose id is not in the single column of ``ids``."""
     listed = ids.select(F.col(ids.columns[0]).alias("__id"))
     return docs.join(listed, docs[id_col].eqNullSafe(listed["__id"]), "left_anti")
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the memory of Python workers: documents are long, so batches are short."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubweave.llm.common import read_table
 from pubweave.llm.exact_dedup import exact_dedup
+from pubweave.llm.pieces import encode_pieces
 from pubweave.llm.secrets import KINDS, scan_secrets
 from pubweave.llm.sharding import shard_documents
 
+#: Folder of the public tokenizer files; where it is differs between clusters.
+TOKENIZERS = "spark.pubweave.tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _REGISTRY: dict[str, Query] = {}
@@ -25,6 +29,16 @@ def llm_queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
+def tokenizer_path(spark: SparkSession, name: str) -> str:
+    """A file of the folder in spark.pubweave.tokenizers, or of the installed package."""
+    folder = spark.conf.get(TOKENIZERS, None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @_query
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = exact_dedup(read_table(spark, sf_dir, "documents"))
@@ -78,3 +92,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "tokens",
     )
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    """Numbers and digests of the ids and texts that ``encode_pieces`` returns."""
+    ids = F.col("ids").cast("array<string>")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@_query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return piece_digests(encode_pieces(docs, tokenizer_path(spark, "piece_bpe_32k.model")))

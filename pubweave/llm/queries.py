@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubweave.llm.common import read_table
 from pubweave.llm.exact_dedup import exact_dedup
+from pubweave.llm.minhash import minhash_dedup
 from pubweave.llm.pieces import encode_pieces
 from pubweave.llm.secrets import KINDS, scan_secrets
 from pubweave.llm.sharding import shard_documents
@@ -94,6 +95,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def piece_digests(encoded: DataFrame) -> DataFrame:
     """Numbers and digests of the ids and texts that ``encode_pieces`` returns."""
     ids = F.col("ids").cast("array<string>")

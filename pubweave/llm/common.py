@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Folder of the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: A key is hot if it holds more than one in so many rows; there can be no
 #: more hot keys than this, so a table of them may be broadcast.
 HOT_SHARE = 1000
@@ -97,5 +101,10 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the memory of Python workers: documents are long, so batches are short."""
+    """Prepare Python workers: documents are long, so batches are short, and the
+    package is imported from where the driver has it, if it was not shipped."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, ROOT]))

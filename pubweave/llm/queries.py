@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pubweave.llm.common import read_table
+from pubweave.llm.common import new_folder, read_table
 from pubweave.llm.exact_dedup import exact_dedup
 from pubweave.llm.minhash import minhash_dedup
 from pubweave.llm.pieces import encode_pieces
 from pubweave.llm.secrets import KINDS, scan_secrets
 from pubweave.llm.sharding import shard_documents
+from pubweave.llm.token_files import ids_crc32, read_token_files, write_token_files
 
 #: Folder of the public tokenizer files; where it is differs between clusters.
 TOKENIZERS = "spark.pubweave.tokenizers"
@@ -95,6 +96,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-files")
+    docs = read_table(spark, sf_dir, "documents")
+    write_token_files(docs, folder, tokenizer_path(spark, "byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, folder, ids_crc32, "long").withColumnRenamed(
+        "value", "ids_crc32"
+    )
+
+
 @_query
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read_table(spark, sf_dir, "documents"))

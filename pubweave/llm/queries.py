@@ -12,6 +12,7 @@ from pubweave.llm.minhash import minhash_dedup
 from pubweave.llm.pieces import encode_pieces
 from pubweave.llm.secrets import KINDS, scan_secrets
 from pubweave.llm.sharding import shard_documents
+from pubweave.llm.toxicity import score_toxicity
 from pubweave.llm.token_files import ids_crc32, read_token_files, write_token_files
 
 #: Folder of the public tokenizer files; where it is differs between clusters.
@@ -96,6 +97,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
 @_query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")

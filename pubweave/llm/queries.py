@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubweave.llm.common import new_folder, read_table
+from pubweave.llm.decontaminate import find_contamination
 from pubweave.llm.exact_dedup import exact_dedup
 from pubweave.llm.minhash import minhash_dedup
 from pubweave.llm.pieces import encode_pieces
@@ -48,6 +49,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.withColumnRenamed("digest", "text_sha256")
 
 
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 @_query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans, and a ``live`` span for each whose value one owner alone has."""

@@ -31,6 +31,13 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: The same for words of letters and digits: punctuation separates them too, and
+#: capital letters of Latin-1, two bytes in UTF-8, become small as well.
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = (
+    False
+)
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -77,15 +84,16 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def word_hashes(
-    data: np.ndarray, offsets: np.ndarray
+    data: np.ndarray, offsets: np.ndarray, letters_only: bool = False
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and last byte + 1 of every word, and words before each row.
 
-    ``offsets`` are those of consecutive rows in ``data``.
+    ``offsets`` are those of consecutive rows in ``data``.  Words lie between ASCII
+    white space, or are runs of letters and digits.
     """
     base = int(offsets[0])
     data, bounds = data[base : int(offsets[-1])], offsets - base
-    word = ~_SPACE[data]
+    word = ~(_NO_LETTER if letters_only else _SPACE)[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     begins = word.copy()
@@ -93,7 +101,10 @@ def word_hashes(
     closes = word.copy()
     closes[:-1] &= ~word[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    sums = prefix_hash(_BYTE[_LOWER[data]])
+    lower = _LOWER[data]
+    if letters_only:
+        lower[1:][(data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20
+    sums = prefix_hash(_BYTE[lower])
     hashes = mix(run_hash(sums, starts, ends))
     return hashes, starts + base, ends + base, np.searchsorted(starts, bounds)
 

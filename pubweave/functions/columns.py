@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from pubweave.functions.text import string_array, string_map
 from pubweave.functions.vocabulary import CATEGORY_LABELS, WEEKDAY_LABELS_RU
@@ -74,6 +74,17 @@ def parse_time(text: Column, strict: bool = False) -> Column:
     )
 
 
+def utc_moment(moment: Column, kind: T.DataType) -> Column:
+    """A typed moment as UTC wall clock; only timestamps with a zone change."""
+    if not isinstance(kind, T.TimestampType):
+        return moment.cast("timestamp_ntz")
+    seconds = (F.unix_micros(moment) / F.lit(1_000_000).cast("decimal(18,0)")).cast(
+        "decimal(18,6)"
+    )
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=seconds)
+
+
 def utc_now() -> Column:
     """The query's start time as UTC wall clock."""
     return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast(
@@ -114,18 +125,26 @@ def author_count(authors: Column) -> Column:
     return F.size(F.split(authors, ","))
 
 
-def between_years(moment: Column, first: int, last: int, is_text: bool) -> Column:
-    """Calendar years ``first``..``last`` as a range that reaches the scan.
+def between_years(moment: Column, first: int, last: int, kind: T.DataType) -> Column:
+    """Calendar years ``first``..``last`` in UTC as a range that reaches the scan.
 
     ISO text orders like the dates it spells, so text columns get a string
-    range and typed columns a timestamp range; both are pushed to Parquet.
+    range and typed columns a range of their type; all are pushed to Parquet.  A
+    year before 1 or after 9998 cannot bound the range, so that side is open.
     """
-    if not 0 < first <= last < 9999:
+    if last < first or first > 9999 or last < 0:
         return F.lit(False)
-    if is_text:
-        return (moment >= f"{first:04d}") & (moment < f"{last + 1:04d}")
-    start, stop = (
-        F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz")
-        for year in (first, last + 1)
-    )
-    return (moment >= start) & (moment < stop)
+
+    def start_of(year: int) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.lit(f"{year:04d}")
+        if isinstance(kind, T.TimestampType):
+            return F.lit(f"{year:04d}-01-01 00:00:00+00:00").cast("timestamp")
+        return F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp_ntz")
+
+    inside = moment.isNotNull()
+    if first > 0:
+        inside &= moment >= start_of(first)
+    if last < 9999:
+        inside &= moment < start_of(last + 1)
+    return inside

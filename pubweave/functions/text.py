@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -72,7 +73,7 @@ def _any_of(phrases: Iterable[str], group: int = 6) -> str:
 
     def render(node: dict) -> str:
         options = [
-            _escaped(char) + render(rest) for char, rest in node.items() if char
+            escaped(char) + render(rest) for char, rest in node.items() if char
         ]
         if not options:
             return ""
@@ -82,14 +83,25 @@ def _any_of(phrases: Iterable[str], group: int = 6) -> str:
     starts = sorted(branches)
     groups = [starts[i : i + group] for i in range(0, len(starts), group)]
     return "|".join(
-        f"(?=[{''.join(map(_escaped, chars))}])"
+        f"(?=[{''.join(map(escaped, chars))}])"
         + render({char: branches[char] for char in chars})
         for chars in groups
     )
 
 
-def _escaped(char: str) -> str:
-    return char if char.isalnum() or char == " " else "\\" + char
+def escaped(text: str) -> str:
+    """``text`` as a regular expression that matches it literally."""
+    return "".join(
+        char if char.isalnum() or char == " " or not char.isascii() else f"\\x{{{ord(char):x}}}"
+        for char in text
+    )
+
+
+def _ends_word(following: str) -> bool:
+    """Whether a word ends before this character, see ``WORD``."""
+    return not (
+        following.isalnum() or following == "_" or unicodedata.category(following)[0] == "M"
+    )
 
 
 def phrases_found(text: Column, topics: Mapping[str, Iterable[str]]) -> Column:
@@ -103,7 +115,11 @@ def phrases_found(text: Column, topics: Mapping[str, Iterable[str]]) -> Column:
         F.lower(text), F.lit(phrase_pattern(phrases)), F.lit(1)
     )
     beginnings = {
-        phrase: [p for p in phrases if phrase.startswith(p + " ")] for phrase in phrases
+        phrase: [
+            p for p in phrases
+            if phrase != p and phrase.startswith(p) and _ends_word(phrase[len(p)])
+        ]
+        for phrase in phrases
     }
     depth = max(map(len, beginnings.values()), default=0)
     lookups = [
@@ -121,14 +137,18 @@ def phrases_found(text: Column, topics: Mapping[str, Iterable[str]]) -> Column:
 
 
 def string_array(values: Iterable[str]) -> Column:
-    """Constant array; one literal to send, folded by the optimizer."""
-    return F.split(F.lit("\n".join(values)), "\n")
+    """Constant array of strings."""
+    return F.expr(sql_array(values))
+
+
+def sql_array(values: Iterable[str]) -> str:
+    """``string_array`` as SQL text."""
+    return f"cast(array({', '.join(map(sql_text, values))}) as array<string>)"
 
 
 def string_map(pairs: Mapping[str, str]) -> Column:
-    """Constant map of strings, built like ``string_array``."""
-    text = "\n".join(f"{key}\t{value}" for key, value in pairs.items())
-    return F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t"))
+    """Constant map of strings."""
+    return F.map_from_arrays(string_array(pairs), string_array(pairs.values()))
 
 
 def sql_text(value: str) -> str:

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pubweave.functions.text import phrases_found, sql_text
+from pubweave.functions.text import phrases_found, sql_array, sql_text
 from pubweave.functions.vocabulary import FALLBACK_TAG, TOPIC_KEYWORDS
 from pubweave.schemas import require_columns
 
@@ -27,7 +27,7 @@ def _topic_scores(found: Column, topics: Topics) -> Column:
     # Written as SQL so that the whole table is one constant of the plan.
     rows = ", ".join(
         f"named_struct('tag', {sql_text(tag)},"
-        f" 'keywords', split({sql_text(','.join(keywords))}, ','))"
+        f" 'keywords', {sql_array(keywords)})"
         for tag, keywords in topics.items()
     )
 

@@ -7,10 +7,10 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pubweave.functions.columns import FIELD_SPACE, between_years, list_items
-from pubweave.functions.text import WORD, string_array
+from pubweave.functions.text import WORD, escaped, string_array
 from pubweave.functions.vocabulary import (
     CORPUS_CATEGORIES,
     CORPUS_TERMS,
@@ -20,17 +20,9 @@ from pubweave.functions.vocabulary import (
 # Never part of a search text, so LIKE patterns have no escape sequences.
 _NO_ESCAPE = "\u0001"
 
-#: Up to this many first rows are found as a top-k, in one task at the end.
-TOP_K_ROWS = 100_000
-_POSITION = "__position"
-# monotonically_increasing_id: task number above these bits, row number below.
-_ROW_BITS = 33
-
-
 def in_years(df: DataFrame, column: str, first: int, last: int) -> Column:
-    """Range predicate on a date column that is either text or typed."""
-    is_text = isinstance(df.schema[column].dataType, T.StringType)
-    return between_years(F.col(column), first, last, is_text)
+    """Range predicate in UTC on a date column of text or of any date type."""
+    return between_years(F.col(column), first, last, df.schema[column].dataType)
 
 
 def select_corpus(
@@ -40,9 +32,9 @@ def select_corpus(
     years: tuple[int, int] = CORPUS_YEARS,
 ) -> DataFrame:
     """Papers of some category that mention any term and were published in
-    the years, inclusive.  Terms match as whole words in any text field,
-    ignoring case."""
-    pattern = f"(?i)(?<![{WORD}])(?:{'|'.join(terms)})(?![{WORD}])"
+    the years, inclusive; years beyond 1 and 9998 leave that side open.  Terms match
+    literally, as whole words in any text field, ignoring case."""
+    pattern = f"(?i)(?<![{WORD}])(?:{'|'.join(map(escaped, terms))})(?![{WORD}])"
     mentions = reduce(or_, (
         F.coalesce(F.col(field).rlike(pattern), F.lit(False))
         for field in ("title", "abstract", "authors")
@@ -64,27 +56,12 @@ def newest_first(df: DataFrame, n: int | None, key: str = "id") -> DataFrame:
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows in an order.
+    """The first ``n`` rows in an order, lazily for any ``n``.
 
-    A report-sized ``n`` is a lazy top-k.  A larger one sorts by ranges and
-    checkpoints the rows with their positions (this runs at once, and needs
-    ``spark.checkpoint.dir``): the tasks' row counts then tell where to cut, and
-    no task ever holds more than its own range.
+    Spark keeps a top-k per task up to spark.sql.execution.topKSortFallbackThreshold
+    rows and sorts by ranges, spilling, beyond that.
     """
-    ordered = df.orderBy(*order)
-    if n <= TOP_K_ROWS:
-        return ordered.limit(n)
-    placed = ordered.withColumn(_POSITION, F.monotonically_increasing_id()).checkpoint()
-    task = F.shiftright(_POSITION, _ROW_BITS).alias("task")
-    sizes = placed.groupBy(task).agg(F.count(F.lit(1)).alias("n")).collect()
-    wanted = n
-    for size in sorted(sizes, key=lambda row: row["task"]):
-        if wanted <= size["n"]:
-            end = (size["task"] << _ROW_BITS) + wanted
-            placed = placed.filter(F.col(_POSITION) < F.lit(end))
-            break
-        wanted -= size["n"]
-    return placed.drop(_POSITION)
+    return df.orderBy(*order).limit(n)
 
 
 def search_papers(

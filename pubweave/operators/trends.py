@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pubweave.functions.columns import (
     author_count,
     author_names,
     day_bucket,
     month_bucket,
+    utc_moment,
     weekday_index,
     weekday_label,
     weekday_label_ru,
@@ -20,22 +21,29 @@ def _count_by(df: DataFrame, *keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _published(pubs: DataFrame) -> Column:
+    """Publication moment in UTC."""
+    column = F.col("published_date")
+    kind = pubs.schema["published_date"].dataType
+    return utc_moment(column, kind) if isinstance(kind, T.TimestampType) else column
+
+
 def papers_by_day(pubs: DataFrame) -> DataFrame:
     """(day, n) in date order; papers without date are the last row."""
-    days = _count_by(pubs, day_bucket(F.col("published_date")).alias("day"))
+    days = _count_by(pubs, day_bucket(_published(pubs)).alias("day"))
     return days.orderBy(F.asc_nulls_last("day"))
 
 
 def papers_by_month(pubs: DataFrame) -> DataFrame:
     """(month, n) in date order; papers without date are the last row."""
-    months = _count_by(pubs, month_bucket(F.col("published_date")).alias("month"))
+    months = _count_by(pubs, month_bucket(_published(pubs)).alias("month"))
     return months.orderBy(F.asc_nulls_last("month"))
 
 
 def papers_by_weekday(pubs: DataFrame) -> DataFrame:
     """(weekday_idx, weekday, weekday_ru, n), Monday first, absent days left out."""
     dated = pubs.filter(F.col("published_date").isNotNull())
-    counts = _count_by(dated, weekday_index(F.col("published_date")).alias("weekday_idx"))
+    counts = _count_by(dated, weekday_index(_published(pubs)).alias("weekday_idx"))
     index = F.col("weekday_idx")
     return counts.select(
         index,
@@ -88,7 +96,10 @@ def tag_share(papers: DataFrame) -> DataFrame:
 
 
 def data_flag(pubs: DataFrame) -> DataFrame:
-    """One row (has_data): whether there is any paper.  Reads at most one."""
+    """One row (has_data): whether there is any paper.
+
+    Reads one row of a plain table; an ordered input has to be ordered first.
+    """
     return pubs.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_data"))
 
 

@@ -13,6 +13,7 @@ from pubweave.functions.columns import (
     category_names,
     normalize_list,
     parse_time,
+    utc_moment,
     utc_now,
 )
 from pubweave.schemas import (
@@ -44,10 +45,10 @@ def stage_publications(papers: DataFrame, strict: bool = True) -> DataFrame:
     require_columns(papers, [*RAW_SCHEMA.names, "tag"])
 
     def moment(name: str) -> Column:
-        column = F.col(name)
-        if isinstance(papers.schema[name].dataType, T.StringType):
-            column = parse_time(column, strict)
-        return column.cast("timestamp_ntz").alias(name)
+        column, kind = F.col(name), papers.schema[name].dataType
+        if isinstance(kind, T.StringType):
+            return parse_time(column, strict).alias(name)
+        return utc_moment(column, kind).alias(name)
 
     return papers.select(
         F.col("id").cast("string").alias("paper_id"),

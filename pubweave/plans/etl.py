@@ -26,10 +26,10 @@ def get_papers(
     spark: SparkSession,
     landing: str | list[str],
     query: Column | str | None = None,
-    max_results: int | None = 100,
+    max_results: int | None = None,
 ) -> DataFrame:
-    """The ``max_results`` newest landed papers of the default corpus, or of
-    the papers that satisfy the condition ``query``."""
+    """Landed papers of the default corpus, or those that satisfy the condition
+    ``query``; of these the ``max_results`` newest, or all if it is ``None``."""
     papers = read_atom(spark, landing)
     chosen = select_corpus(papers) if query is None else papers.filter(query)
     return newest_first(chosen, max_results)
@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--landing", required=True, help="folder of Atom files")
     parser.add_argument("--store", help="folder of the publications table")
     parser.add_argument("--raw-dir", default=DEFAULT_DIR)
-    parser.add_argument("--max-results", type=int, default=100)
+    parser.add_argument("--max-results", type=int, help="newest papers only (default: all)")
     parser.add_argument("--query", help="SQL condition replacing the default corpus")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="[%(asctime)s] %(message)s")

@@ -56,12 +56,16 @@ def by_tag_order(topic_words: DataFrame) -> DataFrame:
 
 
 def by_count_order(table: DataFrame) -> DataFrame:
-    """Rows in the order a bar chart shows them, smallest count first."""
-    return table.orderBy("n")
+    """Rows in the order a bar chart shows them, smallest count first; ties by the
+    other columns."""
+    return table.orderBy("n", *[c for c in table.columns if c != "n"])
 
 
 def write_marts(pubs: DataFrame, directory: str) -> dict[str, str]:
-    """Write every report table as Parquet; returns their paths."""
+    """Write every report table as Parquet; returns their paths.
+
+    ``pubs`` needs no order: give it what ``read_publications`` returns.
+    """
     spark: SparkSession = pubs.sparkSession
     paths = {WORD_COUNTS: f"{directory}/{WORD_COUNTS}"}
     overwrite_parquet(count_words_by_tag(pubs), paths[WORD_COUNTS])

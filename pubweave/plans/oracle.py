@@ -59,8 +59,7 @@ raw AS (
                    CASE WHEN doc_id % 3 > 0 THEN 'Author ' || (doc_id % 11) END,
                    CASE WHEN doc_id % 5 = 0 THEN ' ' END,
                    CASE WHEN doc_id % 8 = 1 THEN 'Müller, Jr.' END) AS authors,
-         CASE WHEN n_chars < 40 THEN NULL
-              WHEN lang = 'es' THEN text
+         CASE WHEN lang = 'es' THEN text
               ELSE text || ' ' || kw[doc_id % len(kw) + 1] || '. '
                    || kw[doc_id * 7 % len(kw) + 1] END AS abstract,
          CASE WHEN doc_id % 4 = 0 THEN 'cs.CR; cs.LG'
@@ -72,6 +71,10 @@ raw AS (
          lang, n_chars
   FROM documents,
        (SELECT {_list(distinct_keywords(TOPIC_KEYWORDS))} AS kw)
+  UNION ALL
+  SELECT 'n' || n_nationkey, 'http://example.org/abs/n' || n_nationkey || 'v1', n_name,
+         'Author 0', NULL, 'cs.NI', '2021-03-04T05:06:07Z', NULL, NULL, NULL
+  FROM nation
 )"""
 
 _ITEMS = (
@@ -314,7 +317,7 @@ GROUP BY authors ORDER BY n DESC, authors LIMIT 10"""
     n_authors = "CAST(length(authors) - length(replace(authors, ',', '')) + 1 AS INTEGER)"
     return {
         "atom_entries": f"""{_with(RAW)}
-SELECT 'd' || regexp_extract(link, 'd(\\d+)v', 1) AS id, link, title,
+SELECT regexp_extract(link, 'abs/(.*)v', 1) AS id, link, title,
        array_to_string(list_transform(string_split(authors, '; '), lambda x: trim(x)), '; ')
          AS authors,
        trim(abstract, ' \t' || chr(10) || chr(13)) AS abstract,
@@ -328,8 +331,7 @@ UNION ALL SELECT 'c' || conv_id, role, text FROM conversations""",
         "corpus_filter": _corpus(),
         "newest_first_topn": f"""{_with(EVENTS)}
 SELECT * FROM event_log ORDER BY published_date DESC NULLS LAST, paper_id LIMIT 100""",
-        "paper_id_from_link": """
-SELECT 'd' || doc_id AS id, 'd' || doc_id AS paper_id FROM documents""",
+        "paper_id_from_link": f"{_with(RAW)} SELECT id, id AS paper_id FROM raw",
         "authors_normalized": f"{_with(RAW)} SELECT id, {AUTHORS} AS authors FROM raw",
         "categories_named": f"{_with(RAW)} SELECT id, {CATEGORIES} AS categories FROM raw",
         "timestamps_parsed": f"""{_with(RAW)}

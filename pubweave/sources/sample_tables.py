@@ -11,37 +11,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from pubweave.functions.vocabulary import TOPIC_KEYWORDS, distinct_keywords
-from pubweave.sources import files
-
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "nation": "n_nationkey int, n_name string",
     "pages": "page_id bigint, url string, html string",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
               " value double, props string",
 }
 
-#: Spark's default size of an input split.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, spread over the cores if it is tiny.
-
-    A sample file has a single row group, so one task would read and process
-    it alone.  Anything larger than one input split is left as the scan
-    delivers it: at scale nothing is shuffled here.
-    """
-    table = read_table(spark, sf_dir, name)
-    if files.size_bytes(spark, f"{sf_dir}/{name}.parquet") > SPLIT_BYTES:
-        return table
-    return table.repartition(2 * spark.sparkContext.defaultParallelism, key)
-
-
 _KEYWORDS = distinct_keywords(TOPIC_KEYWORDS)
 
 
@@ -67,10 +49,22 @@ def _moment(days: int) -> str:
 def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` in the raw layout, plus ``lang`` and ``n_chars``.
 
-    Texts under 40 characters count as a missing abstract; two keywords are
-    appended to every other text that is not Spanish.
+    Two keywords are appended to every text that is not Spanish.  Every nation is
+    one more paper, without abstract and language.
     """
-    return read_texts(spark, sf_dir, "documents", "doc_id").selectExpr(
+    nations = read_table(spark, sf_dir, "nation").selectExpr(
+        "'n' || n_nationkey as id",
+        "'http://example.org/abs/n' || n_nationkey || 'v1' as link",
+        "n_name as title",
+        "'Author 0' as authors",
+        "cast(null as string) as abstract",
+        "'cs.NI' as categories",
+        "'2021-03-04T05:06:07Z' as published_date",
+        "cast(null as string) as updated_date",
+        "cast(null as string) as lang",
+        "cast(null as bigint) as n_chars",
+    )
+    return read_table(spark, sf_dir, "documents").selectExpr(
         "'d' || doc_id as id",
         "'http://example.org/abs/d' || doc_id || 'v' || (doc_id % 12 + 1) as link",
         f"'On ' || {_keyword('doc_id * 5')} || ' in ' || source as title",
@@ -78,8 +72,7 @@ def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
                      if(doc_id % 3 > 0, 'Author ' || (doc_id % 11), null),
                      if(doc_id % 5 = 0, ' ', null),
                      if(doc_id % 8 = 1, 'Müller, Jr.', null)) as authors""",
-        f"""case when n_chars < 40 then null
-                 when lang = 'es' then text
+        f"""case when lang = 'es' then text
                  else text || ' ' || {_keyword('doc_id')} || '. '
                       || {_keyword('doc_id * 7')} end as abstract""",
         """case when doc_id % 4 = 0 then 'cs.CR; cs.LG'
@@ -90,12 +83,12 @@ def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"if(doc_id % 7 <> 0, {_moment(3)}, null) as updated_date",
         "lang",
         "n_chars",
-    )
+    ).unionByName(nations)
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as papers whose abstract is the raw HTML."""
-    return read_texts(spark, sf_dir, "pages", "page_id").selectExpr(
+    return read_table(spark, sf_dir, "pages").selectExpr(
         "'p' || page_id as paper_id", "url as title", "html as abstract"
     )
 

@@ -2,15 +2,20 @@ from datetime import datetime
 
 import pytest
 from conftest import plan_of, values
+from pyspark.sql import functions as F
 
+from pubweave.functions.columns import parse_time
 from pubweave.operators.search import (
     as_integer,
     filter_publications,
+    in_years,
     latest_publications,
     newest_first,
     search_papers,
     select_corpus,
 )
+from pubweave.operators.trends import papers_by_day
+from pubweave.operators.upsert import stage_publications
 
 DAY = datetime(2024, 5, 1)
 
@@ -44,8 +49,8 @@ def pubs(spark):
     )
 
 
-def ids(df):
-    return sorted(values(df))
+def ids(df, column=None):
+    return sorted(values(df, column))
 
 
 def test_search_is_a_case_insensitive_regex(papers):
@@ -95,7 +100,7 @@ def test_newest_first(pubs):
     assert newest_first(pubs, None, "paper_id").count() == 5
 
 
-def test_large_limits_are_cut_by_position(spark, monkeypatch):
+def test_large_limits_are_lazy(spark):
     # Many ties, nulls and copies; several tasks.
     rows = spark.range(0, 5000, 1, 7).selectExpr(
         "cast(id % 997 as string) as paper_id",
@@ -104,14 +109,83 @@ def test_large_limits_are_cut_by_position(spark, monkeypatch):
         "timestamp_ntz'2023-01-01 00:00:00' as published_date",
     )
     expected = [tuple(r) for r in latest_publications(rows).collect()]
-    monkeypatch.setattr("pubweave.operators.search.TOP_K_ROWS", 10)
-    for limit in (11, 1000, 4999, 5000, 6000):
-        cut = latest_publications(rows, limit)
-        assert [tuple(r) for r in cut.collect()] == expected[:limit]
-    assert "checkpoint" not in plan_of(latest_publications(rows, 10)).lower()
+    threshold = "spark.sql.execution.topKSortFallbackThreshold"
+    for setting in (2147483632, 10):
+        spark.conf.set(threshold, setting)
+        try:
+            for limit in (11, 1000, 4999, 5000, 100_001):
+                cut = latest_publications(rows, limit)
+                assert [tuple(r) for r in cut.collect()] == expected[:limit]
+        finally:
+            spark.conf.unset(threshold)
+    spark.sparkContext.setJobGroup("lazy", "no job may start")
+    latest_publications(rows, 100_001)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert newest_first(rows, 2500, "paper_id").count() == 2500
 
 
+def test_open_years(spark):
+    df = spark.createDataFrame(
+        [("a", "2019-05-05T00:00:00Z"), ("b", "2020-01-01T00:00:00Z"),
+         ("c", "9999-12-31T23:59:59Z"), ("d", None)],
+        "id string, published_date string",
+    ).withColumn("typed", F.to_timestamp("published_date").cast("timestamp_ntz"))
+    found = {
+        (column, years): ids(df.filter(in_years(df, column, *years)))
+        for column in ("published_date", "typed")
+        for years in ((2020, 9999), (0, 2019), (9999, 9999), (-5, 20000), (2021, 2020),
+                      (10000, 10001))
+    }
+    for column in ("published_date", "typed"):
+        assert [found[column, y] for y in (
+            (2020, 9999), (0, 2019), (9999, 9999), (-5, 20000), (2021, 2020), (10000, 10001),
+        )] == [["b", "c"], ["a"], ["c"], ["a", "b", "c"], [], []]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo", "UTC"])
+def test_years_and_buckets_are_utc(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        text = spark.createDataFrame(
+            [("a", "2023-12-31T23:30:00Z"), ("b", "2024-01-01T02:00:00Z"),
+             ("c", "2024-11-03T05:30:00Z"), ("d", "2024-11-03T06:30:00.25Z")],
+            "paper_id string, published_date string",
+        )
+        forms = [
+            text,
+            text.withColumn("published_date", F.col("published_date").cast("timestamp")),
+            text.withColumn("published_date", parse_time(F.col("published_date"))),
+        ]
+        for df in forms:
+            assert ids(search_papers(df, year=2024), "paper_id") == ["b", "c", "d"]
+        for df in forms[1:]:
+            days = [(str(r.day), r.n) for r in papers_by_day(df).collect()]
+            assert days == [("2023-12-31", 1), ("2024-01-01", 1), ("2024-11-03", 2)]
+        staged = [
+            [str(r.published_date) for r in stage_publications(
+                df.selectExpr("paper_id as id", "'' as link", "'' as title", "'' as authors",
+                              "'' as abstract", "'' as categories", "published_date",
+                              "published_date as updated_date", "'' as tag")
+            ).orderBy("paper_id").collect()]
+            for df in forms
+        ]
+        assert staged[0] == staged[1] == staged[2]
+        assert staged[0][3] == "2024-11-03 06:30:00.250000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_corpus_terms_are_literal(spark):
+    df = spark.createDataFrame(
+        [("a", "word c here"), ("b", "in C++ code"), ("c", "a.b"), ("d", "axb")],
+        "id string, title string",
+    ).selectExpr("id", "title", "'' as abstract", "'' as authors", "'x' as categories",
+                 "'2021-01-01T00:00:00Z' as published_date")
+    assert ids(select_corpus(df, ["x"], ["c++", "a.b"], (2020, 9999))) == ["b", "c"]
+
+
 def test_as_integer():
     assert [as_integer(v) for v in (3, "3", 3.9, "x", None, float("nan"), float("inf"))] == [
         3, 3, 3, None, None, None, None,

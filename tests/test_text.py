@@ -1,9 +1,11 @@
 import random
 import re
 
+import pytest
 from conftest import plan_of, values
 from pyspark.sql import functions as F
 
+from pubweave.functions.columns import category_names
 from pubweave.functions.text import clean_text, phrases_found, words
 from pubweave.functions.vocabulary import (
     BY_TAG_STOPWORDS,
@@ -130,6 +132,49 @@ def test_own_topics_with_nested_keywords(spark):
     }
 
 
+def test_own_topics_with_unusual_characters(spark):
+    topics = {
+        "A": ["man, in", "log", "log-file", "log-file system", "naïve"],
+        "B\tx": ["middle", "c++", "it's", "a\\b", "[x]", "tab\there", "$5"],
+    }
+    rng = random.Random(3)
+    parts = [w for words_ in topics.values() for w in words_] + [
+        ",", "-", " ", ".", "file", "system", "x", "man", "_", "é",
+    ]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(600)]
+    texts += [" ".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(600)]
+
+    def present(text, keyword):
+        return re.search(rf"(?<!\w){re.escape(keyword)}(?!\w)", text.lower()) is not None
+
+    found = {
+        (r.id, r.keyword)
+        for r in keywords_present(papers(spark, *texts), topics=topics).collect()
+    }
+    expected = {
+        (str(i), w) for i, t in enumerate(texts) for ws in topics.values() for w in ws
+        if present(t, w)
+    }
+    assert found == expected
+    scores = {
+        (r.id, r.tag): r.score
+        for r in keyword_scores(papers(spark, *texts), topics=topics).collect()
+    }
+    for i, text in enumerate(texts):
+        for tag, keywords in topics.items():
+            total = 0.0
+            for w in keywords:
+                total += 0.1 * len(w) if present(text, w) else 0.0
+            assert scores.get((str(i), tag), 0.0) == pytest.approx(total)
+
+
+def test_category_labels_with_tabs(spark):
+    df = spark.createDataFrame([("a; b\tc; d",)], "codes string")
+    labels = {"a": "A\tone\ntwo", "b\tc": "it's"}
+    assert values(df.select(category_names(F.col("codes"), labels))) == ["A\tone\ntwo, it's, d"]
+    assert values(df.select(category_names(F.col("codes"), {}))) == ["a, b\tc, d"]
+
+
 def test_classify_replaces_tag_and_keeps_other_columns(spark):
     df = papers(spark, "malware").withColumn("tag", F.lit("old")).withColumn("z", F.lit(1))
     out = classify_data(df)

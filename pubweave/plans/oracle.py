@@ -266,14 +266,13 @@ def _cleaned() -> str:
     return _runs_without(squished, f"r IN ({_in_list(CLEANER_STOPWORDS)})")
 
 
-def _corpus() -> str:
+def _corpus_rows() -> str:
     terms = f"(^|{EDGE})({'|'.join(CORPUS_TERMS)})($|{EDGE})"
     fields = " OR ".join(
         f"coalesce(regexp_matches(lower({f}), '{terms}'), false)"
         for f in ("title", "abstract", "authors")
     )
-    return f"""{_with(RAW)}
-SELECT * EXCLUDE (lang, n_chars) FROM raw
+    return f"""SELECT * EXCLUDE (lang, n_chars) FROM raw
 WHERE list_has_any({_ITEMS.format('categories')}, {_list(CORPUS_CATEGORIES)})
   AND {_parsed('published_date')} >= TIMESTAMP '2020-01-01 00:00:00'
   AND {_parsed('published_date')} < TIMESTAMP '2026-01-01 00:00:00'
@@ -283,18 +282,20 @@ WHERE list_has_any({_ITEMS.format('categories')}, {_list(CORPUS_CATEGORIES)})
 _MERGE_COLUMNS = "link title authors abstract categories published_date updated_date".split()
 
 
-def _merged() -> str:
+def _merged(
+    relations: tuple[str, ...] = (RAW, STAGED, STORED, INCOMING, NEWEST), stored: str = "stored"
+) -> str:
     taken = ", ".join(
         f"CASE WHEN action = 'keep' THEN p_{c} ELSE s_{c} END AS {c}"
         for c in _MERGE_COLUMNS
     )
     sides = ", ".join(f"p.{c} AS p_{c}, s.{c} AS s_{c}" for c in _MERGE_COLUMNS)
-    return f"""{_with(RAW, STAGED, STORED, INCOMING, NEWEST)},
+    return f"""{_with(*relations)},
 usable AS (SELECT * FROM newest WHERE paper_id IS NOT NULL AND paper_id <> ''),
 joined AS (
   SELECT coalesce(p.paper_id, s.paper_id) AS paper_id, {sides}, p.tag AS p_tag,
          s.tag AS s_tag, p.umap_x, p.umap_y, {ACTION} AS action
-  FROM stored p FULL OUTER JOIN usable s ON p.paper_id = s.paper_id
+  FROM {stored} p FULL OUTER JOIN usable s ON p.paper_id = s.paper_id
 )
 SELECT paper_id, {taken},
        CASE action WHEN 'keep' THEN p_tag WHEN 'insert' THEN s_tag
@@ -303,6 +304,80 @@ SELECT paper_id, {taken},
 FROM joined"""
 
 
+SECOND = f"""
+first_papers AS (
+  SELECT *, NULL::DOUBLE AS umap_x, NULL::DOUBLE AS umap_y FROM staged
+),
+second_papers AS (
+  SELECT paper_id, link || '#again' AS link, title, authors, abstract, categories,
+         published_date,
+         CASE length(title) % 3 WHEN 0 THEN published_date WHEN 1 THEN updated_date
+              ELSE TIMESTAMP '2031-01-01' END AS updated_date,
+         CASE length(link) % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN ' X '
+              END AS tag
+  FROM staged
+  UNION ALL
+  SELECT CASE WHEN role <> 'system' THEN 'c' || conv_id END, 'turn ' || turn, role,
+         '', text, '', TIMESTAMP '2024-01-01',
+         TIMESTAMP '2024-01-01' + to_hours(turn % 24), ' q '
+  FROM conversations
+),
+{NEWEST.strip().replace('FROM incoming)', 'FROM second_papers)')}"""
+
+_PUBS = """
+pubs AS (
+  SELECT staged.* EXCLUDE (tag), classified.tag FROM staged
+  JOIN classified ON classified.id = staged.paper_id
+)"""
+
+
+def _store_oracles(by_author: str, staged_authors: str, n_authors: str) -> dict[str, str]:
+    """SQL of the queries that run through files."""
+    merged = _merged((RAW, STAGED, SECOND), "first_papers")
+    pubs = _with(*_CLASSIFY, STAGED, _PUBS)
+    dated = _with(RAW, STAGED)
+    return {
+        "store_round_trip": f"SELECT * EXCLUDE (action, umap_x, umap_y) FROM ({merged})",
+        "store_counts": f"""{_with(RAW, STAGED, SECOND)}, actions AS (
+  SELECT {ACTION} AS action
+  FROM newest s LEFT JOIN first_papers p ON p.paper_id = s.paper_id)
+SELECT 1 AS save, count(*) AS inserted, 0 AS updated, 0 AS skipped FROM staged
+UNION ALL
+SELECT 2, count(*) FILTER (action = 'insert'), count(*) FILTER (action = 'update'),
+       (SELECT count(*) FROM second_papers) - count(*) FILTER (action <> 'keep')
+FROM actions""",
+        "raw_round_trip": f"{_with(RAW)} SELECT * EXCLUDE (lang, n_chars) FROM raw",
+        "etl_papers": f"""{pubs}, chosen AS ({_corpus_rows()})
+SELECT paper_id, title, authors, categories, published_date, updated_date, tag
+FROM pubs WHERE paper_id IN (SELECT id FROM chosen)""",
+        "mart_has_data": f"{dated} SELECT count(*) > 0 AS has_data FROM staged",
+        "mart_pubs_by_day": f"""{dated}
+SELECT CAST(published_date AS DATE) AS day, count(*) AS n FROM staged GROUP BY day""",
+        "mart_pubs_by_month": f"""{dated}
+SELECT CAST(date_trunc('month', published_date) AS DATE) AS month, count(*) AS n
+FROM staged GROUP BY month""",
+        "mart_pubs_by_weekday": f"""{dated}
+SELECT CAST(isodow(published_date) - 1 AS INTEGER) AS weekday_idx,
+       ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(published_date)] AS weekday,
+       ['Пн', 'Вт', 'Ср', 'Чт', 'Пт', 'Сб', 'Вс'][isodow(published_date)] AS weekday_ru,
+       count(*) AS n
+FROM staged WHERE published_date IS NOT NULL GROUP BY ALL""",
+        "mart_top_authors": f"{_with(RAW, STAGED, staged_authors.format('staged'))} {by_author}",
+        "mart_author_counts": f"{dated} SELECT paper_id, {n_authors} AS n_authors FROM staged",
+        "mart_authors_per_paper": f"""{dated}
+SELECT {n_authors} AS n_authors, count(*) AS n FROM staged GROUP BY 1""",
+        "mart_tag_counts": f"{pubs} SELECT tag, count(*) AS n FROM pubs GROUP BY tag",
+        "mart_tag_share": f"""{pubs}
+SELECT tag, n, round_even(CAST(n AS DOUBLE) / (SELECT count(*) FROM pubs) * 100, 1)
+         AS percentage
+FROM (SELECT tag, count(*) AS n FROM pubs GROUP BY tag)""",
+        "mart_top_words": _with(RAW, _words("raw")) + _top_words("raw", 30),
+        "mart_topic_words": _with(
+            *_CLASSIFY, _words("classified", "tag,", "tag <> 'other'")
+        ) + _ranked_words(5),
+    }
+
+
 def all_oracles() -> dict[str, str]:
     """SQL by query name."""
     merged = _merged()
@@ -315,20 +390,22 @@ author_rows AS (
 SELECT authors, count(*) AS n FROM author_rows
 GROUP BY authors ORDER BY n DESC, authors LIMIT 10"""
     n_authors = "CAST(length(authors) - length(replace(authors, ',', '')) + 1 AS INTEGER)"
-    return {
-        "atom_entries": f"""{_with(RAW)}
+    atom_entries = f"""{_with(RAW)}
 SELECT regexp_extract(link, 'abs/(.*)v', 1) AS id, link, title,
        array_to_string(list_transform(string_split(authors, '; '), lambda x: trim(x)), '; ')
          AS authors,
        trim(abstract, ' \t' || chr(10) || chr(13)) AS abstract,
        coalesce(array_to_string({_ITEMS.format('categories')}, '; '), '') AS categories,
        published_date, updated_date
-FROM raw""",
+FROM raw"""
+    return _store_oracles(by_author, staged_authors, n_authors) | {
+        "atom_entries": atom_entries,
+        "atom_files": atom_entries,
         "pages_union": f"""{_with(RAW)}
 SELECT id, title, abstract FROM raw
 UNION ALL SELECT 'p' || page_id, url, html FROM pages
 UNION ALL SELECT 'c' || conv_id, role, text FROM conversations""",
-        "corpus_filter": _corpus(),
+        "corpus_filter": f"{_with(RAW)} {_corpus_rows()}",
         "newest_first_topn": f"""{_with(EVENTS)}
 SELECT * FROM event_log ORDER BY published_date DESC NULLS LAST, paper_id LIMIT 100""",
         "paper_id_from_link": f"{_with(RAW)} SELECT id, id AS paper_id FROM raw",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubweave.functions.columns import (
     category_names,
@@ -20,6 +20,7 @@ from pubweave.operators.classify import (
     keywords_present,
 )
 from pubweave.plans.marts import by_tag_order
+from pubweave.plans.store_queries import store_queries
 from pubweave.schemas import ATOM_ENTRY_SCHEMA, PUBLICATION_COLUMNS, RAW_SCHEMA
 from pubweave.sources import sample_tables as sample
 from pubweave.sources.atom import ENTRY_OPTIONS, entries_to_raw
@@ -35,7 +36,7 @@ def _query(function: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+    return _REGISTRY | store_queries()
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,39 +65,11 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- collection -----------------------------------------------------------
 
 
-def _element(name: str, text: Column) -> Column:
-    escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    return F.when(
-        text.isNotNull(),
-        F.concat(F.lit(f"<{name}>"), escaped, F.lit(f"</{name}>")),
-    )
-
-
 @_query
 def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers written as Atom entries, parsed and projected onto the raw layout."""
     raw = sample.raw_papers(spark, sf_dir)
-    authors = F.transform(
-        F.split("authors", "; "),
-        lambda name: F.concat(F.lit("<author>"), _element("name", name), F.lit("</author>")),
-    )
-    categories = F.transform(
-        F.filter(F.split("categories", ";"), lambda code: F.trim(code) != ""),
-        lambda code: F.concat(F.lit('<category term="'), F.trim(code), F.lit('"/>')),
-    )
-    xml = F.concat_ws(
-        "\n  ",
-        F.lit("<entry>"),
-        _element("id", F.col("link")),
-        _element("title", F.col("title")),
-        _element("summary", F.col("abstract")),
-        _element("published", F.col("published_date")),
-        _element("updated", F.col("updated_date")),
-        F.array_join(authors, ""),
-        F.array_join(categories, ""),
-        F.lit("</entry>"),
-    )
-    entry = F.from_xml(xml, ATOM_ENTRY_SCHEMA.simpleString(), ENTRY_OPTIONS)
+    entry = F.from_xml(sample.atom_entry(), ATOM_ENTRY_SCHEMA.simpleString(), ENTRY_OPTIONS)
     return entries_to_raw(raw.select(entry.alias("entry")).select("entry.*"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pubweave.functions.vocabulary import TOPIC_KEYWORDS, distinct_keywords
 SCHEMAS = {
@@ -128,6 +128,58 @@ def stored_publications(papers: DataFrame, pages: DataFrame) -> DataFrame:
     return stored_papers.unionByName(stored_pages)
 
 
+def second_batch(papers: DataFrame, turns: DataFrame) -> DataFrame:
+    """Raw papers to save after ``papers``: each one again, with an earlier, the same or
+    a later update, and one per conversation turn, many to a paper, some without id."""
+    again = papers.selectExpr(
+        "id", "link || '#again' as link", "title", "authors", "abstract", "categories",
+        "published_date",
+        """case length(title) % 3 when 0 then published_date when 1 then updated_date
+           else '2031-01-01T00:00:00Z' end as updated_date""",
+        "case length(link) % 4 when 0 then '' when 1 then '  ' when 2 then ' X ' end as tag",
+    )
+    new = turns.selectExpr(
+        "if(title = 'system', null, id) as id", "'turn ' || turn as link", "title",
+        "'' as authors", "abstract", "'' as categories",
+        "'2024-01-01T00:00:00Z' as published_date",
+        "'2024-01-01T' || lpad(turn % 24, 2, '0') || ':00:00Z' as updated_date",
+        "' q ' as tag",
+    )
+    return again.unionByName(new)
+
+
+def _element(name: str, text: Column) -> Column:
+    escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.when(
+        text.isNotNull(),
+        F.concat(F.lit(f"<{name}>"), escaped, F.lit(f"</{name}>")),
+    )
+
+
+def atom_entry() -> Column:
+    """A raw paper as an Atom entry."""
+    authors = F.transform(
+        F.split("authors", "; "),
+        lambda name: F.concat(F.lit("<author>"), _element("name", name), F.lit("</author>")),
+    )
+    categories = F.transform(
+        F.filter(F.split("categories", ";"), lambda code: F.trim(code) != ""),
+        lambda code: F.concat(F.lit('<category term="'), F.trim(code), F.lit('"/>')),
+    )
+    return F.concat_ws(
+        "\n  ",
+        F.lit("<entry>"),
+        _element("id", F.col("link")),
+        _element("title", F.col("title")),
+        _element("summary", F.col("abstract")),
+        _element("published", F.col("published_date")),
+        _element("updated", F.col("updated_date")),
+        F.array_join(authors, ""),
+        F.array_join(categories, ""),
+        F.lit("</entry>"),
+    )
+
+
 def incoming_papers(staged: DataFrame, turns: DataFrame) -> DataFrame:
     """A staged batch: every stored document again, a day earlier, the same day
     or a day later, and one paper per conversation turn, with many turns to a

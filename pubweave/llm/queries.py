@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pubweave.llm.common import new_folder, read_table
 from pubweave.llm.decontaminate import find_contamination
 from pubweave.llm.exact_dedup import exact_dedup
+from pubweave.llm.licenses import scan_licenses
 from pubweave.llm.minhash import minhash_dedup
 from pubweave.llm.pieces import encode_pieces
 from pubweave.llm.secrets import KINDS, scan_secrets
 from pubweave.llm.sharding import shard_documents
+from pubweave.llm.suffix_dedup import suffix_dedup
 from pubweave.llm.toxicity import score_toxicity
 from pubweave.llm.token_files import ids_crc32, read_token_files, write_token_files
 
@@ -49,11 +51,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.withColumnRenamed("digest", "text_sha256")
 
 
+@_query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licences of its passages, in order of place."""
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_passages"),
+        F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"),
+        F.coalesce(F.round(F.array_max("found.dice"), 6), F.lit(0.0)).alias("best_dice"),
+        F.col("found.first_word").alias("first_words"),
+    )
+
+
 @_query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    )
+    ).drop("mark")
 
 
 @_query
@@ -124,7 +139,25 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(read_table(spark, sf_dir, "documents"))
+    return minhash_dedup(read_table(spark, sf_dir, "documents")).drop("mark")
+
+
+def span_digests(cut: DataFrame) -> DataFrame:
+    """Numbers and digests of what ``suffix_dedup`` returns."""
+    sizes = F.transform("spans", lambda s: s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@_query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of a repeated string goes, that of its first place, too."""
+    return span_digests(suffix_dedup(read_table(spark, sf_dir, "documents"), keep="none"))
 
 
 def piece_digests(encoded: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pubweave.llm.common import small_batches, whole_text
 from pubweave.llm.pieces import ragged
 
-#: Chunks of text whose ids a Python worker remembers; beyond that it starts anew.
-KNOWN_CHUNKS = 600_000
+#: Chunks of text whose ids a Python worker remembers, about 150 bytes each; beyond
+#: that it starts anew.
+KNOWN_CHUNKS = 1_600_000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
@@ -86,7 +88,7 @@ class Encoder:
             self.known.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.at = np.append(self.at, len(self.pool) + np.cumsum(counts) - counts)
             self.length = np.append(self.length, counts)
-            added = np.fromiter((i for one in ids for i in one), np.uint32, counts.sum())
+            added = np.fromiter(chain.from_iterable(ids), np.uint32, counts.sum())
             self.pool = np.append(self.pool, added)
         index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         lengths = self.length[index]

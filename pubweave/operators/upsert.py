@@ -7,6 +7,8 @@ inserted; everything else is skipped.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pubweave.functions.columns import (
@@ -110,17 +112,22 @@ def merge_publications(
 
 
 def decide_changes(
-    stored: DataFrame, batch: DataFrame, now: Column | None = None
+    stored: DataFrame,
+    batch: DataFrame,
+    now: Column | None = None,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """New and updated publications of a deduplicated ``batch``, with ``action``.
 
-    Reads only ``DECISION_COLUMNS`` of the stored side.
+    Reads only ``DECISION_COLUMNS`` of the stored side, and ``carried``, further
+    columns of it to hand on.
     """
-    p, s = stored.select(*DECISION_COLUMNS).alias("p"), valid_keys(batch).alias("s")
+    p = stored.select(*DECISION_COLUMNS, *carried).alias("p")
+    s = valid_keys(batch).alias("s")
     joined = s.join(p, F.col("p.paper_id") == F.col("s.paper_id"), "left_outer")
     changed = joined.withColumn("action", _action()).filter(F.col("action") != KEEP)
     merged = [_merged(name, now).alias(name) for name in PUBLICATIONS_SCHEMA.names]
-    return changed.select(*merged, "action")
+    return changed.select(*merged, "action", *carried)
 
 
 def count_actions(staged: DataFrame, stored: DataFrame) -> DataFrame:

@@ -24,6 +24,12 @@ def size_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(jpath).getLength()
 
 
+def modified(spark: SparkSession, path: str) -> float:
+    """Time of the last change in seconds since 1970."""
+    fs, jpath = _locate(spark, path)
+    return fs.getFileStatus(jpath).getModificationTime() / 1000
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
     fs, jpath = _locate(spark, path)
@@ -65,7 +71,9 @@ def publish_text(spark: SparkSession, path: str, text: str) -> bool:
 def overwrite_parquet(df: DataFrame, path: str) -> None:
     """Replace the table at ``path``, also if ``df`` reads from it.
 
-    The old table stays until the new one is written in full.
+    The old table stays until the new one is written in full.  It is then deleted
+    before the new one takes its name: readers in between fail, and after a crash
+    just there the complete new table is found as ``path.writing-...``.
     """
     spark = df.sparkSession
     draft = f"{path}.writing-{uuid.uuid4().hex}"

@@ -1,30 +1,35 @@
-"""The stored publications: versioned Parquet, split by a hash of paper_id.
+"""The stored publications: versioned Parquet, split by month of publication.
 
 Layout under the store's folder::
 
-    versions/0000000007.json      which data folders make up each bucket
-    data/7-<id>/bucket=3/*.parquet
+    versions/0000000007.json          which data folders make up each month
+    data/7-<id>/month=2024-05/*.parquet
 
-The highest version is current.  A save writes one new data folder and then one
-version file, so readers see either all of it or nothing.  Inserts add files to
-their bucket; only buckets with updated papers are rewritten.  A save that loses
-the race for a version number fails and leaves the table as it was (this relies
-on a rename that does not replace files, as on HDFS).
+The highest version is current.  A save writes new data folders and then one
+version file, so readers see either all of it or nothing.  New papers add files to
+their months; only months that lose a replaced row are rewritten, so what a save
+costs follows its batch.  A year filter reads the folders of its months.  A save
+that loses the race for a version number fails and leaves the table as it was (this
+relies on a rename that does not replace files, as on HDFS).
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from math import ceil
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pubweave.operators.search import filter_publications, latest_publications
+from pubweave.operators.search import (
+    as_integer,
+    filter_publications,
+    latest_publications,
+)
 from pubweave.operators.upsert import (
     BATCH_SCHEMA,
     DECISION_COLUMNS,
@@ -40,21 +45,12 @@ from pubweave.sources import files
 
 STORE_ENV = "PUBWEAVE_STORE"
 STORE_CONF = "spark.pubweave.store"
-BUCKETS_CONF = "spark.pubweave.store.buckets"
 DEFAULT_STORE = "data/publications"
 
-#: Without other choice, a store has at least this many buckets, and so many
-#: that each gets no more than this of the first batch.
-MIN_BUCKETS = 32
-BUCKET_BYTES = 1024 * 1024 * 1024
-#: Input bytes one task of a rewrite should get.
-TASK_BYTES = 256 * 1024 * 1024
 #: Up to this size, keys travel to every task; beyond it both sides are shuffled.
 BROADCAST_BYTES = 8 * 1024 * 1024
-#: A bucket made up of this many folders is rewritten into one.
-MAX_FOLDERS = 16
-#: Versions whose data stays on disk, for readers that started before a save.
-KEPT_VERSIONS = 3
+#: The month of papers without publication date.
+NO_MONTH = "none"
 
 
 def store_path(spark: SparkSession, path: str | None = None) -> str:
@@ -68,29 +64,26 @@ def store_path(spark: SparkSession, path: str | None = None) -> str:
 
 @dataclass
 class Version:
-    """One version of the store: its data folders per bucket."""
+    """One version of the store: its data folders per month."""
 
     number: int
-    buckets: int
-    folders: dict[int, list[str]] = field(default_factory=dict)
+    folders: dict[str, list[str]] = field(default_factory=dict)
 
     @staticmethod
     def file(store: str, number: int) -> str:
         return f"{store}/versions/{number:010d}.json"
 
-    def paths(self, store: str, buckets: Iterable[int] | None = None) -> list[str]:
-        chosen = self.folders if buckets is None else buckets
+    def paths(self, store: str, months: Iterable[str] | None = None) -> list[str]:
+        chosen = self.folders if months is None else months
         return [
-            f"{store}/data/{folder}/bucket={bucket}"
-            for bucket in chosen
-            for folder in self.folders.get(bucket, [])
+            f"{store}/data/{folder}/month={month}"
+            for month in chosen
+            for folder in self.folders.get(month, [])
         ]
 
     def publish(self, spark: SparkSession, store: str) -> bool:
-        content = {"buckets": self.buckets, "folders": self.folders}
-        return files.publish_text(
-            spark, self.file(store, self.number), json.dumps(content)
-        )
+        content = json.dumps({"folders": self.folders})
+        return files.publish_text(spark, self.file(store, self.number), content)
 
 
 def _version_numbers(spark: SparkSession, store: str) -> list[int]:
@@ -100,8 +93,7 @@ def _version_numbers(spark: SparkSession, store: str) -> list[int]:
 
 def _read_version(spark: SparkSession, store: str, number: int) -> Version:
     content = json.loads(files.read_text(spark, Version.file(store, number)))
-    folders = {int(bucket): names for bucket, names in content["folders"].items()}
-    return Version(number, content["buckets"], folders)
+    return Version(number, content["folders"])
 
 
 def current_version(spark: SparkSession, store: str) -> Version | None:
@@ -109,37 +101,24 @@ def current_version(spark: SparkSession, store: str) -> Version | None:
     return _read_version(spark, store, numbers[-1]) if numbers else None
 
 
-def init_store(
-    spark: SparkSession,
-    path: str | None = None,
-    buckets: int | None = None,
-    expected_bytes: int = 0,
-) -> Version:
-    """Create the empty table if there is none.
-
-    The number of buckets is fixed then.  Choose it so that a bucket holds a
-    few gigabytes at most: rewriting one is the price of an update in it.
-    """
+def init_store(spark: SparkSession, path: str | None = None) -> Version:
+    """Create the empty table if there is none."""
     store = store_path(spark, path)
-    version = current_version(spark, store)
-    if version is None:
-        chosen = buckets or int(spark.conf.get(BUCKETS_CONF, "0"))
-        fitting = max(MIN_BUCKETS, ceil(expected_bytes / BUCKET_BYTES))
-        Version(0, chosen or fitting).publish(spark, store)
-        version = current_version(spark, store)
-    return version
+    if current_version(spark, store) is None:
+        Version(0).publish(spark, store)
+    return current_version(spark, store)
 
 
 def read_publications(
     spark: SparkSession,
     path: str | None = None,
-    buckets: Iterable[int] | None = None,
+    months: Iterable[str] | None = None,
     version: Version | None = None,
 ) -> DataFrame:
     """All stored columns of the current version, or no rows if nothing is stored."""
     store = store_path(spark, path)
     version = version or current_version(spark, store)
-    paths = version.paths(store, buckets) if version else []
+    paths = version.paths(store, months) if version else []
     if not paths:
         return spark.createDataFrame([], PUBLICATIONS_SCHEMA)
     return spark.read.schema(PUBLICATIONS_SCHEMA).parquet(*paths)
@@ -154,17 +133,22 @@ def load_publications(
     text: str | None = None,
     limit: Any = None,
 ) -> DataFrame:
-    """Stored publications, filtered, latest update first."""
-    stored = read_publications(spark, path).select(*PUBLICATION_COLUMNS)
+    """Stored publications, filtered, latest update first.
+
+    A year reads its twelve months only.  Reports need no order; they start from
+    ``read_publications``.
+    """
+    store = store_path(spark, path)
+    version = current_version(spark, store)
+    whole_year, months = as_integer(year), None
+    if version and whole_year is not None:
+        months = [m for m in version.folders if m.startswith(f"{whole_year:04d}-")]
+    stored = read_publications(spark, store, months, version).select(*PUBLICATION_COLUMNS)
     return latest_publications(filter_publications(stored, year, category, text), limit)
 
 
 def save_publications(
-    papers: DataFrame,
-    path: str | None = None,
-    *,
-    buckets: int | None = None,
-    strict: bool = True,
+    papers: DataFrame, path: str | None = None, *, strict: bool = True
 ) -> dict[str, Any]:
     """Merge classified papers into the store; returns what was done.
 
@@ -185,9 +169,8 @@ def save_publications(
         ).first()
         inserted = updated = 0
         if total["papers"]:
-            size = files.size_bytes(spark, scratch)
-            version = init_store(spark, store, buckets, size)
-            changes = _decide(spark, store, version, batch, total["key_bytes"], size)
+            version = init_store(spark, store)
+            changes = _decide(spark, store, version, batch, total["key_bytes"])
             inserted, updated = _apply(spark, store, version, changes)
     finally:
         files.delete(spark, scratch)
@@ -200,88 +183,90 @@ def save_publications(
 
 
 def _decide(
-    spark: SparkSession,
-    store: str,
-    version: Version,
-    batch: DataFrame,
-    key_bytes: int,
-    size: int,
+    spark: SparkSession, store: str, version: Version, batch: DataFrame, key_bytes: int
 ) -> DataFrame:
-    """Changed publications, with their buckets, a bucket's rows in few tasks."""
-    known = read_publications(spark, store, version=version).select(*DECISION_COLUMNS)
+    """Changed publications, with the month of the stored row that each replaces."""
+    known = read_publications(spark, store, version=version).select(
+        *DECISION_COLUMNS, _month("published_date").alias("old_month")
+    )
     if key_bytes <= BROADCAST_BYTES:
         # A small batch visits the stored keys instead of having them shuffled.
         wanted = F.broadcast(valid_keys(batch).select("paper_id"))
         known = known.join(wanted, "paper_id", "left_semi")
-        changes = _with_bucket(decide_changes(known, batch), version)
-        tasks = min(version.buckets, ceil(size / TASK_BYTES))
-        return changes.repartition(max(1, tasks), "bucket")
-    tasks = _whole_bucket_tasks(version, size)
-    known = known.repartition(tasks, "paper_id")
-    batch = batch.repartition(tasks, "paper_id")
-    return _with_bucket(decide_changes(known, batch), version)
+    return decide_changes(known, batch, carried=["old_month"])
 
 
 def _apply(
     spark: SparkSession, store: str, version: Version, changes: DataFrame
 ) -> tuple[int, int]:
-    """Write the changes and what they leave of their buckets; publish both."""
+    """Write the changes and what they leave of the months they touch; publish both."""
     folder = f"{version.number + 1}-{uuid.uuid4().hex[:12]}"
     rest = f"{folder}-rest"
     target, rest_target = f"{store}/data/{folder}", f"{store}/data/{rest}"
     try:
-        _write_buckets(changes, target)
-        written = _bucket_numbers(spark, target)
+        _write_months(changes, target)
+        written = _months_in(spark, target)
         if not written:
             files.delete(spark, target)
             return 0, 0
-        # One row per bucket, so its size does not depend on the batch.
-        done = spark.read.parquet(target).groupBy("bucket").agg(
+        # One row per month, so its size does not depend on the batch.
+        new = spark.read.parquet(target)
+        done = new.groupBy("old_month").agg(
             F.count_if(F.col("action") == INSERT).alias("inserted"),
             F.count_if(F.col("action") == UPDATE).alias("updated"),
             F.sum(F.when(F.col("action") == UPDATE, _key_bytes())).alias("key_bytes"),
         ).collect()
         inserted = sum(row["inserted"] for row in done)
         updated = sum(row["updated"] for row in done)
-        rewritten = {row["bucket"] for row in done if row["updated"]} | {
-            bucket
-            for bucket in written
-            if len(version.folders.get(bucket, [])) >= MAX_FOLDERS
-        }
+        rewritten = {row["old_month"] for row in done if row["updated"]}
+        left_over: set[str] = set()
         if rewritten:
-            replaced = spark.read.parquet(target).filter(F.col("action") == UPDATE)
+            replaced = new.filter(F.col("action") == UPDATE).select("paper_id")
             key_bytes = sum(row["key_bytes"] or 0 for row in done)
-            kept = _unchanged(
-                spark, store, version, rewritten, replaced.select("paper_id"), key_bytes
-            )
-            _write_buckets(kept, rest_target)
-        left_over = _bucket_numbers(spark, rest_target) if rewritten else set()
+            kept = _unchanged(spark, store, version, rewritten, replaced, key_bytes)
+            _write_months(kept, rest_target)
+            left_over = _months_in(spark, rest_target)
+            if not left_over:
+                files.delete(spark, rest_target)
     except BaseException:
         files.delete(spark, target)
         files.delete(spark, rest_target)
         raise
 
-    folders = {bucket: list(names) for bucket, names in version.folders.items()}
-    for bucket in written:
-        if bucket in rewritten:
-            folders[bucket] = [rest] if bucket in left_over else []
-        folders.setdefault(bucket, []).append(folder)
-    following = Version(version.number + 1, version.buckets, folders)
-    # If this raises, the version may or may not be there, so its data stay;
-    # should they be unused, a later save removes them.
-    if not following.publish(spark, store):
-        files.delete(spark, target)
-        files.delete(spark, rest_target)
-        raise RuntimeError(f"Another save to '{store}' finished first; save again")
-    _forget_old_versions(spark, store)
+    folders = {month: list(names) for month, names in version.folders.items()}
+    for month in rewritten:
+        folders[month] = [rest] if month in left_over else []
+    for month in written:
+        folders.setdefault(month, []).append(folder)
+    _publish(spark, store, version, folders, [target, rest_target])
     return inserted, updated
 
 
-def _write_buckets(rows: DataFrame, path: str) -> None:
-    # Writing by bucket sorts by it anyway; with the date behind it, the
-    # statistics of a row group cover few years and a year filter skips most.
-    ordered = rows.sortWithinPartitions("bucket", "published_date")
-    ordered.write.partitionBy("bucket").parquet(path)
+def _publish(
+    spark: SparkSession,
+    store: str,
+    version: Version,
+    folders: dict[str, list[str]],
+    targets: list[str],
+) -> None:
+    """Make the next version current.  If this raises otherwise than by a lost race,
+    the version may or may not be there, so its data stay."""
+    used = {month: names for month, names in folders.items() if names}
+    if not Version(version.number + 1, used).publish(spark, store):
+        for target in targets:
+            files.delete(spark, target)
+        raise RuntimeError(f"Another save to '{store}' finished first; save again")
+
+
+def _write_months(rows: DataFrame, path: str) -> None:
+    # Few tasks per month, more for a large one: adaptive execution evens them out.
+    spread = rows.withColumn("month", _month("published_date")).hint("rebalance", "month")
+    ordered = spread.sortWithinPartitions("month", "published_date")
+    ordered.write.partitionBy("month").parquet(path)
+
+
+def _month(column: str) -> Column:
+    return F.coalesce(F.date_format(column, "yyyy-MM"), F.lit(NO_MONTH))
 
 
 def _key_bytes() -> Column:
@@ -289,55 +274,64 @@ def _key_bytes() -> Column:
     return F.octet_length("paper_id") + 64
 
 
-def _bucket_numbers(spark: SparkSession, path: str) -> set[int]:
+def _months_in(spark: SparkSession, path: str) -> set[str]:
     names = files.list_names(spark, path)
-    return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
-
-
-def _with_bucket(rows: DataFrame, version: Version) -> DataFrame:
-    bucket = F.pmod(F.hash("paper_id"), F.lit(version.buckets))
-    return rows.withColumn("bucket", bucket)
+    return {n.removeprefix("month=") for n in names if n.startswith("month=")}
 
 
 def _unchanged(
     spark: SparkSession,
     store: str,
     version: Version,
-    buckets: set[int],
+    months: set[str],
     replaced: DataFrame,
     key_bytes: int,
 ) -> DataFrame:
-    """Rows of the buckets to rewrite that no change replaces."""
-    stored = read_publications(spark, store, buckets, version)
+    """Rows of the months to rewrite that no change replaces."""
+    stored = read_publications(spark, store, sorted(months), version)
     if key_bytes <= BROADCAST_BYTES:
         replaced = F.broadcast(replaced)
-    else:
-        folders = {f for bucket in buckets for f in version.folders.get(bucket, [])}
-        size = sum(files.size_bytes(spark, f"{store}/data/{f}") for f in folders)
-        tasks = _whole_bucket_tasks(version, size)
-        stored = stored.repartition(tasks, "paper_id")
-        replaced = replaced.repartition(tasks, "paper_id")
-    return _with_bucket(stored.join(replaced, "paper_id", "left_anti"), version)
-
+    return stored.join(replaced, "paper_id", "left_anti")
 
-def _whole_bucket_tasks(version: Version, size: int) -> int:
-    """Number of shuffle partitions such that none mixes two buckets.
 
-    Spark places a row by the same hash that chooses its bucket, so any
-    multiple of the number of buckets will do.
-    """
-    return version.buckets * max(1, ceil(size / (version.buckets * TASK_BYTES)))
+def compact_store(spark: SparkSession, path: str | None = None, folders: int = 1) -> int:
+    """Rewrite the months made up of more than ``folders`` folders; returns their number."""
+    store = store_path(spark, path)
+    version = init_store(spark, store)
+    months = sorted(m for m, names in version.folders.items() if len(names) > folders)
+    if months:
+        folder = f"{version.number + 1}-{uuid.uuid4().hex[:12]}"
+        target = f"{store}/data/{folder}"
+        try:
+            _write_months(read_publications(spark, store, months, version), target)
+        except BaseException:
+            files.delete(spark, target)
+            raise
+        merged = version.folders | {month: [folder] for month in months}
+        _publish(spark, store, version, merged, [target])
+    return len(months)
 
 
-def _forget_old_versions(spark: SparkSession, store: str) -> None:
-    """Delete versions beyond the kept ones and data only they refer to."""
+def forget_versions(
+    spark: SparkSession, path: str | None = None, older_than: float = 7 * 24 * 3600.0
+) -> int:
+    """Delete versions replaced more than so many seconds ago, and data only they
+    refer to; returns the number of versions.  No reader may be older than that."""
+    store = store_path(spark, path)
     numbers = _version_numbers(spark, store)
-    kept = [_read_version(spark, store, n) for n in numbers[-KEPT_VERSIONS:]]
+    now = time.time()
+    gone = [
+        number
+        for number, following in zip(numbers, numbers[1:])
+        if now - files.modified(spark, Version.file(store, following)) > older_than
+    ]
+    kept = [_read_version(spark, store, n) for n in numbers if n not in gone]
     needed = {f for v in kept for names in v.folders.values() for f in names}
-    for number in numbers[:-KEPT_VERSIONS]:
+    for number in gone:
         files.delete(spark, Version.file(store, number))
-    for folder in files.list_names(spark, f"{store}/data"):
+    for folder in files.list_names(spark, f"{store}/data") if gone else []:
         # Folders of later versions may belong to a save that is still running.
         written_for = int(folder.partition("-")[0])
         if folder not in needed and written_for < kept[0].number:
             files.delete(spark, f"{store}/data/{folder}")
+    return len(gone)

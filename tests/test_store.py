@@ -12,10 +12,13 @@ from pubweave.operators.upsert import (
     newest_per_key,
     stage_publications,
 )
+from pubweave.plans.marts import build_marts
 from pubweave.schemas import PUBLICATION_COLUMNS, PUBLICATIONS_SCHEMA
 from pubweave.sources import files, publications as store_module
 from pubweave.sources.publications import (
+    compact_store,
     current_version,
+    forget_versions,
     init_store,
     load_publications,
     read_publications,
@@ -29,8 +32,10 @@ CLASSIFIED = (
 )
 
 
-def paper(key, updated="2024-01-02T00:00:00Z", tag="t", title="title"):
-    return (key, "link", title, "A; B", "abstract", "cs.CR", "2024-01-01T00:00:00Z", updated, tag)
+def paper(
+    key, updated="2024-01-02T00:00:00Z", tag="t", title="title", published="2024-01-01T00:00:00Z"
+):
+    return (key, "link", title, "A; B", "abstract", "cs.CR", published, updated, tag)
 
 
 def batch(spark, *rows):
@@ -57,20 +62,10 @@ def test_missing_store_is_empty_and_typed(spark, path):
 
 
 def test_init_is_idempotent(spark, path):
-    assert init_store(spark, path, 4).buckets == 4
-    assert init_store(spark, path, 8).buckets == 4
+    assert init_store(spark, path) == init_store(spark, path)
     assert load_publications(spark, path).count() == 0
 
 
-def test_bucket_count_follows_the_first_batch(spark, tmp_path):
-    for folder, chosen, size, expected in (
-        ("a", None, 0, store_module.MIN_BUCKETS),
-        ("b", None, 100 * store_module.BUCKET_BYTES, 100),
-        ("c", 8, 100 * store_module.BUCKET_BYTES, 8),
-    ):
-        assert init_store(spark, str(tmp_path / folder), chosen, size).buckets == expected
-
-
 def test_insert_then_read(spark, path):
     stats = save_publications(batch(spark, paper("a", tag=" q "), paper("b", None)), path)
     assert counts(stats) == (2, 0, 0) and stats["path"] == path
@@ -151,38 +146,83 @@ def test_bad_dates_fail_unless_allowed(spark, path):
     assert counts(save_publications(papers, path, strict=False)) == (1, 0, 0)
 
 
-def test_inserts_do_not_rewrite_and_updates_rewrite_their_bucket(spark, path):
-    keys = [str(i) for i in range(40)]
-    save_publications(batch(spark, *map(paper, keys)), path, buckets=4)
-    first = current_version(spark, path).folders
-    save_publications(batch(spark, paper("new")), path)
-    second = current_version(spark, path).folders
-    (grown,) = [b for b in second if second[b] != first[b]]
-    assert second[grown][:-1] == first[grown] and len(second[grown]) == 2
-    save_publications(batch(spark, paper("new", "2025-01-01T00:00:00Z")), path)
-    third = current_version(spark, path).folders
-    assert first[grown][0] not in third[grown] and {b: third[b] for b in third if b != grown} == {
-        b: second[b] for b in second if b != grown
+def month_paper(key, month, updated="2024-01-02T00:00:00Z"):
+    date = f"2023-{month:02d}-15T00:00:00Z" if month else None
+    return paper(key, updated, published=date)
+
+
+def file_names(spark, path):
+    return {
+        p: sorted(files.list_names(spark, p)) for p in current_version(spark, path).paths(path)
+    }
+
+
+def test_updates_rewrite_their_month_only(spark, path):
+    first = [month_paper(f"{m}-{i}", m) for m in (0, 1, 2, 3) for i in range(5)]
+    save_publications(batch(spark, *first), path)
+    before = file_names(spark, path)
+    assert len(before) == 4 and any(p.endswith("month=none") for p in before)
+    save_publications(batch(spark, month_paper("new", 2)), path)
+    grown = file_names(spark, path)
+    assert before.items() <= grown.items() and len(grown) == 5
+    save_publications(batch(spark, month_paper("2-0", 2, "2025-01-01T00:00:00Z")), path)
+    after = file_names(spark, path)
+    assert {p for p in before if not p.endswith("2023-02")} == {
+        p for p in after if not p.endswith("2023-02")
+    }
+    assert not {p for p in grown if p.endswith("2023-02")} & after.keys()
+    assert load_publications(spark, path).count() == 21
+
+
+def test_a_paper_may_change_its_month(spark, path):
+    save_publications(batch(spark, month_paper("a", 1), month_paper("b", 1)), path)
+    later = "2025-01-01T00:00:00Z"
+    stats = save_publications(batch(spark, month_paper("a", 5, later), month_paper("c", 0)), path)
+    assert counts(stats) == (1, 1, 0)
+    assert {k: str(r.published_date)[:7] for k, r in stored(spark, path).items()} == {
+        "a": "2023-05", "b": "2023-01", "c": "None",
     }
-    assert load_publications(spark, path).count() == 41
+    save_publications(batch(spark, month_paper("b", 0, later)), path)
+    assert sorted(current_version(spark, path).folders) == ["2023-05", "none"]
+    assert load_publications(spark, path, year=2023).count() == 1
 
 
-def test_old_versions_are_forgotten(spark, path):
-    for day in range(1, 8):
-        save_publications(batch(spark, paper("a", f"2024-02-0{day}T00:00:00Z")), path, buckets=1)
-    kept = store_module.KEPT_VERSIONS
-    assert len(files.list_names(spark, f"{path}/versions")) == kept
-    named = {f for n in files.list_names(spark, f"{path}/data") for f in [n.split("-")[0]]}
-    assert named == {"5", "6", "7"}
-    assert stored(spark, path)["a"].updated_date == datetime(2024, 2, 7)
+def test_a_year_reads_its_months(spark, path):
+    rows = [month_paper("a", 1), paper("b", published="2022-05-05T00:00:00Z"), month_paper("c", 0)]
+    save_publications(batch(spark, *rows), path)
+    assert values(load_publications(spark, path, year=2022)) == ["b"]
+    read = load_publications(spark, path, year=2022).inputFiles()
+    assert read and all("month=2022-05" in name for name in read)
+    assert load_publications(spark, path, year=1999).count() == 0
+
+
+def test_layout_does_not_depend_on_the_first_batch(spark, tmp_path):
+    papers = [month_paper(str(i), i % 5) for i in range(40)]
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    save_publications(batch(spark, *papers), one)
+    for i in range(0, 40, 10):
+        save_publications(batch(spark, *papers[i : i + 10]), many)
+    months = current_version(spark, one).folders.keys()
+    assert current_version(spark, many).folders.keys() == months
+    assert compact_store(spark, many) == 5 and compact_store(spark, many) == 0
+    assert all(len(f) == 1 for f in current_version(spark, many).folders.values())
+    strip = [c for c in PUBLICATIONS_SCHEMA.names if c != "ingested_at"]
+    assert sorted(map(str, read_publications(spark, one).select(*strip).collect())) == sorted(
+        map(str, read_publications(spark, many).select(*strip).collect())
+    )
 
 
-def test_many_folders_are_merged(spark, path, monkeypatch):
-    monkeypatch.setattr(store_module, "MAX_FOLDERS", 3)
-    for i in range(6):
-        save_publications(batch(spark, paper(str(i))), path, buckets=1)
-    assert len(current_version(spark, path).folders[0]) <= 3
-    assert sorted(stored(spark, path)) == list("012345")
+def test_versions_are_forgotten_on_request_only(spark, path):
+    for day in range(1, 6):
+        save_publications(batch(spark, paper("a", f"2024-02-0{day}T00:00:00Z")), path)
+    assert len(files.list_names(spark, f"{path}/versions")) == 6
+    first = read_publications(spark, path, version=store_module._read_version(spark, path, 1))
+    assert first.first().updated_date == datetime(2024, 2, 1)
+    assert forget_versions(spark, path) == 0
+    assert forget_versions(spark, path, older_than=-1) == 5
+    assert len(files.list_names(spark, f"{path}/versions")) == 1
+    assert len(files.list_names(spark, f"{path}/data")) == 1
+    assert stored(spark, path)["a"].updated_date == datetime(2024, 2, 5)
 
 
 def test_losing_a_race_changes_nothing(spark, path, monkeypatch):
@@ -235,7 +275,7 @@ def test_store_agrees_with_the_one_shot_merge(spark, path, monkeypatch, broadcas
         staged = stage_publications(papers)
         merged = merge_publications(expected, staged)
         done = count_actions(staged, expected).first()
-        stats = save_publications(papers, path, buckets=4)
+        stats = save_publications(papers, path)
         assert counts(stats) == tuple(done) and sum(counts(stats)) == 80
         actual = read_publications(spark, path)
         assert sorted(map(str, actual.select(*columns).collect())) == sorted(
@@ -244,18 +284,25 @@ def test_store_agrees_with_the_one_shot_merge(spark, path, monkeypatch, broadcas
         expected = spark.createDataFrame(actual.collect(), PUBLICATIONS_SCHEMA)
 
 
-def test_each_bucket_is_written_by_few_tasks(spark, path, monkeypatch):
+def test_each_month_is_written_by_few_tasks(spark, path, monkeypatch):
     monkeypatch.setattr(store_module, "BROADCAST_BYTES", 0)
     keys = [str(i) for i in range(200)]
-    save_publications(batch(spark, *map(paper, keys)), path, buckets=4)
-    newer = [paper(k, "2025-01-01T00:00:00Z") for k in keys[:100]]
+    save_publications(batch(spark, *[month_paper(k, int(k) % 4) for k in keys]), path)
+    newer = [month_paper(k, int(k) % 4, "2025-01-01T00:00:00Z") for k in keys[:100]]
     assert counts(save_publications(batch(spark, *newer), path)) == (0, 100, 0)
-    for bucket_path in current_version(spark, path).paths(path):
-        names = files.list_names(spark, bucket_path)
+    for names in file_names(spark, path).values():
         assert len([n for n in names if n.endswith(".parquet")]) <= 2
     assert load_publications(spark, path).count() == 200
 
 
+def test_reports_do_not_sort_the_store(spark, path):
+    from conftest import plan_of
+
+    save_publications(batch(spark, paper("a")), path)
+    for mart in build_marts(read_publications(spark, path)).values():
+        assert "updated_date" not in plan_of(mart)
+
+
 def test_new_papers_only(spark):
     staged = stage_publications(batch(spark, paper("a"), paper("b"), paper("b"), paper(None)))
     known = staged.filter("paper_id = 'a'")

@@ -11,12 +11,20 @@ from pubweave.operators.words import get_top_words, get_top_words_by_tag
 from pubweave.plans.etl import get_papers, run_etl
 from pubweave.plans.marts import build_marts, write_marts
 from pubweave.sources.atom import read_atom
-from pubweave.sources.publications import load_publications, save_publications
+from pubweave.sources.publications import (
+    compact_store,
+    forget_versions,
+    load_publications,
+    read_publications,
+    save_publications,
+)
 from pubweave.sources.raw import load_raw_data, save_raw_data
 
 __all__ = [
     "build_marts",
     "classify_data",
+    "compact_store",
+    "forget_versions",
     "get_papers",
     "get_top_words",
     "get_top_words_by_tag",
@@ -27,6 +35,7 @@ __all__ = [
     "merge_publications",
     "newest_first",
     "read_atom",
+    "read_publications",
     "run_etl",
     "save_publications",
     "save_raw_data",

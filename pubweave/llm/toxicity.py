@@ -28,7 +28,7 @@ from pubweave.llm.shingles import chunks, utf8
 
 #: Labelled documents, in the order of a hash of their ids, that the evidence is
 #: learned from: so many toxic ones and so many others at most.
-TOXIC_SAMPLE, OTHER_SAMPLE = 3000, 12000
+TOXIC_SAMPLE, OTHER_SAMPLE = 2000, 6000
 #: Evidence needs this bound, and this share of all toxic documents.
 LEAST_EVIDENCE, LEAST_SHARE = 0.5, 0.01
 THRESHOLD = 0.7
@@ -52,7 +52,22 @@ _PUNCTUATION = ".,;:?\"'()[]"
 _MARKS = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _TWICE = re.compile(r"(.)\1+")
 _DOTTED = re.compile(r"^[^\W_](?:[.\-_*~][^\W_]|[.\-_*~][@$!|+(€£¡])+$")
-_SPACED = re.compile(r"(?<!\S)\S[.,]?(?:[ \t]+\S){2,}(?!\S)")
+_BREAKS = re.compile(r"[^\w@$!|+(€£¡]+")
+_EDGE_MARKS = "!|+("
+#: Single characters between spaces: two in a row are looked at, three are a run.
+_SINGLES = re.compile(r" \S \S ")
+_SPACED = re.compile(r"(?<= )\S[.,]?(?: \S){2,}(?= )")
+#: Letters that a look-alike may stand for are the same in a shape.
+_SHAPES = str.maketrans(
+    {mark: letters[0] for mark, letters in LOOKALIKES.items()} | {"l": "i", "b": "g"}
+    | {"8": "g", "£": "i"}
+)
+
+
+def shape(text: str) -> str:
+    """What all disguises of a word have in common: the class of every letter, runs
+    of a class as one."""
+    return _TWICE.sub(r"\1", text.translate(_SHAPES))
 
 
 def symbol_of(char: str) -> int:
@@ -183,7 +198,8 @@ class Model:
 
 
 def plain_words(text: str) -> set[str]:
-    return {_PLAIN_EDGES.sub("", token) for token in set(text.lower().split())} - {""}
+    words = {token.strip(_PUNCTUATION) for token in text.lower().split()}
+    return {w if w.isalpha() else _PLAIN_EDGES.sub("", w) for w in words} - {""}
 
 
 def learn(
@@ -224,8 +240,8 @@ def learn(
         found = set()
         for batch in batches:
             for text in batch["text"].to_pylist():
-                words = plain_words(text)
-                found.update((f, copy_mark(words)) for w in words for f in features(w))
+                mark = copy_mark(text)
+                found.update((f, mark) for w in plain_words(text) for f in features(w))
         yield pa.RecordBatch.from_arrays(
             [pa.array([f for f, _ in found], pa.string()),
              pa.array([m for _, m in found], pa.int64())],
@@ -266,14 +282,15 @@ def learn(
     return Model(evidence, trigram_logs(count_trigrams(docs, text_col)))
 
 
-def copy_mark(words: set[str]) -> int:
-    """A min-hash of the longer words: mostly the same for near copies."""
-    return min((zlib.crc32(w.encode()) for w in words if len(w) > 4), default=0)
+def copy_mark(text: str) -> int:
+    """A min-hash of the pairs of neighbouring words: mostly the same for near copies."""
+    words = text.lower().split()
+    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])), default=0)
 
 
 def toxic_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [copy_mark(plain_words(text)) for text in batch["text"].to_pylist()]
+        marks = [copy_mark(text) for text in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64())], ["mark"])
 
 
@@ -285,8 +302,11 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        #: How words with evidence begin; nearly all others end here.
+        #: How words with evidence begin, and what disguises of them begin like; nearly
+        #: all other tokens end here, and no token that could have evidence does.
         self.heads = {f.rstrip("$")[:4] for f in model.evidence}
+        self.shapes = {shape(head)[:3] for head in self.heads}
+        self.short_shapes = tuple(s for s in self.shapes if len(s) < 3)
         self.known: set[str] = set()
         self.strong: dict[str, float] = {}
 
@@ -300,24 +320,33 @@ class Scorer:
         """Evidence of a token in lower case, plain or restored."""
         word = token.strip(_PUNCTUATION)
         if word.isalpha():
-            if not _TWICE.search(word):
-                return self.of_word(word)
-            best, full = self.of_word(word), word
-        else:
-            word = _PLAIN_EDGES.sub("", token)
-            best, full = self.of_word(word), _EDGES.sub("", token)
-        restored = ""
+            best = self.of_word(word)
+            return max(best, self.of_disguise(word)) if _TWICE.search(word) else best
+        word = _PLAIN_EDGES.sub("", token)
+        best, full = self.of_word(word), _EDGES.sub("", token)
         if _DOTTED.match(full):
             restored = decode(full, self.model.logs, spread=True)
-        elif _MARKS.search(full) and not full.isdigit():
-            restored = decode(full, self.model.logs)
-        elif _TWICE.search(full) and self.of_word(_TWICE.sub(r"\1", full)):
-            restored = decode(full, self.model.logs)
-        return max([best, *[self.of_word(w) for w in restored.split()]])
+            return max([best, *map(self.of_word, restored.split())])
+        # A mark at an edge may be a letter or just punctuation.
+        for part in _BREAKS.split(full):
+            for form in {part, part.strip(_EDGE_MARKS)}:
+                best = max(best, self.of_disguise(form))
+        return best
+
+    def of_disguise(self, form: str) -> float:
+        """Evidence of the restored form of letters and look-alikes."""
+        if not form or form.isdigit() or not self.could_be_strong(form):
+            return 0.0
+        return max(map(self.of_word, decode(form, self.model.logs).split()), default=0.0)
+
+    def could_be_strong(self, form: str) -> bool:
+        """Whether a word with evidence may begin like this; see ``shape``."""
+        start = shape(form)[:3]
+        return start in self.shapes or start.startswith(self.short_shapes)
 
     def of_spread(self, run: str) -> dict[str, float]:
         """Evidence of the words that a run of single characters spells."""
-        text = decode(re.sub(r"[ \t]+", " ", run), self.model.logs, spread=True)
+        text = decode(run, self.model.logs, spread=True)
         joined = text.replace(" ", "")
         found = {w: self.of_word(w) for w in text.split()}
         # The places where words part are unsure: whole words count anywhere.
@@ -329,8 +358,8 @@ class Scorer:
         return {w: e for w, e in found.items() if e}
 
     def score(self, text: str) -> float:
-        text = text.lower()
-        tokens = set(text.split())
+        words = text.lower().split()
+        tokens = set(words)
         if new := tokens - self.known:
             if len(self.known) > KNOWN_TOKENS:
                 self.known, self.strong = set(), {}
@@ -342,10 +371,15 @@ class Scorer:
         found = {
             _EDGES.sub("", token): self.strong[token] for token in tokens & self.strong.keys()
         }
-        for run in _SPACED.findall(text):
-            for word, evidence in self.of_spread(run).items():
-                found[word] = max(found.get(word, 0.0), evidence)
-        return 1.0 - float(np.prod([1.0 - e for e in found.values()]))
+        line = f" {' '.join(words)} "
+        if _SINGLES.search(line):
+            for run in _SPACED.findall(line):
+                for word, evidence in self.of_spread(run).items():
+                    found[word] = max(found.get(word, 0.0), evidence)
+        clean = 1.0
+        for evidence in found.values():
+            clean *= 1.0 - evidence
+        return 1.0 - clean
 
 
 def score_column(model: Model, text_col: str = "text") -> Column:

@@ -8,7 +8,7 @@ from pubweave.operators.classify import (
 from pubweave.operators.search import newest_first, search_papers, select_corpus
 from pubweave.operators.upsert import merge_publications, stage_publications
 from pubweave.operators.words import get_top_words, get_top_words_by_tag
-from pubweave.plans.etl import get_papers, run_etl
+from pubweave.plans.etl import get_papers, run_etl, run_report
 from pubweave.plans.marts import build_marts, write_marts
 from pubweave.sources.atom import read_atom
 from pubweave.sources.publications import (
@@ -37,6 +37,7 @@ __all__ = [
     "read_atom",
     "read_publications",
     "run_etl",
+    "run_report",
     "save_publications",
     "save_raw_data",
     "search_papers",

@@ -4,7 +4,7 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from pubweave.plans.etl import get_papers, main, run_etl
+from pubweave.plans.etl import get_papers, main, run_etl, run_report
 from pubweave.schemas import RAW_SCHEMA
 from pubweave.sources.atom import read_atom
 from pubweave.sources.publications import load_publications
@@ -134,6 +134,7 @@ def test_run_etl(spark, landing, tmp_path):
         warnings.simplefilter("error", UserWarning)
         stats = run_etl(spark, str(landing), store, raw)
     assert (stats["raw"]["rows"], stats["inserted"], stats["updated"]) == (3, 3, 0)
+    assert (stats["fetched"], stats["loaded"], stats["classified"]) == (3, 3, 3)
     tags = {r.paper_id: r.tag for r in load_publications(spark, store).collect()}
     assert tags == {"2512.00001": "Malware", "cs/0001001": "other", "7": "Malware"}
     # The paper without update date is always taken again.
@@ -141,6 +142,17 @@ def test_run_etl(spark, landing, tmp_path):
     assert (again["inserted"], again["updated"], again["skipped"]) == (0, 1, 2)
 
 
+def test_report_collects_only_without_a_snapshot(spark, landing, tmp_path):
+    places = [str(tmp_path / name) for name in ("marts", "store", "raw")]
+    for _ in range(2):
+        paths = run_report(spark, str(landing), *places)
+        days = spark.read.parquet(paths["pubs_by_day"])
+        assert days.agg(F.sum("n")).first()[0] == 3
+        assert spark.read.parquet(paths["has_data"]).first().has_data
+        for page in landing.iterdir():
+            page.unlink()
+
+
 def test_failed_run_has_an_exit_code(spark, tmp_path):
     arguments = ["--landing", str(tmp_path / "nothing"), "--raw-dir", str(tmp_path / "raw")]
     assert main([*arguments, "--store", str(tmp_path / "store")]) == 1

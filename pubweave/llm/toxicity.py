@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,12 +274,29 @@ def learn(
     misses = defaultdict(int)
     for row in others.groupBy("feature").agg(F.sum("n").alias("n")).collect():
         misses[row["feature"]] = row["n"]
-    evidence = {
-        f: bound
-        for f, n in hits.items()
-        if (bound := lower_bound(n, n + misses[f])) >= LEAST_EVIDENCE
+    return Model(weigh(hits, misses), trigram_logs(count_trigrams(docs, text_col)))
+
+
+def weigh(hits: Mapping[str, int], misses: Mapping[str, int]) -> dict[str, float]:
+    """Evidence of features from the toxic and the other documents that have them.
+
+    A beginning that other documents have, too, counts without the word that
+    explains most of its hits: what is left is what it says by itself.
+    """
+    def bound(feature: str, explained: int = 0) -> float:
+        n = hits[feature] - explained
+        return lower_bound(n, n + misses.get(feature, 0))
+
+    words = {f: b for f in hits if f.endswith("$") and (b := bound(f)) >= LEAST_EVIDENCE}
+    explained: dict[str, int] = {}
+    for word in words:
+        for beginning in features(word[:-1])[1:]:
+            explained[beginning] = max(explained.get(beginning, 0), hits[word])
+    beginnings = {
+        f: bound(f, explained.get(f, 0) if misses.get(f) else 0)
+        for f in hits if not f.endswith("$")
     }
-    return Model(evidence, trigram_logs(count_trigrams(docs, text_col)))
+    return words | {f: b for f, b in beginnings.items() if b >= LEAST_EVIDENCE}
 
 
 def copy_mark(text: str) -> int:

@@ -22,7 +22,7 @@ from pubweave.llm.secrets import scan_secrets
 from pubweave.llm.suffix_dedup import suffix_dedup
 from pubweave.llm.token_files import ids_crc32, read_token_files, write_token_files
 from pubweave.llm.toxicity import (
-    Model, Scorer, decode, drop_toxic, learn, score_toxicity, symbol_of, trigram_logs,
+    Model, Scorer, decode, drop_toxic, learn, score_toxicity, symbol_of, trigram_logs, weigh,
 )
 
 #: Names that operators use inside; a table may have columns of the same names.
@@ -321,6 +321,12 @@ def test_toxicity(spark, edges, empty):
     assert {r.score for r in score_toxicity(edges, given.limit(0)).collect()} == {0.0}
 
 
+def test_beginnings_count_without_their_words():
+    hits = {"loser$": 100, "lose": 110, "idiot$": 90, "idio": 90, "vequ": 80, "dull": 5}
+    found = weigh(hits, {"lose": 20, "dull": 50})
+    assert set(found) == {"loser$", "idiot$", "idio", "vequ"}
+
+
 def test_learning_ignores_copies(spark):
     """A rare word of one much copied toxic document is no evidence."""
     copy = prose(1, 60) + " rareword"

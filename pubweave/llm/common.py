@@ -51,53 +51,46 @@ def whole_text(column: str) -> Column:
 
 
 def lookup(
-    rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column
+    rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner"
 ) -> DataFrame:
-    """``rows`` left-joined with ``table`` on ``key``, safe for hot keys.
+    """``rows`` with the columns of ``table`` on an equal ``key``, safe for hot keys.
 
-    ``table`` has one row per key and in ``weight`` the number of rows with
-    that key.  Keys with more than a thousandth of all rows, of which there are
-    fewer than a thousand, are broadcast; their rows take part in the shuffle
-    of the others under a salt that no other key has, made from ``spread``.
-    ``table`` is read three times and should be cheap to read.
+    ``table`` has one row per key and in ``weight`` the number of rows with that
+    key.  There can be fewer than a thousand keys with more than a thousandth of
+    all rows: these are broadcast, and their rows are not shuffled at all.
+    ``rows`` is read twice if there are such keys.  ``how`` is inner or left; null
+    is a key like others.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
-    values = F.struct(*[F.col(c) for c in table.columns if c != key])
-    hot = table.filter(is_hot).select(F.col(key).alias("__k"), values.alias("__hot"))
-    cold = table.filter(~is_hot).select(
-        F.col(key).alias("__k"), values.alias("__cold"), F.lit(0).alias("__s")
+    mark = F.xxhash64(key)
+    heavy = table.filter(F.col(weight) * HOT_SHARE > F.lit(total))
+    marks = [row[0] for row in heavy.select(mark).collect()]
+    columns = [c for c in table.columns if c != key]
+    keyed = table.select(F.col(key).alias("__k"), *columns)
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    if not marks:
+        return rows.join(keyed, same, how).drop("__k")
+    hot = rows.filter(mark.isin(marks)).join(
+        F.broadcast(keyed.filter(F.xxhash64("__k").isin(marks))), same, how
     )
-    salt = F.when(F.col("__hot").isNull(), 0).otherwise(
-        F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1
-    )
-    marked = (
-        rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__k")), "left")
-        .drop("__k")
-        .withColumn("__salt", salt)
-    )
-    joined = marked.join(
-        cold,
-        F.col(key).eqNullSafe(F.col("__k")) & (F.col("__salt") == F.col("__s")),
-        "left",
-    )
-    found = F.coalesce("__hot", "__cold")
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[found[c].alias(c) for c in table.columns if c != key],
+    cold = rows.filter(~mark.isin(marks)).join(
+        keyed.filter(~F.xxhash64("__k").isin(marks)), same, how
     )
+    return hot.unionByName(cold).drop("__k")
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in the single column of ``ids``; null is an id."""
-    listed = ids.select(F.col(ids.columns[0]).alias("__id"))
-    return docs.join(listed, docs[id_col].eqNullSafe(listed["__id"]), "left_semi")
+def text_mark(text_col: str) -> Column:
+    """Tells rows that share an id, or have none, apart by their text."""
+    return F.xxhash64(whole_text(text_col))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in the single column of ``ids``."""
-    listed = ids.select(F.col(ids.columns[0]).alias("__id"))
-    return docs.join(listed, docs[id_col].eqNullSafe(listed["__id"]), "left_anti")
+def without_rows(
+    docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Rows of ``docs`` whose id and text are not among the doc_id and mark of ``dropped``."""
+    listed = dropped.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_mark(text_col) == F.col("__mark"))
+    return docs.join(listed, same, "left_anti")
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

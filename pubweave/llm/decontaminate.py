@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pubweave.llm.common import lookup, saved, small_batches, whole_text, without_ids
+from pubweave.llm.common import lookup, saved, small_batches, text_mark, whole_text, without_rows
 from pubweave.llm.shingles import chunks, mix, utf8, word_hashes
 
 #: Token positions that a seed reads.  Of 14 tokens with any 3 replaced, one of the
@@ -114,14 +114,14 @@ def find_contamination(
     window: int = WINDOW,
 ) -> DataFrame:
     """Test items found in documents: doc_id, item_id, first_word (of the document),
-    matched and compared (tokens of the item).
+    matched and compared (tokens of the item), and the mark of the text.
 
     Words are runs of letters and digits in lower case.  An item is found where at
     least ``similarity`` percent of ``window`` of its consecutive words, or of all of
     a shorter item, stand in the same order and distance.  One row per document
     and item, with its best place.  Of items with equal texts the smallest id is
     reported.  Items and documents without text, and items of fewer than 5 words,
-    are never found.  Rows that repeat a document id report once per item.  Empty
+    are never found.  Rows that repeat an id and its text report once per item.  Empty
     tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -157,20 +157,24 @@ def find_contamination(
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(rows, pa.int64())),
+                    batch["mark"].take(pa.array(rows, pa.int64())),
                     pa.array(hits, pa.list_(
                         pa.struct([("hash", pa.int64()), ("place", pa.int64())])
                     )),
                     pa.array(tokens, pa.binary()),
                 ],
-                ["doc_id", "hits", "tokens"],
+                ["doc_id", "mark", "hits", "tokens"],
             )
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    texts = docs.select(
+        F.col(id_col).alias("doc_id"), text_mark(text_col).alias("mark"),
+        whole_text(text_col).alias("text"),
+    )
     kind = texts.schema["doc_id"].dataType.simpleString()
     likely = saved(
         texts.mapInArrow(
             scan,
-            f"doc_id {kind}, hits array<struct<hash:bigint,place:bigint>>, tokens binary",
+            f"doc_id {kind}, mark long, hits array<struct<hash:bigint,place:bigint>>, tokens binary",
         ).withColumn("row", F.monotonically_increasing_id()),
         "likely",
     )
@@ -184,8 +188,7 @@ def find_contamination(
     counted = hits.groupBy("hash").agg(F.count("*").alias("n"))
     table = saved(places.join(counted, "hash"), "seed-places")
     diagonals = (
-        lookup(hits, table, "hash", "n", F.col("row"))
-        .filter("n is not null")
+        lookup(hits, table, "hash", "n")
         .select("row", "at", F.explode("places").alias("place"))
         .select(
             "row", F.col("place.item_id").alias("item_id"),
@@ -194,18 +197,18 @@ def find_contamination(
         .groupBy("row", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
     )
     item_words = hashes.filter("place = 0").select("item_id", "words").distinct()
-    compared = diagonals.join(likely.select("row", "doc_id", "tokens"), "row").join(
+    compared = diagonals.join(likely.select("row", "doc_id", "mark", "tokens"), "row").join(
         item_words, "item_id"
     )
     item_kind = hashes.schema["item_id"].dataType.simpleString()
-    found = compared.select("doc_id", "item_id", "diagonals", "tokens", "words").mapInArrow(
+    found = compared.select("doc_id", "mark", "item_id", "diagonals", "tokens", "words").mapInArrow(
         verifier(similarity, window),
-        f"doc_id {kind}, item_id {item_kind}, first_word long, matched long, compared long",
+        f"doc_id {kind}, mark long, item_id {item_kind}, first_word long, matched long, compared long",
     )
     best = F.max(F.struct("matched", "compared", (-F.col("first_word")).alias("before")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+    return found.groupBy("doc_id", "mark", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", (-F.col("best.before")).alias("first_word"),
-        "best.matched", "best.compared",
+        "best.matched", "best.compared", "mark",
     )
 
 
@@ -249,10 +252,11 @@ def verifier(similarity: int, window: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].take(chosen),
+                    batch["mark"].take(chosen),
                     batch["item_id"].take(chosen),
                     *[pa.array(c, pa.int64()) for c in columns],
                 ],
-                ["doc_id", "item_id", "first_word", "matched", "compared"],
+                ["doc_id", "mark", "item_id", "first_word", "matched", "compared"],
             )
 
     return run
@@ -263,4 +267,4 @@ def drop_contaminated(
 ) -> DataFrame:
     """``docs`` without those in which a test item is found, all columns unchanged."""
     found = find_contamination(docs, items, id_col, text_col)
-    return without_ids(docs, found.select("doc_id").distinct(), id_col)
+    return without_rows(docs, found, id_col, text_col)

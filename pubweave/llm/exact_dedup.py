@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pubweave.llm.common import lookup, only_ids, saved, whole_text
+from pubweave.llm.common import lookup, saved, whole_text
 
 SALTS = 64
 
@@ -68,12 +68,11 @@ def exact_dedup(
     narrow = saved(classes.select("digest", "keep_id", "group_size"), "equal-texts")
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    spread = F.col("doc_id")
     if narrow.groupBy("digest").count().filter("count > 1").isEmpty():
-        found = lookup(rows.drop("text"), narrow, "digest", "group_size", spread)
+        found = lookup(rows.drop("text"), narrow, "digest", "group_size")
     else:
         by_text = classes.drop("digest")
-        found = lookup(rows, by_text, "text", "group_size", spread)
+        found = lookup(rows, by_text, "text", "group_size")
     return found.select(
         "doc_id",
         "keep_id",
@@ -87,5 +86,10 @@ def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with one document per distinct text, all columns unchanged."""
-    winners = classes_of_equal_texts(docs, id_col, text_col).select("keep_id")
-    return only_ids(docs, winners, id_col)
+    winners = classes_of_equal_texts(docs, id_col, text_col).select(
+        F.col("keep_id").alias("__id"), F.col("digest").alias("__digest")
+    )
+    wins = F.col(id_col).eqNullSafe(F.col("__id")) & (
+        sha256(whole_text(text_col)) == F.col("__digest")
+    )
+    return docs.join(winners, wins, "left_semi")

@@ -6,10 +6,10 @@
 3. A bucket holds the classes that agree in a band.  Its first class is the hub,
    and the pairs of hub and member are verified on their full sets.  What links
    is joined, so a group of near copies is closed without forming its pairs.
-4. In buckets that still hold several components, sketches are compared across
-   components: first the best partner of each class, then all pairs that the
-   concentration bound of the sketches leaves, each pair in its first common
-   band only.  They are verified on full sets, too.
+4. Buckets that still hold several components come together with their texts.  Sketches
+   are compared across components; pairs that the concentration bound of the sketches
+   leaves are verified on full sets, the likeliest first, each in its first common
+   band only and only while its ends are in different components.
 5. Classes linked directly or over others make a component.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pubweave.llm.common import lookup, saved, small_batches, whole_text, without_ids
+from pubweave.llm.common import lookup, saved, small_batches, text_mark, whole_text, without_rows
 from pubweave.llm.graph import components
 from pubweave.llm.shingles import chunks, shingle_sets, utf8
 from pubweave.llm.sketch import band_keys, sketches
@@ -34,9 +34,8 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 51, 5
 #: Standard deviations below the threshold at which a sketch rules a pair out.
 DEVIATIONS = 4.5
-#: Classes of a bucket that are compared in one block, and pairs per copy of a text.
+#: Classes of a bucket that are compared in one block.
 BLOCK = 2048
-PAIRS_PER_COPY = 1000
 
 
 def _least_agreement(similarity: int, t: int) -> int:
@@ -45,7 +44,8 @@ def _least_agreement(similarity: int, t: int) -> int:
 
 
 def profiles(docs: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bytes of the sketch, band keys."""
+    """doc_id, mark of the text, n_shingles, digest of the set, bytes of the sketch, band
+    keys."""
     t = bands * band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +64,7 @@ def profiles(docs: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(first, last - first),
+                        batch["mark"].slice(first, last - first),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array([row.tobytes() for row in short], pa.binary()),
@@ -72,123 +73,134 @@ def profiles(docs: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame:
                             pa.array(keys.reshape(-1)),
                         ),
                     ],
-                    ["doc_id", "n_shingles", "digest", "sketch", "bands"],
+                    ["doc_id", "mark", "n_shingles", "digest", "sketch", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
         run,
-        f"doc_id {kind}, n_shingles long, digest binary, sketch binary, bands array<long>",
-    )
-
-
-def _numbered(pairs: DataFrame, side: str, other: str, degree: DataFrame) -> DataFrame:
-    """Pairs with the copy of the text that they read."""
-    copies = F.floor(F.col("n") / PAIRS_PER_COPY) + 1
-    return (
-        lookup(pairs, degree, side, "n", F.col(other))
-        .withColumn(f"copy_{side}", F.pmod(F.xxhash64(other), copies))
-        .drop("n")
+        f"doc_id {kind}, mark long, n_shingles long, digest binary, sketch binary,"
+        " bands array<long>",
     )
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
-    A text with very many pairs is sent to them in copies, none of which serves
-    more than a bounded number.
+    A text may have very many pairs: Spark splits skewed partitions of these joins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                data, offsets = utf8(batch[name])
-                sides.append([
-                    part[x:y]
-                    for first, last in chunks(offsets)
-                    for part, bounds in [shingle_sets(data, offsets[first : last + 1], k)]
-                    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())
-                ])
-            linked = []
-            for left, right in zip(*sides):
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                union = len(left) + len(right) - both
-                linked.append(both > 0 and 100 * both >= similarity * union)
+            sides = zip(_sets(batch["text_a"], k), _sets(batch["text_b"], k))
+            linked = [similar(left, right, similarity) for left, right in sides]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    joined = pairs = saved(pairs.select("a", "b"), "pairs")
-    degrees = {
-        side: saved(pairs.groupBy(side).agg(F.count("*").alias("n")), "degrees")
-        for side in ("a", "b")
-    }
-    for side, other in (("a", "b"), ("b", "a")):
-        joined = _numbered(joined, side, other, degrees[side])
+    joined = pairs.select("a", "b")
     for side in ("a", "b"):
-        copies = F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / PAIRS_PER_COPY))
-        copied = texts.join(degrees[side], F.col("rep") == F.col(side)).select(
-            side, F.explode(copies).alias(f"copy_{side}"), F.col("text").alias(f"text_{side}")
+        joined = joined.join(
+            texts.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}")), side
         )
-        joined = joined.join(copied, [side, f"copy_{side}"])
     kind = pairs.schema["a"].dataType.simpleString()
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _cross_pairs(members: DataFrame, similarity: int, t: int, best_only: bool) -> DataFrame:
-    """Pairs of different components in the blocks of every bucket.
-
-    ``members`` has one row per block pair, side and class: key, block, left,
-    right, rep, component, n_shingles, sketch and bands; it is processed
-    in sorted runs of (key, block).
-    """
-    least = _least_agreement(similarity, t)
-
-    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key = group["key"][0].as_py()
-        rep = group["rep"].to_numpy()
-        component = group["component"].to_numpy()
-        size = group["n_shingles"].to_numpy()
-        is_left = group["left"].to_numpy()
-        is_right = group["right"].to_numpy()
-        left, right = np.flatnonzero(is_left), np.flatnonzero(is_right)
-        within = bool((is_left & is_right).any())  # a block against itself
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, t)
+def similar(left: np.ndarray, right: np.ndarray, similarity: int) -> bool:
+    """Whether two sets, sorted without repeats, link."""
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both > 0 and 100 * both >= similarity * (len(left) + len(right) - both)
+
+
+def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """Shingle sets of the texts of a column."""
+    data, offsets = utf8(column)
+    return [
+        part[x:y]
+        for first, last in chunks(offsets)
+        for part, bounds in [shingle_sets(data, offsets[first : last + 1], k)]
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())
+    ]
+
+
+class _Bucket:
+    """The classes of one block of a bucket, or of two, with different components."""
+
+    def __init__(self, group: pa.Table, similarity: int, k: int, t: int):
+        self.similarity, self.k = similarity, k
+        self.least = _least_agreement(similarity, t)
+        self.rep = group["rep"].to_numpy()
+        self.component = group["component"].to_numpy()
+        self.size = group["n_shingles"].to_numpy()
+        self.text = group["text"].combine_chunks()
+        is_left, is_right = group["left"].to_numpy(), group["right"].to_numpy()
+        self.left, self.right = np.flatnonzero(is_left), np.flatnonzero(is_right)
+        self.within = bool((is_left & is_right).any())  # a block against itself
+        self.sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8)
+        self.sketch = self.sketch.reshape(-1, t)
         flat = group["bands"].combine_chunks().flatten().to_numpy()
-        bands = flat.reshape(len(rep), -1)
-        column = int(np.flatnonzero(bands[0] == key)[0])
-        out_a, out_b = [], []
-        for i in left.tolist():
-            others = right[component[right] != component[i]]
-            small = np.minimum(size[others], size[i]) * 100
-            others = others[small >= np.maximum(size[others], size[i]) * similarity]
-            if within and not best_only:
-                others = others[rep[others] > rep[i]]
+        self.bands = flat.reshape(len(self.rep), -1)
+        # The first band that a pair shares is the one that looks at it.
+        self.column = int(np.flatnonzero(self.bands[0] == group["key"][0].as_py())[0])
+
+    def candidates(self) -> list[tuple[int, int, int]]:
+        """(agreeing coordinates, one, other) of pairs that may link, the likeliest first."""
+        found = []
+        for i in self.left.tolist():
+            others = self.right[self.component[self.right] != self.component[i]]
+            low, high = np.minimum(self.size[others], self.size[i]), np.maximum(
+                self.size[others], self.size[i]
+            )
+            others = others[100 * low >= self.similarity * high]
+            if self.within:
+                others = others[self.rep[others] > self.rep[i]]
             if not len(others):
                 continue
-            agree = (sketch[others] == sketch[i]).sum(axis=1)
-            if best_only:
-                top = int(agree.argmax())
-                others = others[top : top + 1] if agree[top] >= least else others[:0]
-            else:
-                others = others[agree >= least]
-                if column and len(others):
-                    # The first band that a pair shares is the one that reports it.
-                    earlier = (bands[others, :column] == bands[i, :column]).any(axis=1)
-                    others = others[~earlier]
-            out_a += [rep[i]] * len(others)
-            out_b += rep[others].tolist()
-        return np.array(out_a), np.array(out_b)
+            agree = (self.sketch[others] == self.sketch[i]).sum(axis=1)
+            others, agree = others[agree >= self.least], agree[agree >= self.least]
+            if self.column and len(others):
+                earlier = self.bands[others, : self.column] == self.bands[i, : self.column]
+                new = ~earlier.any(axis=1)
+                others, agree = others[new], agree[new]
+            found += [(a, i, j) for a, j in zip(agree.tolist(), others.tolist())]
+        return sorted(found, key=lambda pair: -pair[0])
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Verified links; none is needed between what earlier ones have joined."""
+        pairs = self.candidates()
+        rows = sorted({row for pair in pairs for row in pair[1:]})
+        if not rows:
+            return
+        sets = dict(zip(rows, _sets(self.text.take(pa.array(rows)), self.k)))
+        above: dict[int, int] = {}
+
+        def root(component: int) -> int:
+            while component in above:
+                component = above[component]
+            return component
+
+        for _, i, j in pairs:
+            one, other = root(int(self.component[i])), root(int(self.component[j]))
+            if one != other and similar(sets[i], sets[j], self.similarity):
+                above[max(one, other)] = min(one, other)
+                yield int(self.rep[i]), int(self.rep[j])
+
+
+def _cross_links(members: DataFrame, similarity: int, k: int, t: int) -> DataFrame:
+    """Links (a, b) between different components in the blocks of every bucket.
+
+    ``members`` has one row per block and class: key, block, left, right, rep,
+    component, n_shingles, sketch, bands and text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, ["key", "block"]):
-            a, b = compare(group)
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
-                )
+            found = list(_Bucket(group, similarity, k, t).links())
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     ordered = members.repartition("key", "block").sortWithinPartitions("key", "block")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -215,7 +227,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _open_members(
-    members: DataFrame, labels: DataFrame, reps: DataFrame
+    members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame
 ) -> DataFrame:
     """Members of buckets that hold several components, in pairs of blocks."""
     labelled = members.join(labels, members["rep"] == labels["id"], "left").select(
@@ -227,7 +239,7 @@ def _open_members(
         F.max("component").alias("high"),
     )
     open_keys = saved(open_keys.filter("low < high").select("key", "n"), "open-buckets")
-    found = lookup(labelled, open_keys, "key", "n", F.col("rep")).filter("n is not null")
+    found = lookup(labelled, open_keys, "key", "n")
     # A bucket of up to BLOCK classes is one block; a larger one is compared block by block.
     blocks = F.floor((F.col("n") - 1) / BLOCK) + 1
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
@@ -241,7 +253,9 @@ def _open_members(
         (F.col("mine") == low).alias("left"),
         (F.col("mine") == high).alias("right"),
     )
-    return placed.join(reps.select("rep", "n_shingles", "sketch", "bands"), "rep")
+    return placed.join(reps.select("rep", "n_shingles", "sketch", "bands"), "rep").join(
+        texts, "rep"
+    )
 
 
 def minhash_dedup(
@@ -253,7 +267,7 @@ def minhash_dedup(
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+    """doc_id, n_shingles, component_id, kept and the text's mark of every document.
 
     Words are what stands between ASCII white space, with A-Z in lower case; the
     set of a document has its distinct k-word shingles, or the whole of fewer words.
@@ -266,7 +280,9 @@ def minhash_dedup(
     """
     small_batches(docs.sparkSession)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"),
+        text_mark(text_col).alias("mark"),
+        whole_text(text_col).alias("text"),
     )
     profile = saved(profiles(rows, k, bands, band_rows), "profiles")
     usable = profile.filter("n_shingles > 0 and doc_id is not null")
@@ -287,8 +303,7 @@ def minhash_dedup(
         "buckets",
     )
     members = saved(
-        lookup(in_bands, buckets, "key", "n", F.col("rep")).filter("n is not null")
-        .select("key", "rep", "hub"),
+        lookup(in_bands, buckets, "key", "n").select("key", "rep", "hub"),
         "members",
     )
     in_buckets = members.select(F.col("rep").alias("listed")).distinct()
@@ -301,28 +316,24 @@ def minhash_dedup(
         F.col("hub").alias("a"), F.col("rep").alias("b")
     ).distinct()
     links = saved(verified(stars, texts, k, similarity), "links")
-    for best_only in (True, False):
-        labels = components(links)
-        crossing = _open_members(members, labels, reps)
-        pairs = _cross_pairs(crossing, similarity, bands * band_rows, best_only)
-        more = saved(verified(pairs, texts, k, similarity), "links")
-        links = links.unionByName(more)
-    labels = components(links)
+    crossing = _open_members(members, components(links), reps, texts)
+    more = _cross_links(crossing, similarity, k, bands * band_rows)
+    labels = components(links.unionByName(saved(more, "links")))
 
     known = classes.join(labels, classes["rep"] == labels["id"], "left").select(
         F.col("digest").alias("of"), "n", F.coalesce("component", "rep").alias("component")
     )
     known = saved(known, "class-components")
     verdicts = lookup(
-        profile.select("doc_id", "n_shingles", "digest"),
-        known.withColumnRenamed("of", "digest"), "digest", "n", F.col("doc_id"),
+        profile.select("doc_id", "mark", "n_shingles", "digest"),
+        known.withColumnRenamed("of", "digest"), "digest", "n", "left",
     )
     component = F.when(
         (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")
     ).otherwise(F.col("doc_id"))
     return verdicts.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "mark",
     )
 
 
@@ -330,5 +341,5 @@ def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with one document of each component, all columns unchanged."""
-    dropped = minhash_dedup(docs, id_col, text_col).filter("not kept").select("doc_id")
-    return without_ids(docs, dropped, id_col)
+    dropped = minhash_dedup(docs, id_col, text_col).filter("not kept")
+    return without_rows(docs, dropped, id_col, text_col)

@@ -137,7 +137,7 @@ def scan_secrets(
         ),
         "secret-frequency",
     )
-    judged = lookup(one, frequency, "hash", "n", F.col("row"))
+    judged = lookup(one, frequency, "hash", "n")
     span = F.struct(
         F.col("span.start").alias("start"),
         F.col("span.order").alias("order"),

@@ -44,6 +44,28 @@ def papers_by_weekday(pubs: DataFrame) -> DataFrame:
     """(weekday_idx, weekday, weekday_ru, n), Monday first, absent days left out."""
     dated = pubs.filter(F.col("published_date").isNotNull())
     counts = _count_by(dated, weekday_index(_published(pubs)).alias("weekday_idx"))
+    return _weekday_rows(counts)
+
+
+def months_from_days(days: DataFrame) -> DataFrame:
+    """``papers_by_month`` from the result of ``papers_by_day``."""
+    months = days.groupBy(month_bucket(F.col("day")).alias("month")).agg(
+        F.sum("n").alias("n")
+    )
+    return months.orderBy(F.asc_nulls_last("month"))
+
+
+def weekdays_from_days(days: DataFrame) -> DataFrame:
+    """``papers_by_weekday`` from the result of ``papers_by_day``."""
+    dated = days.filter(F.col("day").isNotNull())
+    return _weekday_rows(
+        dated.groupBy(weekday_index(F.col("day")).alias("weekday_idx")).agg(
+            F.sum("n").alias("n")
+        )
+    )
+
+
+def _weekday_rows(counts: DataFrame) -> DataFrame:
     index = F.col("weekday_idx")
     return counts.select(
         index,
@@ -74,7 +96,12 @@ def author_counts(pubs: DataFrame) -> DataFrame:
 
 def authors_per_paper_histogram(pubs: DataFrame) -> DataFrame:
     """(n_authors, n): how many papers have how many authors."""
-    return _count_by(author_counts(pubs), "n_authors").orderBy("n_authors")
+    return authors_per_paper_from_counts(author_counts(pubs))
+
+
+def authors_per_paper_from_counts(counts: DataFrame) -> DataFrame:
+    """``authors_per_paper_histogram`` from the result of ``author_counts``."""
+    return _count_by(counts, "n_authors").orderBy("n_authors")
 
 
 def tag_counts(pubs: DataFrame) -> DataFrame:
@@ -83,6 +110,12 @@ def tag_counts(pubs: DataFrame) -> DataFrame:
     return _count_by(tagged, "tag").orderBy(F.desc("n"), F.asc("tag"))
 
 
+def tag_counts_from_share(shares: DataFrame) -> DataFrame:
+    """``tag_counts`` from the result of ``tag_share``."""
+    tagged = shares.filter(F.col("tag").isNotNull()).select("tag", "n")
+    return tagged.orderBy(F.desc("n"), F.asc("tag"))
+
+
 def tag_share(papers: DataFrame) -> DataFrame:
     """(tag, n, percentage of all papers, rounded half to even to one digit)."""
     # The window sees one row per distinct tag, not one per paper.

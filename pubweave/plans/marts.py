@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pubweave.operators.trends import (
     author_counts,
-    authors_per_paper_histogram,
+    authors_per_paper_from_counts,
     data_flag,
+    months_from_days,
     papers_by_day,
-    papers_by_month,
-    papers_by_weekday,
-    tag_counts,
+    tag_counts_from_share,
     tag_share,
     top_authors,
+    weekdays_from_days,
 )
 from pubweave.operators.words import (
     count_words_by_tag,
@@ -25,26 +27,36 @@ from pubweave.sources.files import overwrite_parquet
 WORD_COUNTS = "word_counts"
 
 
+#: Tables that others start from, so that every column is read once or twice.
+BASES = {
+    WORD_COUNTS: count_words_by_tag,
+    "pubs_by_day": papers_by_day,
+    "tag_share": tag_share,
+    "author_counts": author_counts,
+}
+
+
 def build_marts(
-    pubs: DataFrame, word_counts: DataFrame | None = None
+    pubs: DataFrame, stored: Mapping[str, DataFrame] | None = None
 ) -> dict[str, DataFrame]:
     """All report tables, lazily.
 
     Every table reads only the columns it needs, so the publications are not
-    cached.  The two word reports start from the same counts; pass stored ones
-    as ``word_counts`` to have the texts read once.
+    cached.  Those in ``BASES`` are the start of others; pass stored ones in
+    ``stored`` to have texts, dates, tags and author lists read for them once.
     """
-    counts = count_words_by_tag(pubs) if word_counts is None else word_counts
+    bases = {name: make(pubs) for name, make in BASES.items()} | dict(stored or {})
+    counts, days = bases[WORD_COUNTS], bases["pubs_by_day"]
     return {
         "has_data": data_flag(pubs),
-        "pubs_by_day": papers_by_day(pubs),
-        "pubs_by_month": papers_by_month(pubs),
-        "pubs_by_weekday": papers_by_weekday(pubs),
+        "pubs_by_day": days,
+        "pubs_by_month": months_from_days(days),
+        "pubs_by_weekday": weekdays_from_days(days),
         "top_authors": top_authors(pubs),
-        "author_counts": author_counts(pubs),
-        "authors_per_paper": authors_per_paper_histogram(pubs),
-        "tag_counts": tag_counts(pubs),
-        "tag_share": tag_share(pubs),
+        "author_counts": bases["author_counts"],
+        "authors_per_paper": authors_per_paper_from_counts(bases["author_counts"]),
+        "tag_counts": tag_counts_from_share(bases["tag_share"]),
+        "tag_share": bases["tag_share"],
         "top_words": top_words_from_counts(counts),
         "topic_words": by_tag_order(top_words_by_tag_from_counts(counts)),
     }
@@ -67,10 +79,16 @@ def write_marts(pubs: DataFrame, directory: str) -> dict[str, str]:
     ``pubs`` needs no order: give it what ``read_publications`` returns.
     """
     spark: SparkSession = pubs.sparkSession
-    paths = {WORD_COUNTS: f"{directory}/{WORD_COUNTS}"}
-    overwrite_parquet(count_words_by_tag(pubs), paths[WORD_COUNTS])
-    counts = spark.read.parquet(paths[WORD_COUNTS])
-    for name, table in build_marts(pubs, counts).items():
+    paths: dict[str, str] = {}
+
+    def write(name: str, table: DataFrame) -> None:
         paths[name] = f"{directory}/{name}"
         overwrite_parquet(table, paths[name])
+
+    for name, make in BASES.items():
+        write(name, make(pubs))
+    stored = {name: spark.read.parquet(paths[name]) for name in BASES}
+    for name, table in build_marts(pubs, stored).items():
+        if name not in BASES:
+            write(name, table)
     return paths

@@ -30,10 +30,13 @@ LENGTH = 200
 GRAM = 32
 #: Bytes hashed at once; longer texts are cut into overlapping pieces.
 PIECE_BYTES = 1 << 21
-#: Bytes of contexts that are brought into suffix order together.
+#: Bytes of contexts that are brought into suffix order together at most.
 ORDER_BYTES = 1 << 22
-#: A bucket with more distinct contexts than this is compared window by window.
+#: A bucket with more distinct contexts, or more bytes of them, is compared window by
+#: window, its contexts cut into stretches of so many windows.
 HOT_CONTEXTS = 100_000
+HOT_BYTES = ORDER_BYTES
+STRETCH_WINDOWS = 1 << 12
 
 _VALUE = mix(np.arange(1001, 1257, dtype=np.uint64))
 _VALUE2 = mix(np.arange(5001, 5257, dtype=np.uint64))
@@ -212,6 +215,16 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     )
 
 
+def _short_stretches(wanted: DataFrame) -> DataFrame:
+    """Contexts of hot buckets cut into stretches that share no window; others as they are."""
+    step = F.when(F.col("hot") == 1, F.lit(STRETCH_WINDOWS)).otherwise(F.col("windows"))
+    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1, step))
+    return wanted.withColumn("at", cut).select(
+        "bucket", "k1", "k2", (F.col("start") + F.col("at")).alias("start"),
+        F.least(F.col("windows") - F.col("at"), step).alias("windows"), "hot",
+    )
+
+
 def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted contexts."""
 
@@ -247,14 +260,23 @@ def _fetch(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _distinct_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted contexts without those that rows with the same id and text bring again."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[n].to_numpy() for n in ("bucket", "k1", "k2", "start")])
+        new = np.append(last is None or np.any(keys[:, 0] != last),
+                        np.any(keys[:, 1:] != keys[:, :-1], axis=0))
+        last = keys[:, -1]
+        yield batch.filter(pa.array(new))
+
+
 def _by_suffix_order(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Stretches of the contexts that repeat in another one of their bucket."""
 
     def solve(group: pa.Table) -> pa.RecordBatch:
-        names = [group[n].to_numpy() for n in ("bucket", "k1", "k2", "start")]
-        new = np.any([c[1:] != c[:-1] for c in names], axis=0)
-        # Rows that repeat an id and its text bring their contexts twice.
-        group = group.filter(pa.array(np.append(True, new)))
         counts = group["windows"].to_numpy()
         flags = repeated_windows(group["bytes"].to_pylist(), counts, length, keep_first)
         starts = group["start"].to_pylist()
@@ -275,12 +297,12 @@ def _by_suffix_order(contexts: DataFrame, length: int, keep_first: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for bucket in runs_of(batches, ["bucket"]):
-            held.append(bucket)
-            size += bucket.nbytes
-            if size >= ORDER_BYTES:
+        for bucket in runs_of(_distinct_contexts(batches), ["bucket"]):
+            if held and size + bucket.nbytes > ORDER_BYTES:
                 yield solve(pa.concat_tables(held))
                 held, size = [], 0
+            held.append(bucket)
+            size += bucket.nbytes
         if held:
             yield solve(pa.concat_tables(held))
 
@@ -290,6 +312,8 @@ def _by_suffix_order(contexts: DataFrame, length: int, keep_first: bool) -> Data
 
 def _by_window(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """The same for buckets too large for one task: windows meet by their bytes."""
+    # Rows that repeat an id and its text bring their contexts twice.
+    contexts = contexts.dropDuplicates(["k1", "k2", "start"])
     windows = contexts.select(
         "k1", "k2",
         F.posexplode(F.transform(
@@ -298,7 +322,6 @@ def _by_window(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
         )).alias("i", "window"),
         "start",
     ).withColumn("start", F.col("start") + F.col("i")).drop("i")
-    windows = windows.dropDuplicates(["k1", "k2", "start"])
     seen = windows.groupBy("window").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start")).alias("first")
     ).filter("n > 1")
@@ -317,6 +340,7 @@ def suffix_dedup(
     keep: str = "first",
     gram: int = GRAM,
     hot_contexts: int = HOT_CONTEXTS,
+    hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges: start, end) and kept (the rest).
 
@@ -373,14 +397,18 @@ def suffix_dedup(
         (F.col("start") + F.col("windows") + (length - 1)).alias("end"),
     )
     # Of every other context one place is compared with the rest of its bucket.
-    crowded = same.filter("mixed").groupBy("bucket").agg(F.count("*").alias("distinct"))
+    crowded = same.filter("mixed").groupBy("bucket").agg(
+        F.count("*").alias("distinct"), F.sum(F.col("windows") + (length - 1)).alias("size")
+    )
     crowded = saved(crowded, "crowded")
     wanted = lookup(
         same.filter("mixed").select(
             "bucket", "first.k1", "first.k2", "first.start", "windows"
         ),
         crowded.withColumn("w", F.col("distinct")), "bucket", "w",
-    ).withColumn("hot", (F.col("distinct") > hot_contexts).cast("long"))
+    )
+    large = (F.col("distinct") > hot_contexts) | (F.col("size") > hot_bytes)
+    wanted = _short_stretches(wanted.withColumn("hot", large.cast("long")))
     fetched = saved(_fetch(wanted, rows, length), "fetched")
     cold = _by_suffix_order(fetched.filter("hot = 0"), length, keep == "first")
     hot = _by_window(fetched.filter("hot = 1"), length, keep == "first")

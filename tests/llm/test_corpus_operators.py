@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from brute import near_components, repeated_bytes
 from pyspark.sql import functions as F
 
-from pubweave.llm import graph, minhash, sharding
+from pubweave.llm import graph, minhash, sharding, suffix_dedup as suffix
 from pubweave.llm.decontaminate import drop_contaminated, find_contamination
 from pubweave.llm.exact_dedup import drop_exact_copies, exact_dedup
 from pubweave.llm.licenses import Templates, bigrams, scan_licenses
@@ -458,6 +459,54 @@ def test_repeated_strings(spark, keep, hot):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeated_strings_large_buckets(spark, keep, monkeypatch):
+    """A few long contexts of one bucket are not put into one suffix order."""
+    halves = {}
+
+    def spied(name):
+        real = getattr(suffix, name)
+
+        def spy(contexts, *rest):
+            halves[name] = contexts
+            return real(contexts, *rest)
+
+        monkeypatch.setattr(suffix, name, spy)
+
+    spied("_by_suffix_order")
+    spied("_by_window")
+    monkeypatch.setattr(suffix, "STRETCH_WINDOWS", 64)
+    texts = ["a" * (900 + 37 * i) for i in range(6)] + ["abc" * (250 + i) for i in range(4)]
+    rows = [*repeat_rows(), *enumerate(texts, 1000)]
+    expected = dict(zip(
+        [i for i, _ in rows], repeated_bytes([t for _, t in rows], 40, keep == "first")
+    ))
+    # A row that repeats an id and its text counts as one place.
+    docs = table(spark, [*rows, rows[-1]])
+    found = suffix_dedup(docs, length=40, gram=10, keep=keep, hot_bytes=2000).collect()
+    assert len(found) == len(rows) + 1
+    for r in found:
+        assert [i for s in r.spans for i in range(s.start, s.end)] == expected[r.doc_id]
+    ordered, windows = Counter(), 0
+    for r in halves["_by_suffix_order"].collect():
+        ordered[r.bucket] += len(r.bytes)
+    for r in halves["_by_window"].collect():
+        assert r.windows <= 64 and len(r.bytes) == r.windows + 39
+        windows += r.windows
+    assert ordered and max(ordered.values()) <= 2000 and windows > 5000
+
+
+def test_repeated_contexts_come_once():
+    names = ["bucket", "k1", "k2", "start"]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+        for rows in ([(1, 1, 1, 0)] * 3 + [(1, 1, 1, 5)], [(1, 1, 1, 5)] * 2 + [(2, 1, 1, 5)])
+    ]
+    found = [tuple(r.values()) for b in suffix._distinct_contexts(iter(batches))
+             for r in b.to_pylist()]
+    assert found == [(1, 1, 1, 0), (1, 1, 1, 5), (2, 1, 1, 5)]
+
+
 def test_repeated_strings_edges(edges, empty):
     found = suffix_dedup(edges, keep="none").collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, _ in EDGES)

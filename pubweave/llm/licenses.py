@@ -2,14 +2,16 @@
 
 Texts and templates are normalised to words of letters and digits in lower case.  A
 passage and a template are compared by the Dice coefficient of their sets of word
-bigrams, 2 * shared / (own + other).  A coefficient of t bounds the size of a passage to
-between t / (2 - t) and (2 - t) / t times the template's, so only windows and
+bigrams, 2 * shared / (own + other); repeated bigrams count once.  A coefficient of t bounds the
+different bigrams of a passage to between t / (2 - t) and (2 - t) / t times the template's, so only windows and
 templates within these bounds are compared, around the places where bigrams of
 templates stand.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -152,33 +154,80 @@ class Templates:
         for at in np.flatnonzero(self.table[(grams >> np.uint64(44)).astype(np.int64)]).tolist():
             for number in self.of.get(int(grams[at]), ()):
                 places.setdefault(number, []).append(at)
-        found = []
-        t = self.similarity / 100
+        before = after = None
+        # The least last bigram of windows that are alike goes with them.
+        found: list[tuple[tuple, int, list[int]]] = []
         for number, hits in places.items():
-            size = len(self.sets[number])
-            # The bounds for a window that is as long as it has different bigrams.
-            least, most = size * t / (2 - t), size * (2 - t) / t
-            if len(hits) < least:
+            if len(hits) < len(self.sets[number]) * self.similarity / (200 - self.similarity):
                 continue
-            for i, first in enumerate(hits):
-                shared: set[int] = set()
-                for last in hits[i:]:
-                    length = last - first + 1
-                    if length > most:
-                        break
-                    shared.add(int(grams[last]))
-                    if length < least:
-                        continue
-                    score = 2 * len(shared) / (length + size)
-                    if 100 * score >= self.similarity:
-                        found.append((score, number, first, last))
+            if before is None:
+                before, after = neighbours(grams)
+            for score, first, least, last in self._alike(number, hits, before, after):
+                found.append(((-score, first - last, first, number), least, hits))
+        heapq.heapify(found)
         # The best first; a window that overlaps a better one is no find of its own.
-        found.sort(key=lambda f: (-f[0], -(f[3] - f[2]), f[2], f[1]))
-        chosen: list[tuple[float, int, int, int]] = []
-        for one in found:
-            if all(one[3] < other[2] or one[2] > other[3] for other in chosen):
-                chosen.append(one)
-        return sorted(chosen, key=lambda f: f[2])
+        chosen: list[tuple[int, int, float, int]] = []
+        while found:
+            (score, length, first, number), least, hits = heapq.heappop(found)
+            at = bisect_right(chosen, (first, len(grams)))
+            if at and chosen[at - 1][1] >= first:
+                continue
+            if at < len(chosen) and chosen[at][0] <= first - length:
+                # Its equals that end before the better window are still to come.
+                last = hits[bisect_left(hits, chosen[at][0]) - 1]
+                if last >= least:
+                    heapq.heappush(found, ((score, first - last, first, number), least, hits))
+                continue
+            chosen.insert(at, (first, first - length, -score, number))
+        return [(score, number, first, last) for first, last, score, number in chosen]
+
+    def _alike(
+        self, number: int, hits: list[int], before: list[int], after: list[int]
+    ) -> Iterator[tuple[float, int, int, int]]:
+        """(coefficient, first, least last, greatest last bigram) of windows that begin and
+        end with a bigram of the template and have the same set of bigrams."""
+        size, t = len(self.sets[number]), self.similarity / 100
+        least, most = size * t / (2 - t), int(size * (2 - t) / t)
+        inside, n = set(hits), len(before)
+        # Where different bigrams of a window that begins at ``at`` stand first, up to
+        # one more than a window may have; those up to ``front`` have been looked at.
+        news: list[int] = []
+        at, front = hits[0], hits[0] - 1
+        for first in hits:
+            if first > front:
+                news, front = [], first - 1
+            else:
+                for gone in range(at, first):
+                    if news and news[0] == gone:
+                        del news[0]
+                    if after[gone] <= front:
+                        insort(news, after[gone])
+            at = first
+            while len(news) <= most and front < n - 1:
+                front += 1
+                if before[front] < first:
+                    news.append(front)
+            shared = 0
+            for own, place in enumerate(news[:most], 1):
+                shared += place in inside
+                score = 2 * shared / (own + size)
+                if own < least or 100 * score < self.similarity:
+                    continue
+                end = news[own] if own < len(news) else n
+                last = hits[bisect_left(hits, end) - 1]
+                if last >= place:
+                    yield score, first, place, last
+
+
+def neighbours(grams: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where the same bigram stands before and after every place; -1 and n for none."""
+    n = len(grams)
+    order = np.argsort(grams, kind="stable")
+    same = grams[order[1:]] == grams[order[:-1]]
+    before, after = np.full(n, -1), np.full(n, n)
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before.tolist(), after.tolist()
 
 
 def scan_licenses(

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pubweave.llm import graph, minhash, sharding, suffix_dedup as suffix
 from pubweave.llm.decontaminate import drop_contaminated, find_contamination
 from pubweave.llm.exact_dedup import drop_exact_copies, exact_dedup
-from pubweave.llm.licenses import Templates, bigrams, scan_licenses
+from pubweave.llm.licenses import (
+    NOTICES, Templates, _hash_words, _respelled, bigrams, scan_licenses,
+)
 from pubweave.llm.minhash import drop_near_copies, minhash_dedup
 from pubweave.llm.pieces import Pieces, encode_pieces
 from pubweave.llm.secrets import scan_secrets
@@ -154,6 +156,61 @@ def test_license_windows_equal_brute_force():
         assert not found or max(f[0] for f in found) == pytest.approx(best)
 
 
+def every_window(known, grams, similarity=75):
+    """What best_windows finds, from the coefficients of all windows."""
+    found = []
+    for number, template in enumerate(known.sets):
+        ends = [i for i, g in enumerate(grams.tolist()) if g in template]
+        for i in ends:
+            for j in ends:
+                own = set(grams[i : j + 1].tolist())
+                if own and 200 * len(own & template) >= similarity * (len(own) + len(template)):
+                    score = 2 * len(own & template) / (len(own) + len(template))
+                    found.append((score, number, i, j))
+    chosen = []
+    for one in sorted(found, key=lambda f: (-f[0], f[2] - f[3], f[2], f[1])):
+        if all(one[3] < other[2] or one[2] > other[3] for other in chosen):
+            chosen.append(one)
+    return sorted(chosen, key=lambda f: f[2])
+
+
+def test_license_windows_compare_sets():
+    rng = random.Random(7)
+    for kinds in (2, 3, 4, 6, 12):
+        for _ in range(60):
+            known = Templates({}, 75)
+            numbers = np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for number in range(2):
+                template = [rng.randrange(kinds) for _ in range(rng.randrange(2, 12))]
+                known.sets.append(set(bigrams(numbers[template]).tolist()))
+                for gram in known.sets[number]:
+                    known.of.setdefault(gram, []).append(number)
+                    known.table[gram >> 44] = True
+            grams = bigrams(numbers[[rng.randrange(kinds) for _ in range(rng.randrange(60))]])
+            assert known.best_windows(grams) == every_window(known, grams)
+
+
+def grams_of(text):
+    (words,) = _hash_words([text])
+    return bigrams(_respelled(words))
+
+
+def test_license_templates_match_themselves():
+    known = Templates(NOTICES, 75)
+    for name, texts in NOTICES.items():
+        for text in texts:
+            (found,) = known.best_windows(grams_of(f"foo bar {text} baz qux"))
+            assert (known.names[found[1]], found[0]) == (name, 1.0), text
+    # 60 of the 75 different bigrams of the Apache notice are left, among 76.
+    words = NOTICES["Apache-2.0"][2].split()
+    for at in range(4, len(words), 9):
+        words[at] = f"other{at}"
+    (found,) = known.best_windows(grams_of(" ".join(words)))
+    assert found[0] == 2 * 60 / (76 + 75)
+    # A text that repeats itself is looked through once.
+    assert known.best_windows(grams_of("under the License " * 30_000)) == []
+
+
 # --- contamination ----------------------------------------------------------------
 
 

@@ -61,6 +61,67 @@ NOTICES = {
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "Released under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU General Public License as published by the Free Software Foundation; either"
+        " version 2 of the License, or (at your option) any later version. This program is"
+        " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even"
+        " the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the"
+        " GNU General Public License for more details.",
+        "This program is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU General Public License version 2 as published by the Free Software"
+        " Foundation. This program is distributed in the hope that it will be useful, but WITHOUT"
+        " ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+        " PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Released under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms"
+        " of the GNU Affero General Public License as published by the Free Software Foundation,"
+        " either version 3 of the License, or (at your option) any later version. This program is"
+        " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even"
+        " the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the"
+        " GNU Affero General Public License for more details.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Released under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms"
+        " of the GNU Lesser General Public License as published by the Free Software Foundation,"
+        " either version 3 of the License, or (at your option) any later version. This program is"
+        " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even"
+        " the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the"
+        " GNU Lesser General Public License for more details.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Released under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU Lesser General Public License as published by the Free Software Foundation;"
+        " either version 2.1 of the License, or (at your option) any later version. This library"
+        " is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"
+        " the GNU Lesser General Public License for more details.",
+        "This program is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU Lesser General Public License as published by the Free Software Foundation;"
+        " either version 2.1 of the License, or (at your option) any later version. This program"
+        " is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"
+        " the GNU Lesser General Public License for more details.",
+    ],
+    "LGPL-2.0": [
+        "This library is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU Library General Public License as published by the Free Software Foundation;"
+        " either version 2 of the License, or (at your option) any later version. This library"
+        " is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"
+        " the GNU Library General Public License for more details.",
+        "This program is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU Library General Public License as published by the Free Software Foundation;"
+        " either version 2 of the License, or (at your option) any later version. This program"
+        " is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"
+        " the GNU Library General Public License for more details.",
     ],
     "MPL-2.0": [
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -68,6 +129,15 @@ NOTICES = {
         " If a copy of the MPL was not distributed with this file, You can obtain one at"
         " http://mozilla.org/MPL/2.0/.",
     ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are"
+        " permitted provided that the following conditions are met: 1. Redistributions of source"
+        " code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+        " notice, this list of conditions and the following disclaimer in the documentation"
+        " and/or other materials provided with the distribution.",
+    ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are"
@@ -85,6 +155,23 @@ NOTICES = {
         " without fee is hereby granted, provided that the above copyright notice and this"
         " permission notice appear in all copies.",
     ],
+    "EPL-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the"
+        " Eclipse Public License 2.0 which is available at"
+        " https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file"
+        " LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event"
+        " will the authors be held liable for any damages arising from the use of this software."
+        " Permission is granted to anyone to use this software for any purpose, including"
+        " commercial applications, and to alter it and redistribute it freely, subject to the"
+        " following restrictions:",
+    ],
     "CC-BY-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",

@@ -195,6 +195,30 @@ def grams_of(text):
     return bigrams(_respelled(words))
 
 
+def test_license_headers_get_their_own_names():
+    known = Templates(NOTICES, 75)
+    gnu = (
+        "This program is free software{0} you can redistribute it and/or modify it under the"
+        " terms of the GNU {1}General Public License as published by the Free Software"
+        " Foundation{0} either version {2} of the License, or (at your option) any later"
+        " version. This program is distributed in the hope that it will be useful, but WITHOUT"
+        " ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+        " PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You"
+        " should have received a copy of the GNU {1}General Public License along with this"
+        " program."
+    )
+    bsd = NOTICES["BSD-3-Clause"][1]
+    cases = {
+        gnu.format(";", "", "2"): "GPL-2.0", gnu.format(":", "", "3"): "GPL-3.0",
+        gnu.format(":", "Affero ", "3"): "AGPL-3.0", gnu.format(":", "Lesser ", "3"): "LGPL-3.0",
+        gnu.format(";", "Lesser ", "2.1"): "LGPL-2.1", gnu.format(";", "Library ", "2"): "LGPL-2.0",
+        bsd: "BSD-3-Clause", bsd[: bsd.index(" 3. Neither")]: "BSD-2-Clause",
+    }
+    for text, name in cases.items():
+        (found,) = known.best_windows(grams_of(text))
+        assert known.names[found[1]] == name
+
+
 def test_license_templates_match_themselves():
     known = Templates(NOTICES, 75)
     for name, texts in NOTICES.items():

@@ -28,7 +28,7 @@ from pubweave.llm.shingles import chunks, utf8
 
 #: Labelled documents, in the order of a hash of their ids, that the evidence is
 #: learned from: so many toxic ones and so many others at most.
-TOXIC_SAMPLE, OTHER_SAMPLE = 2000, 6000
+TOXIC_SAMPLE, OTHER_SAMPLE = 3000, 12000
 #: Evidence needs this bound, and this share of all toxic documents.
 LEAST_EVIDENCE, LEAST_SHARE = 0.5, 0.01
 THRESHOLD = 0.7
@@ -70,6 +70,11 @@ def shape(text: str) -> str:
     return _TWICE.sub(r"\1", text.translate(_SHAPES))
 
 
+def decoded_parts(form: str) -> list[str]:
+    """What stands between the characters that ``decode`` turns into word breaks."""
+    return "".join(c if c.isalpha() or c in LOOKALIKES else " " for c in form).split()
+
+
 def symbol_of(char: str) -> int:
     return ord(char) - 96 if "a" <= char <= "z" else _OTHER
 
@@ -357,9 +362,13 @@ class Scorer:
         return max(map(self.of_word, decode(form, self.model.logs).split()), default=0.0)
 
     def could_be_strong(self, form: str) -> bool:
-        """Whether a word with evidence may begin like this; see ``shape``."""
-        start = shape(form)[:3]
-        return start in self.shapes or start.startswith(self.short_shapes)
+        """Whether a word with evidence may begin like this, or like what follows a
+        character in it that ``decode`` turns into a word break; see ``shape``."""
+        for part in [form] if form.isalpha() else decoded_parts(form):
+            start = shape(part)[:3]
+            if start in self.shapes or start.startswith(self.short_shapes):
+                return True
+        return False
 
     def of_spread(self, run: str) -> dict[str, float]:
         """Evidence of the words that a run of single characters spells."""

@@ -25,7 +25,7 @@ from pubweave.llm.secrets import scan_secrets
 from pubweave.llm.suffix_dedup import suffix_dedup
 from pubweave.llm.token_files import ids_crc32, read_token_files, write_token_files
 from pubweave.llm.toxicity import (
-    Model, Scorer, decode, drop_toxic, learn, score_toxicity, symbol_of, trigram_logs, weigh,
+    LOOKALIKES, Model, Scorer, decode, drop_toxic, learn, score_toxicity, symbol_of, trigram_logs, weigh,
 )
 
 #: Names that operators use inside; a table may have columns of the same names.
@@ -368,6 +368,23 @@ def test_disguised_words():
         assert scorer.score(text) < 0.7, text
 
 
+def test_gate_drops_no_word_with_evidence(monkeypatch):
+    rng, model = random.Random(9), small_model()
+    marks = {x: [m for m, letters in LOOKALIKES.items() if x in letters] for x in "idotsuplerm"}
+    tokens = ["_1d10t_", "foo_1d10t", "x²1d10t", "a_b_st00pid", "٣m0r0n"]
+    for _ in range(3000):
+        word = rng.choice(["idiot", "stupid", "moron", "loser", "such", "list"])
+        letters = [rng.choice([x, x, *marks.get(x, [])]) * rng.choice([1, 1, 1, 2, 3]) for x in word]
+        before, after = (rng.choice(["", "", "_", "__", "foo_", "x²", "٣", "4_", "é"]) for _ in "ab")
+        tokens.append(before + "".join(letters) + after)
+    gated = Scorer(model)
+    found = [gated.of_token(token) for token in tokens]
+    monkeypatch.setattr(Scorer, "could_be_strong", lambda self, form: True)
+    ungated = Scorer(model)
+    assert found == [ungated.of_token(token) for token in tokens]
+    assert found[:3] == [0.9] * 3
+
+
 def test_toxicity(spark, edges, empty):
     rng = random.Random(8)
     rows, labels = [], []

@@ -20,7 +20,7 @@ from pubweave.llm.common import lookup, saved, small_batches, text_mark, whole_t
 from pubweave.llm.shingles import chunks, mix, utf8, word_hashes
 
 #: Token positions that a seed reads.  Of 14 tokens with any 3 replaced, one of the
-#: first three masks hits; longer passages at the threshold are hit more surely.
+#: first three masks hits; what shorter and some longer items miss is in the README.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 5), (0, 1, 2, 3, 4), (0, 2, 3, 5, 7))
 #: An item counts as found where this share of it, or of as many tokens of it as a
 #: window has, stands in the document.

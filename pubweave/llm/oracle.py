@@ -63,5 +63,66 @@ FROM texts LEFT JOIN joined USING (row)
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, piece, row_number() OVER () AS piece_id
+  FROM (SELECT lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (
+  SELECT lang, piece_id, ws[i] AS w, i
+  FROM (SELECT lang, piece_id, ws, unnest(range(1, len(ws) + 1)) AS i
+        FROM (SELECT lang, piece_id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces))),
+places AS (
+  SELECT lang, w AS a1, lead(w, 1) OVER p AS a2, lead(w, 2) OVER p AS a3, lead(w, 3) OVER p AS a4
+  FROM words WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+grams AS (
+  SELECT lang, a1 AS g, 1 AS k, count(*) AS f FROM places GROUP BY lang, a1
+  UNION ALL SELECT lang, a1 || ' ' || a2, 2, count(*) FROM places WHERE a2 IS NOT NULL
+  GROUP BY lang, a1, a2
+  UNION ALL SELECT lang, a1 || ' ' || a2 || ' ' || a3, 3, count(*) FROM places
+  WHERE a3 IS NOT NULL GROUP BY lang, a1, a2, a3
+  UNION ALL SELECT lang, a1 || ' ' || a2 || ' ' || a3 || ' ' || a4, 4, count(*) FROM places
+  WHERE a4 IS NOT NULL GROUP BY lang, a1, a2, a3, a4),
+frequent AS MATERIALIZED (
+  SELECT lang, g, k, f, string_split(g, ' ') AS ws FROM grams WHERE f >= 30),
+shorter AS (
+  SELECT lang, array_to_string(ws[1:k - 1], ' ') AS g, f FROM frequent WHERE k > 2
+  UNION ALL SELECT lang, array_to_string(ws[2:k], ' '), f FROM frequent WHERE k > 2
+  UNION ALL SELECT lang, array_to_string(ws[i:i + 1], ' '), f
+  FROM frequent, (VALUES (1), (2), (3)) AS spot(i) WHERE k = 4),
+longer AS (SELECT lang, g, max(f) AS more FROM shorter GROUP BY lang, g),
+kept AS (
+  SELECT frequent.* FROM frequent LEFT JOIN longer USING (lang, g)
+  WHERE k > 1 AND NOT coalesce(100 * more::HUGEINT >= 80 * f::HUGEINT, FALSE)),
+cuts AS (
+  SELECT kept.lang, kept.g, kept.k, kept.f AS a, spot.c, x.f AS l, y.f AS r,
+         2000000 * kept.f::HUGEINT // (x.f + y.f) AS score
+  FROM kept JOIN (VALUES (1), (2), (3)) AS spot(c) ON spot.c < kept.k
+  JOIN frequent x ON x.lang = kept.lang AND x.g = array_to_string(kept.ws[1:spot.c], ' ')
+  JOIN frequent y ON y.lang = kept.lang AND y.g = array_to_string(kept.ws[spot.c + 1:kept.k], ' ')),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank
+  FROM lowest),
+edges AS (
+  SELECT lang, g, f, array_to_string(ws[1:3], ' ') AS tail, array_to_string(ws[2:4], ' ') AS head
+  FROM frequent WHERE k = 4),
+steps AS (
+  SELECT x.lang, x.g AS g, y.g AS next FROM edges x
+  JOIN frequent v ON v.lang = x.lang AND v.g = x.head AND v.f = x.f
+  JOIN edges y ON y.lang = x.lang AND y.tail = x.head AND y.f = x.f),
+walk AS (
+  SELECT lang, g AS root, g FROM edges ANTI JOIN steps s ON s.lang = edges.lang AND s.next = edges.g
+  UNION ALL SELECT walk.lang, root, next FROM walk JOIN steps USING (lang, g)),
+passages AS (
+  SELECT lang, g, count(*) OVER (PARTITION BY lang, root) + 3 AS passage_words FROM walk)
+SELECT lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score, passage_words
+FROM ranked JOIN totals USING (lang) LEFT JOIN passages USING (lang, g) WHERE rank <= 2000
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_secret_scan": _OP4}
+    return {"op1_exact_dedup": _OP1, "op4_secret_scan": _OP4, "op11_collocations": _OP11}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pubweave.llm.collocations import mine_collocations
 from pubweave.llm.common import new_folder, read_table
 from pubweave.llm.decontaminate import find_contamination
 from pubweave.llm.exact_dedup import exact_dedup
@@ -175,3 +176,8 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return piece_digests(encode_pieces(docs, tokenizer_path(spark, "piece_bpe_32k.model")))
+
+
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(read_table(spark, sf_dir, "documents"))

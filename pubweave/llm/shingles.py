@@ -24,8 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: A number for every byte, and the bytes that separate words.
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+#: The bytes that separate words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -38,6 +37,10 @@ _NO_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0
     False
 )
 
+#: Places in a word whose byte numbers are kept in a table.
+_NEAR = 64
+_PLACES: dict[int, np.ndarray] = {}
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -83,17 +86,41 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def _place_numbers(lower: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """A number for every byte that depends on its place in the word as well."""
+
+    def number(codes: np.ndarray) -> np.ndarray:
+        return mix((codes.astype(np.uint64) + np.uint64(1)) * _ODD + mix(np.uint64([seed])))
+
+    table = _PLACES.get(seed)
+    if table is None:
+        table = _PLACES[seed] = number(np.arange(_NEAR << 8))
+    code = (place << 8) | lower
+    far = np.flatnonzero(place >= _NEAR)
+    found = table[np.minimum(code, len(table) - 1)]
+    found[far] = number(code[far])
+    return found
+
+
 def word_hashes(
-    data: np.ndarray, offsets: np.ndarray, letters_only: bool = False
+    data: np.ndarray,
+    offsets: np.ndarray,
+    letters_only: bool = False,
+    separators: np.ndarray | None = None,
+    seed: int = 0,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and last byte + 1 of every word, and words before each row.
 
     ``offsets`` are those of consecutive rows in ``data``.  Words lie between ASCII
-    white space, or are runs of letters and digits.
+    white space, between bytes for which ``separators`` is true, or are runs of
+    letters and digits.  A hash is the sum of numbers drawn for every byte at every
+    place in the word, so that no rearrangement of its bytes has the same sum.
     """
     base = int(offsets[0])
     data, bounds = data[base : int(offsets[-1])], offsets - base
-    word = ~(_NO_LETTER if letters_only else _SPACE)[data]
+    if separators is None:
+        separators = _NO_LETTER if letters_only else _SPACE
+    word = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     begins = word.copy()
@@ -104,8 +131,11 @@ def word_hashes(
     lower = _LOWER[data]
     if letters_only:
         lower[1:][(data[:-1] == 0xC3) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20
-    sums = prefix_hash(_BYTE[lower])
-    hashes = mix(run_hash(sums, starts, ends))
+    place = np.arange(len(data))
+    place -= np.maximum.accumulate(np.where(begins, place, 0))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_place_numbers(lower, place, seed), out=sums[1:])
+    hashes = mix(sums[ends] - sums[starts])
     return hashes, starts + base, ends + base, np.searchsorted(starts, bounds)
 
 

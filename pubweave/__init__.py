@@ -12,8 +12,6 @@ from pubweave.plans.etl import get_papers, run_etl, run_report
 from pubweave.plans.marts import build_marts, write_marts
 from pubweave.sources.atom import read_atom
 from pubweave.sources.publications import (
-    compact_store,
-    forget_versions,
     load_publications,
     read_publications,
     save_publications,
@@ -23,8 +21,6 @@ from pubweave.sources.raw import load_raw_data, save_raw_data
 __all__ = [
     "build_marts",
     "classify_data",
-    "compact_store",
-    "forget_versions",
     "get_papers",
     "get_top_words",
     "get_top_words_by_tag",

@@ -9,8 +9,8 @@ from pyspark.sql import Column, functions as F
 
 from pubweave.functions.vocabulary import CLEANER_STOPWORDS, distinct_keywords
 
-# Letters and digits of any script.
-ALNUM = r"\p{IsAlphabetic}\p{Nd}"
+# Letters and digits of any script; the plain ones, tested first, decide most characters.
+ALNUM = r"a-z0-9\p{IsAlphabetic}\p{Nd}"
 # Characters that make up a word when looking for phrase boundaries.
 WORD = ALNUM + r"\p{M}_"
 SPACE = r"\s\p{Z}\x{85}"
@@ -23,7 +23,7 @@ COUNTABLE_WORD = "^[a-z]{3,}$"
 
 def strip_tags(text: Column) -> Column:
     """Remove ``<...>``, leaving nothing in its place."""
-    return F.regexp_replace(text, TAG, "")
+    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, TAG, "")).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -35,27 +35,67 @@ def words(text: Column) -> Column:
     return F.split(spaced, " ")
 
 
-def clean_text(text: Column, stopwords: Iterable[str] = CLEANER_STOPWORDS) -> Column:
-    """Lower-case text without tags, punctuation, single characters, plain
-    numbers and stop words.  Gaps left by stop words stay."""
+def countable_words(text: Column) -> Column:
+    """The letter-and-digit runs of ``words`` that are worth counting.
 
-    def drop_words(column: Column, pattern: str) -> Column:
-        return F.regexp_replace(column, f"(?<![{ALNUM}])(?:{pattern})(?![{ALNUM}])", "")
-
-    kept = F.regexp_replace(strip_tags(F.lower(text)), f"[^{ALNUM}{SPACE}-]+", "")
-    kept = drop_words(kept, rf"[{ALNUM}]|\p{{Nd}}+")
-    squished = F.btrim(F.regexp_replace(kept, f"[{SPACE}]+", " "))
-    return drop_words(squished, _any_of(stopwords))
+    Every match takes in a whole run; runs with other characters come out empty and
+    are removed.
+    """
+    runs = F.regexp_extract_all(
+        strip_tags(F.lower(text)), F.lit(f"([a-z]{{3,}}+)(?![{ALNUM}])|[{ALNUM}]++"), F.lit(1)
+    )
+    return F.array_remove(runs, "")
 
 
-def phrase_pattern(phrases: Iterable[str]) -> str:
-    """A regular expression whose group 1 is the longest phrase starting at a
-    word start and ending at a word end.
+def clean_text(text: Column, stopwords: Iterable[str] = CLEANER_STOPWORDS) -> Column:
+    """Lower-case text without tags, punctuation, single characters, plain
+    numbers and stop words.  Gaps left by stop words stay."""
 
-    The cost per word hardly grows with the number of phrases; the match itself
-    is empty, so phrases may overlap.
-    """
-    return f"(?<![{WORD}])(?=({_any_of(phrases)})(?![{WORD}]))"
+    lower = F.lower(text)
+    # Tags and all that is no word, space or hyphen leave nothing in their place.
+    kept = F.regexp_replace(lower, f"{TAG}|<|[^<{ALNUM}{SPACE}-]+", "")
+    stops = list(dict.fromkeys(stopwords))
+    plain = [word for word in stops if word.isalnum()]
+
+    def is_number(word: Column) -> Column:
+        # Few words do not begin with a plain letter.
+        return F.when((word >= "a") & (word < "{"), F.lit(False)).otherwise(
+            word.rlike(r"^\p{Nd}+$")
+        )
+
+    def is_short(word: Column) -> Column:
+        return ((F.length(word) == 1) & (word != "-")) | is_number(word)
+
+    def is_stop(word: Column) -> Column:
+        return word.isin(plain) if plain else F.lit(False)
+
+    def hyphened(chunk: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.split(chunk, "-"),
+                lambda word: F.when(is_short(word) | is_stop(word), "").otherwise(word),
+            ),
+            "-",
+        )
+
+    # Gaps of short words close, those of stop words stay.
+    chunks = F.filter(
+        F.split(kept, f"[{SPACE}]+"), lambda chunk: (chunk != "") & ~is_short(chunk)
+    )
+    cleaned = F.array_join(
+        F.transform(
+            chunks,
+            lambda chunk: F.when(F.contains(chunk, F.lit("-")), hyphened(chunk))
+            .when(is_stop(chunk), "").otherwise(chunk),
+        ),
+        " ",
+    )
+    phrases = [word for word in stops if word and not word.isalnum()]
+    if phrases:
+        cleaned = F.regexp_replace(
+            cleaned, f"(?<![{ALNUM}])(?:{_any_of(phrases)})(?![{ALNUM}])", ""
+        )
+    return cleaned
 
 
 def _any_of(phrases: Iterable[str], group: int = 6) -> str:
@@ -97,43 +137,65 @@ def escaped(text: str) -> str:
     )
 
 
-def _ends_word(following: str) -> bool:
-    """Whether a word ends before this character, see ``WORD``."""
-    return not (
-        following.isalnum() or following == "_" or unicodedata.category(following)[0] == "M"
+def _word_runs(phrase: str) -> list[str]:
+    """Runs of ``WORD`` characters."""
+    runs = "".join(
+        char if char.isalnum() or char == "_" or unicodedata.category(char)[0] == "M" else "\0"
+        for char in phrase
     )
+    return [run for run in runs.split("\0") if run]
 
 
 def phrases_found(text: Column, topics: Mapping[str, Iterable[str]]) -> Column:
-    """Array with every topic keyword that occurs in ``text``, at least once.
+    """Array with every topic keyword that occurs in ``text``, once each.
 
-    Case does not matter.  The extraction finds the longest keyword per word
-    start; keywords that begin it ("log" in "log file") are added by lookup.
+    Case does not matter.  Where a keyword stands, each run of word characters in it is a
+    word of the text.  So the words of the text are intersected with one such run of
+    every keyword; keywords of a single word are then found, others are looked for
+    if their run is.
     """
-    phrases = distinct_keywords(topics)
-    longest = F.regexp_extract_all(
-        F.lower(text), F.lit(phrase_pattern(phrases)), F.lit(1)
+    by_run: dict[str, list[str]] = {}
+    for phrase in distinct_keywords(topics):
+        by_run.setdefault(max(_word_runs(phrase), key=len, default=""), []).append(phrase)
+    always = by_run.pop("", [])
+
+    def candidates(phrases: Iterable[str]) -> str:
+        items = ", ".join(
+            f"named_struct('phrase', {sql_text(p)}, 'pattern',"
+            f" {'cast(null as string)' if _word_runs(p) == [p] else sql_text(_bounded(p))})"
+            for p in phrases
+        )
+        return f"array({items})"
+
+    none = "cast(array() as array<struct<phrase: string, pattern: string>>)"
+    table = F.expr(
+        f"map_from_arrays({sql_array(by_run)}, array({', '.join(map(candidates, by_run.values()))}))"
+        if by_run else f"map(cast('' as string), {none})"
     )
-    beginnings = {
-        phrase: [
-            p for p in phrases
-            if phrase != p and phrase.startswith(p) and _ends_word(phrase[len(p)])
-        ]
-        for phrase in phrases
-    }
-    depth = max(map(len, beginnings.values()), default=0)
-    lookups = [
-        string_map({p: b[level] for p, b in beginnings.items() if len(b) > level})
-        for level in range(depth)
-    ]
-    # The extraction is used once, so it is evaluated once.
-    with_beginnings = F.transform(
-        longest,
-        lambda phrase: F.array(
-            phrase, *[F.try_element_at(lookup, phrase) for lookup in lookups]
-        ),
+    everywhere = F.expr(candidates(always) if always else none)
+
+    def found(lower: Column) -> Column:
+        # The extraction is used once, so it is evaluated once.
+        runs = F.array_intersect(
+            F.regexp_extract_all(lower, F.lit(f"[{WORD}]+"), F.lit(0)), string_array(by_run)
+        )
+        listed = F.flatten(F.transform(runs, lambda run: F.try_element_at(table, run)))
+        present = F.filter(
+            F.concat(listed, everywhere),
+            lambda item: item["pattern"].isNull()
+            | (F.contains(lower, item["phrase"]) & F.rlike(lower, item["pattern"])),
+        )
+        return F.transform(present, lambda item: item["phrase"])
+
+    # One item, so that the lower-case text is a value and not an expression.
+    return F.when(
+        text.isNotNull(), F.element_at(F.transform(F.array(F.lower(text)), found), 1)
     )
-    return F.array_compact(F.flatten(with_beginnings))
+
+
+def _bounded(phrase: str) -> str:
+    """A pattern for the phrase between word boundaries."""
+    return f"(?<![{WORD}]){escaped(phrase)}(?![{WORD}])"
 
 
 def string_array(values: Iterable[str]) -> Column:

@@ -22,28 +22,44 @@ CHARACTER_WEIGHT = 0.1
 _FOUND = "__keywords_found"
 
 
-def _topic_scores(found: Column, topics: Topics) -> Column:
-    """Array of (score, tag), one per topic, in topic order."""
+def _score_table(topics: Topics) -> Column:
+    """Keyword to its entries (tag, its place, the keyword's place, weight)."""
+    entries: dict[str, list[str]] = {}
+    for place, (tag, keywords) in enumerate(topics.items()):
+        for order, keyword in enumerate(dict.fromkeys(keywords)):
+            entries.setdefault(keyword, []).append(
+                f"named_struct('place', {place}, 'keyword', {order}, 'tag', {sql_text(tag)},"
+                f" 'length', {len(keyword)})"
+            )
     # Written as SQL so that the whole table is one constant of the plan.
-    rows = ", ".join(
-        f"named_struct('tag', {sql_text(tag)},"
-        f" 'keywords', {sql_array(keywords)})"
-        for tag, keywords in topics.items()
+    values = ", ".join(f"array({', '.join(rows)})" for rows in entries.values())
+    return F.expr(f"map_from_arrays({sql_array(entries)}, array({values}))")
+
+
+def _topic_scores(found: Column, topics: Topics) -> Column:
+    """Array of (score, tag) of the topics with keywords found, in topic order.
+
+    Only the keywords found are touched; each topic's are added up in their order.
+    """
+    nothing = F.expr("cast(array() as array<struct<score: double, tag: string>>)")
+    if not any(topics.values()):
+        return nothing
+    table = _score_table(topics)
+    entries = F.array_sort(
+        F.flatten(F.transform(found, lambda keyword: F.try_element_at(table, keyword)))
     )
 
-    def score(keywords: Column) -> Column:
-        return F.aggregate(
-            F.array_intersect(keywords, found),
-            F.lit(0.0),
-            lambda total, word: total + F.length(word) * F.lit(CHARACTER_WEIGHT),
+    def add(scores: Column, entry: Column) -> Column:
+        last = F.try_element_at(scores, F.lit(-1))
+        weight = F.lit(CHARACTER_WEIGHT) * entry["length"]
+        goes_on = F.coalesce(last["tag"] == entry["tag"], F.lit(False))
+        before = F.when(goes_on, F.slice(scores, 1, F.size(scores) - 1)).otherwise(scores)
+        score = F.when(goes_on, last["score"]).otherwise(F.lit(0.0)) + weight
+        return F.concat(
+            before, F.array(F.struct(score.alias("score"), entry["tag"].alias("tag")))
         )
 
-    return F.transform(
-        F.expr(f"array({rows})"),
-        lambda topic: F.struct(
-            score(topic["keywords"]).alias("score"), topic["tag"].alias("tag")
-        ),
-    )
+    return F.aggregate(entries, nothing, add)
 
 
 def classify_data(df: DataFrame, topics: Topics = TOPIC_KEYWORDS) -> DataFrame:
@@ -73,7 +89,7 @@ def keywords_present(
 ) -> DataFrame:
     """One row (key, keyword) per paper and distinct keyword in its abstract."""
     require_columns(df, [key, "abstract"])
-    found = F.array_distinct(phrases_found(F.col("abstract"), topics))
+    found = phrases_found(F.col("abstract"), topics)
     return df.select(key, F.explode(found).alias("keyword"))
 
 

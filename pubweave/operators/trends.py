@@ -118,14 +118,55 @@ def tag_counts_from_share(shares: DataFrame) -> DataFrame:
 
 def tag_share(papers: DataFrame) -> DataFrame:
     """(tag, n, percentage of all papers, rounded half to even to one digit)."""
+    return _shares(_count_by(papers, "tag"))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
     # The window sees one row per distinct tag, not one per paper.
     total = F.sum("n").over(Window.partitionBy())
     share = F.bround(F.col("n") / total * 100, 1)
-    return (
-        _count_by(papers, "tag")
-        .select("tag", "n", share.alias("percentage"))
-        .orderBy(F.desc("n"), F.asc_nulls_last("tag"))
+    return counts.select("tag", "n", share.alias("percentage")).orderBy(
+        F.desc("n"), F.asc_nulls_last("tag")
+    )
+
+
+def paper_counts(pubs: DataFrame) -> DataFrame:
+    """(kind, day, tag, n_authors, n): papers per day, per tag and per number of authors.
+
+    One scan counts all three; ``kind`` names the column that a row is about, and the
+    others are null there.
+    """
+    narrow = pubs.select(
+        day_bucket(_published(pubs)).alias("day"), "tag",
+        F.when(F.col("authors").isNotNull(), author_count(F.col("authors"))).alias("n_authors"),
+    )
+    columns = [F.col(name) for name in narrow.columns]
+    counts = narrow.groupingSets([[c] for c in columns], *columns).agg(
+        F.grouping_id().alias("absent"), F.count(F.lit(1)).alias("n")
     )
+    # A bit is set for every column that a row is not grouped by.
+    kind = F.when(F.col("absent") == 0b011, "day").when(F.col("absent") == 0b101, "tag")
+    return counts.select(kind.otherwise("n_authors").alias("kind"), *columns, "n")
+
+
+def _counted(counts: DataFrame, kind: str) -> DataFrame:
+    return counts.filter(F.col("kind") == kind).select(kind, "n")
+
+
+def days_from_counts(counts: DataFrame) -> DataFrame:
+    """``papers_by_day`` from the result of ``paper_counts``."""
+    return _counted(counts, "day").orderBy(F.asc_nulls_last("day"))
+
+
+def share_from_counts(counts: DataFrame) -> DataFrame:
+    """``tag_share`` from the result of ``paper_counts``."""
+    return _shares(_counted(counts, "tag"))
+
+
+def authors_per_paper_from_paper_counts(counts: DataFrame) -> DataFrame:
+    """``authors_per_paper_histogram`` from the result of ``paper_counts``."""
+    listed = _counted(counts, "n_authors").filter(F.col("n_authors").isNotNull())
+    return listed.orderBy("n_authors")
 
 
 def data_flag(pubs: DataFrame) -> DataFrame:

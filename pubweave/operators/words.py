@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pubweave.functions.text import COUNTABLE_WORD, sql_text, words
+from pubweave.functions.text import countable_words, sql_text
 from pubweave.functions.vocabulary import (
     ABSTRACT_STOPWORDS,
     BY_TAG_STOPWORDS,
@@ -22,24 +22,37 @@ from pubweave.functions.vocabulary import (
 from pubweave.operators.search import first_rows
 from pubweave.schemas import require_columns
 
+#: Stop lists of so many bytes are literals, and of so many are broadcast; a word counts
+#: with what a row takes besides it.
+LITERAL_BYTES = 64 * 1024
+BROADCAST_BYTES = 8 * 1024 * 1024
+ROW_BYTES = 64
+
 
 def paper_words(df: DataFrame, *keep: str) -> DataFrame:
     """One row (*keep, word) per countable word occurrence."""
-    return (
-        df.filter(F.col("abstract").isNotNull())
-        .select(*keep, F.explode(words(F.col("abstract"))).alias("word"))
-        .filter(F.col("word").rlike(COUNTABLE_WORD))
+    return df.filter(F.col("abstract").isNotNull()).select(
+        *keep, F.explode(countable_words(F.col("abstract"))).alias("word")
     )
 
 
 def drop_stopwords(rows: DataFrame, *lists: Iterable[str]) -> DataFrame:
     """Rows whose word is in none of the lists.
 
-    The lists are vocabulary, a few hundred words: they travel as literals and
-    are looked up inside generated code, which beats a join per occurrence.
+    Vocabulary of a few hundred words travels as literals and is looked up inside
+    generated code, which beats a join.  Lists of more than ``LITERAL_BYTES`` are a table
+    and an anti-join, broadcast up to ``BROADCAST_BYTES``.
     """
     stop = sorted({word for words_ in lists for word in words_})
-    return rows.filter(f"word NOT IN ({', '.join(map(sql_text, stop))})")
+    size = sum(len(word.encode()) + ROW_BYTES for word in stop)
+    if not stop:
+        return rows
+    if size <= LITERAL_BYTES:
+        return rows.filter(f"word NOT IN ({', '.join(map(sql_text, stop))})")
+    table = rows.sparkSession.createDataFrame([(word,) for word in stop], "word string")
+    if size <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    return rows.join(table, "word", "left_anti").select(*rows.columns)
 
 
 def most_frequent(counts: DataFrame, n: int, key: str = "word") -> DataFrame:
@@ -52,8 +65,7 @@ def get_top_words(
 ) -> DataFrame:
     """The ``n`` most frequent words (word, n) of all abstracts."""
     require_columns(df, ["abstract"])
-    kept = drop_stopwords(paper_words(df), SNOWBALL_STOPWORDS, stopwords)
-    return most_frequent(_count(kept, "word"), n)
+    return most_frequent(_counts_without(paper_words(df), SNOWBALL_STOPWORDS, stopwords), n)
 
 
 def get_top_words_by_tag(
@@ -62,8 +74,8 @@ def get_top_words_by_tag(
     """The ``n`` most frequent words (tag, word, n) of every topic tag."""
     require_columns(df, ["abstract", "tag"])
     tagged = df.filter(_has_topic())
-    kept = drop_stopwords(paper_words(tagged, "tag"), SNOWBALL_STOPWORDS, stopwords)
-    return _first_per_tag(_count(kept, "tag", "word"), n).drop("rank")
+    counts = _counts_without(paper_words(tagged, "tag"), SNOWBALL_STOPWORDS, stopwords)
+    return _first_per_tag(counts, n).drop("rank")
 
 
 def count_words_by_tag(df: DataFrame) -> DataFrame:
@@ -73,10 +85,7 @@ def count_words_by_tag(df: DataFrame) -> DataFrame:
     The null tag is kept as a group of its own.
     """
     require_columns(df, ["abstract", "tag"])
-    kept = drop_stopwords(
-        paper_words(df, "tag"), SNOWBALL_STOPWORDS, ABSTRACT_STOPWORDS
-    )
-    return _count(kept, "tag", "word")
+    return _counts_without(paper_words(df, "tag"), SNOWBALL_STOPWORDS, ABSTRACT_STOPWORDS)
 
 
 def top_words_from_counts(
@@ -105,6 +114,16 @@ def _count(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _counts_without(rows: DataFrame, *lists: Iterable[str]) -> DataFrame:
+    """Counts of ``rows`` by all their columns, without stop words.
+
+    Built-in lists keep words from being counted at all; a caller's, which may need a
+    join, is applied to the distinct words.
+    """
+    built_in, given = lists[0], lists[1:]
+    return drop_stopwords(_count(drop_stopwords(rows, built_in), *rows.columns), *given)
+
+
 def _first_per_tag(counts: DataFrame, n: int) -> DataFrame:
     # The filter on row_number lets Spark cut every task's rows to n per tag
     # before the shuffle by tag.

@@ -346,6 +346,21 @@ UNION ALL
 SELECT 2, count(*) FILTER (action = 'insert'), count(*) FILTER (action = 'update'),
        (SELECT count(*) FROM second_papers) - count(*) FILTER (action <> 'keep')
 FROM actions""",
+        "load_store_year": f"""SELECT * EXCLUDE (action, umap_x, umap_y) FROM ({merged})
+WHERE extract(year FROM published_date) = 2022""",
+        "load_absent_store": f"{dated} SELECT paper_id, title, tag FROM staged WHERE paper_id <> ''",
+        "raw_absent_snapshot": f"{_with(RAW)} SELECT * EXCLUDE (lang, n_chars) FROM raw",
+        "etl_counts": f"""{dated}, chosen AS ({_corpus_rows()})
+SELECT count(*) AS fetched, count(*) AS loaded, count(*) AS classified,
+       count(*) AS inserted, 0 AS updated, 0 AS skipped FROM chosen""",
+        "report_months": f"""{dated}, chosen AS ({_corpus_rows()})
+SELECT CAST(date_trunc('month', published_date) AS DATE) AS month, count(*) AS n
+FROM staged WHERE paper_id IN (SELECT id FROM chosen) GROUP BY month""",
+        "report_authors": _with(
+            RAW, STAGED, f"chosen AS ({_corpus_rows()})",
+            "listed AS (SELECT * FROM staged WHERE paper_id IN (SELECT id FROM chosen))",
+            staged_authors.format("listed"),
+        ) + by_author,
         "raw_round_trip": f"{_with(RAW)} SELECT * EXCLUDE (lang, n_chars) FROM raw",
         "etl_papers": f"""{pubs}, chosen AS ({_corpus_rows()})
 SELECT paper_id, title, authors, categories, published_date, updated_date, tag

@@ -5,16 +5,16 @@ Everything is written to new folders below the session's shared scratch folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubweave.operators.classify import classify_data
-from pubweave.plans.etl import run_etl
-from pubweave.plans.marts import write_marts
+from pubweave.operators.upsert import new_papers_only, stage_publications
+from pubweave.plans.etl import run_etl, run_report
+from pubweave.plans.marts import MARTS, by_count_order, write_marts
 from pubweave.schemas import RAW_SCHEMA
 from pubweave.sources import files, sample_tables as sample
 from pubweave.sources.atom import read_atom
@@ -27,21 +27,8 @@ from pubweave.sources.raw import load_raw_data, save_raw_data
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MARTS = [
-    "has_data", "pubs_by_day", "pubs_by_month", "pubs_by_weekday", "top_authors",
-    "author_counts", "authors_per_paper", "tag_counts", "tag_share", "top_words",
-    "topic_words",
-]
-
-
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="pubweave-")
-
-
 def _folder(spark: SparkSession) -> str:
-    root = files.scratch_root(spark, "") or _local_scratch()
-    return f"{root}/queries/{uuid.uuid4().hex}"
+    return f"{files.shared_scratch(spark)}/queries/{uuid.uuid4().hex}"
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,17 +94,65 @@ def etl_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@cache
-def _marts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """The report tables of the classified papers, written once per session."""
-    folder = _folder(spark)
-    save_publications(classify_data(sample.raw_papers(spark, sf_dir)), f"{folder}/store")
-    return write_marts(read_publications(spark, f"{folder}/store"), f"{folder}/marts")
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classified papers after a save."""
+    store = _folder(spark)
+    save_publications(classify_data(sample.raw_papers(spark, sf_dir)), store)
+    return read_publications(spark, store)
 
 
 def _mart(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.read.parquet(_marts(spark, sf_dir)[name])
+        paths = write_marts(_stored(spark, sf_dir), _folder(spark), [name])
+        return spark.read.parquet(paths[name])
+
+    return query
+
+
+def load_store_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One year of the store: its months only are read."""
+    store, _ = _two_saves(spark, sf_dir)
+    return load_publications(spark, store, year=2022).drop("ingested_at")
+
+
+def load_absent_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers of a batch that an absent store does not hold, by number: all of them.
+
+    Its typed empty relation takes part in the plan like any store.
+    """
+    known = read_publications(spark, f"{_folder(spark)}/none")
+    staged = stage_publications(sample.raw_papers(spark, sf_dir).withColumn("tag", F.col("lang")))
+    return new_papers_only(staged, known).select("paper_id", "title", "tag")
+
+
+def raw_absent_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw papers after those of a snapshot that is not there: a typed relation without rows."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)
+        absent = load_raw_data(spark, "none", _folder(spark))
+    return absent.unionByName(_raw(spark, sf_dir))
+
+
+def etl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every stage of a run reports."""
+    folder = _folder(spark)
+    stats = run_etl(spark, _landing(spark, sf_dir), f"{folder}/store", f"{folder}/raw")
+    names = ["fetched", "loaded", "classified", "inserted", "updated", "skipped"]
+    return spark.createDataFrame(
+        [tuple(stats[name] for name in names)], ", ".join(f"{name} long" for name in names)
+    )
+
+
+def _report(name: str, order: Callable[[DataFrame], DataFrame] | None = None) -> Query:
+    """A table of the report that collects papers itself, there being no snapshot yet."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = _folder(spark)
+        paths = run_report(
+            spark, _landing(spark, sf_dir), f"{folder}/marts", f"{folder}/store", f"{folder}/raw"
+        )
+        table = spark.read.parquet(paths[name])
+        return order(table) if order else table
 
     return query
 
@@ -125,6 +160,14 @@ def _mart(name: str) -> Query:
 def store_queries() -> dict[str, Query]:
     found = {
         f.__name__: f
-        for f in (store_round_trip, store_counts, raw_round_trip, atom_files, etl_papers)
+        for f in (
+            store_round_trip, store_counts, raw_round_trip, atom_files, etl_papers,
+            load_store_year, load_absent_store, raw_absent_snapshot, etl_counts,
+        )
+    }
+    found |= {f"mart_{name}": _mart(name) for name in MARTS}
+    return found | {
+        "report_months": _report("pubs_by_month"),
+        # As the bar chart shows them.
+        "report_authors": _report("top_authors", by_count_order),
     }
-    return found | {f"mart_{name}": _mart(name) for name in MARTS}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +26,6 @@ def size_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(jpath).getLength()
 
 
-def modified(spark: SparkSession, path: str) -> float:
-    """Time of the last change in seconds since 1970."""
-    fs, jpath = _locate(spark, path)
-    return fs.getFileStatus(jpath).getModificationTime() / 1000
-
-
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
     fs, jpath = _locate(spark, path)
@@ -43,29 +39,9 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    fs, jpath = _locate(spark, path)
-    stream = fs.open(jpath)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def publish_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Make ``path`` appear at once with ``text``; False if it already exists."""
+def make_folder(spark: SparkSession, path: str) -> None:
     fs, jpath = _locate(spark, path)
-    draft_name = f".{jpath.getName()}.{uuid.uuid4().hex}"
-    draft = spark._jvm.org.apache.hadoop.fs.Path(jpath.getParent(), draft_name)
-    stream = fs.create(draft, False)
-    try:
-        stream.write(bytearray(text, "utf-8"))
-    finally:
-        stream.close()
-    if not fs.exists(jpath) and fs.rename(draft, jpath):
-        return True
-    fs.delete(draft, False)
-    return False
+    fs.mkdirs(jpath)
 
 
 def overwrite_parquet(df: DataFrame, path: str) -> None:
@@ -93,3 +69,19 @@ def scratch_root(spark: SparkSession, fallback: str) -> str:
     """Shared folder for intermediate tables: the cluster's checkpoint folder
     if it names one, else ``fallback``."""
     return spark.conf.get(CHECKPOINT_DIR, None) or fallback
+
+
+def shared_scratch(spark: SparkSession) -> str:
+    """The folder of ``scratch_root``, which a cluster has to name: its machines share no
+    temporary folder.  A local session without the setting gets one of its own."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all machines share")
+    return _local_scratch()
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="pubweave-")

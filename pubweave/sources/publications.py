@@ -1,29 +1,24 @@
-"""The stored publications: versioned Parquet, split by month of publication.
-
-Layout under the store's folder::
-
-    versions/0000000007.json          which data folders make up each month
-    data/7-<id>/month=2024-05/*.parquet
-
-The highest version is current.  A save writes new data folders and then one
-version file, so readers see either all of it or nothing.  New papers add files to
-their months; only months that lose a replaced row are rewritten, so what a save
-costs follows its batch.  A year filter reads the folders of its months.  A save
-that loses the race for a version number fails and leaves the table as it was (this
-relies on a rename that does not replace files, as on HDFS).
+"""The stored publications: a Parquet table partitioned by month of publication.
+
+A save writes the rows it changes to a staging table first and from there into the
+table: months that lose or replace a row are overwritten, others are appended to, so
+what a save costs follows its batch and the months it updates.  A year filter reads the
+partitions of its months only.
+
+The table has no versions.  Spark moves the finished files of a save into their
+months one after another, so a reader at that moment may fail, or see some months
+before and others after the save, and one job at a time may save.  A save that was
+interrupted there is repeated with the same batch: what is stored with the same update
+date is skipped.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import time
 import uuid
-from collections.abc import Iterable
-from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pubweave.operators.search import (
     as_integer,
@@ -52,6 +47,15 @@ BROADCAST_BYTES = 8 * 1024 * 1024
 #: The month of papers without publication date.
 NO_MONTH = "none"
 
+_MONTH = T.StructField("month", T.StringType())
+_STORED = T.StructType([*PUBLICATIONS_SCHEMA.fields, _MONTH])
+_CHANGES = T.StructType([
+    *PUBLICATIONS_SCHEMA.fields,
+    T.StructField("action", T.StringType()),
+    T.StructField("old_month", T.StringType()),
+    _MONTH,
+])
+
 
 def store_path(spark: SparkSession, path: str | None = None) -> str:
     """Argument, else environment, else session setting, else the default.
@@ -62,66 +66,31 @@ def store_path(spark: SparkSession, path: str | None = None) -> str:
     return next((c for c in candidates if c), DEFAULT_STORE)
 
 
-@dataclass
-class Version:
-    """One version of the store: its data folders per month."""
-
-    number: int
-    folders: dict[str, list[str]] = field(default_factory=dict)
-
-    @staticmethod
-    def file(store: str, number: int) -> str:
-        return f"{store}/versions/{number:010d}.json"
-
-    def paths(self, store: str, months: Iterable[str] | None = None) -> list[str]:
-        chosen = self.folders if months is None else months
-        return [
-            f"{store}/data/{folder}/month={month}"
-            for month in chosen
-            for folder in self.folders.get(month, [])
-        ]
-
-    def publish(self, spark: SparkSession, store: str) -> bool:
-        content = json.dumps({"folders": self.folders})
-        return files.publish_text(spark, self.file(store, self.number), content)
-
-
-def _version_numbers(spark: SparkSession, store: str) -> list[int]:
-    names = files.list_names(spark, f"{store}/versions")
-    return sorted(int(name[:-5]) for name in names if name[:-5].isdigit())
-
-
-def _read_version(spark: SparkSession, store: str, number: int) -> Version:
-    content = json.loads(files.read_text(spark, Version.file(store, number)))
-    return Version(number, content["folders"])
-
-
-def current_version(spark: SparkSession, store: str) -> Version | None:
-    numbers = _version_numbers(spark, store)
-    return _read_version(spark, store, numbers[-1]) if numbers else None
+def init_store(spark: SparkSession, path: str | None = None) -> str:
+    """Create the empty table if there is none; returns its folder."""
+    store = store_path(spark, path)
+    files.make_folder(spark, store)
+    return store
 
 
-def init_store(spark: SparkSession, path: str | None = None) -> Version:
-    """Create the empty table if there is none."""
-    store = store_path(spark, path)
-    if current_version(spark, store) is None:
-        Version(0).publish(spark, store)
-    return current_version(spark, store)
+def _read_months(spark: SparkSession, store: str) -> DataFrame:
+    """All stored columns and ``month``, the partition column; no rows if there is no table."""
+    if not files.exists(spark, store):
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_STORED).parquet(store)
 
 
 def read_publications(
-    spark: SparkSession,
-    path: str | None = None,
-    months: Iterable[str] | None = None,
-    version: Version | None = None,
+    spark: SparkSession, path: str | None = None, year: Any = None
 ) -> DataFrame:
-    """All stored columns of the current version, or no rows if nothing is stored."""
-    store = store_path(spark, path)
-    version = version or current_version(spark, store)
-    paths = version.paths(store, months) if version else []
-    if not paths:
-        return spark.createDataFrame([], PUBLICATIONS_SCHEMA)
-    return spark.read.schema(PUBLICATIONS_SCHEMA).parquet(*paths)
+    """All stored columns, of one year's months if it is given; no rows, with all columns,
+    if nothing is stored."""
+    stored = _read_months(spark, store_path(spark, path))
+    whole_year = as_integer(year)
+    if whole_year is not None:
+        first, last = f"{whole_year:04d}-01", f"{whole_year:04d}-12"
+        stored = stored.filter(F.col("month").between(first, last))
+    return stored.drop("month")
 
 
 def load_publications(
@@ -138,12 +107,7 @@ def load_publications(
     A year reads its twelve months only.  Reports need no order; they start from
     ``read_publications``.
     """
-    store = store_path(spark, path)
-    version = current_version(spark, store)
-    whole_year, months = as_integer(year), None
-    if version and whole_year is not None:
-        months = [m for m in version.folders if m.startswith(f"{whole_year:04d}-")]
-    stored = read_publications(spark, store, months, version).select(*PUBLICATION_COLUMNS)
+    stored = read_publications(spark, path, year).select(*PUBLICATION_COLUMNS)
     return latest_publications(filter_publications(stored, year, category, text), limit)
 
 
@@ -152,26 +116,28 @@ def save_publications(
 ) -> dict[str, Any]:
     """Merge classified papers into the store; returns what was done.
 
-    ``papers`` is computed once, into an intermediate table, and the decisions
-    are written once, as the new data.  Later steps read them back from files,
-    so a lost executor costs a re-read, and no count depends on task retries.
+    ``papers`` is computed once, into an intermediate table, and so are the decisions.
+    Later steps read them back from files, so a lost executor costs a re-read, and no
+    count depends on task retries.
     """
     spark = papers.sparkSession
     store = store_path(spark, path)
     staged = stage_publications(papers, strict)
-    scratch = f"{files.scratch_root(spark, store)}/staging-{uuid.uuid4().hex}"
+    scratch = f"{files.scratch_root(spark, store + '/_staging')}/staging-{uuid.uuid4().hex}"
     try:
-        newest_per_key(staged).write.parquet(scratch)
-        batch = spark.read.schema(BATCH_SCHEMA).parquet(scratch)
+        newest_per_key(staged).write.parquet(f"{scratch}/batch")
+        batch = spark.read.schema(BATCH_SCHEMA).parquet(f"{scratch}/batch")
         total = batch.agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("papers"),
             F.coalesce(F.sum(_key_bytes()), F.lit(0)).alias("key_bytes"),
         ).first()
         inserted = updated = 0
         if total["papers"]:
-            version = init_store(spark, store)
-            changes = _decide(spark, store, version, batch, total["key_bytes"])
-            inserted, updated = _apply(spark, store, version, changes)
+            changes = _decide(spark, store, batch, total["key_bytes"])
+            _by_month(changes.withColumn("month", _month("published_date"))).write.partitionBy(
+                "month"
+            ).parquet(f"{scratch}/changes")
+            inserted, updated = _apply(spark, store, scratch)
     finally:
         files.delete(spark, scratch)
     return {
@@ -182,12 +148,10 @@ def save_publications(
     }
 
 
-def _decide(
-    spark: SparkSession, store: str, version: Version, batch: DataFrame, key_bytes: int
-) -> DataFrame:
+def _decide(spark: SparkSession, store: str, batch: DataFrame, key_bytes: int) -> DataFrame:
     """Changed publications, with the month of the stored row that each replaces."""
-    known = read_publications(spark, store, version=version).select(
-        *DECISION_COLUMNS, _month("published_date").alias("old_month")
+    known = _read_months(spark, store).select(
+        *DECISION_COLUMNS, F.col("month").alias("old_month")
     )
     if key_bytes <= BROADCAST_BYTES:
         # A small batch visits the stored keys instead of having them shuffled.
@@ -196,73 +160,55 @@ def _decide(
     return decide_changes(known, batch, carried=["old_month"])
 
 
-def _apply(
-    spark: SparkSession, store: str, version: Version, changes: DataFrame
-) -> tuple[int, int]:
-    """Write the changes and what they leave of the months they touch; publish both."""
-    folder = f"{version.number + 1}-{uuid.uuid4().hex[:12]}"
-    rest = f"{folder}-rest"
-    target, rest_target = f"{store}/data/{folder}", f"{store}/data/{rest}"
-    try:
-        _write_months(changes, target)
-        written = _months_in(spark, target)
-        if not written:
-            files.delete(spark, target)
-            return 0, 0
-        # One row per month, so its size does not depend on the batch.
-        new = spark.read.parquet(target)
-        done = new.groupBy("old_month").agg(
-            F.count_if(F.col("action") == INSERT).alias("inserted"),
-            F.count_if(F.col("action") == UPDATE).alias("updated"),
-            F.sum(F.when(F.col("action") == UPDATE, _key_bytes())).alias("key_bytes"),
-        ).collect()
-        inserted = sum(row["inserted"] for row in done)
-        updated = sum(row["updated"] for row in done)
-        rewritten = {row["old_month"] for row in done if row["updated"]}
-        left_over: set[str] = set()
-        if rewritten:
-            replaced = new.filter(F.col("action") == UPDATE).select("paper_id")
-            key_bytes = sum(row["key_bytes"] or 0 for row in done)
-            kept = _unchanged(spark, store, version, rewritten, replaced, key_bytes)
-            _write_months(kept, rest_target)
-            left_over = _months_in(spark, rest_target)
-            if not left_over:
-                files.delete(spark, rest_target)
-    except BaseException:
-        files.delete(spark, target)
-        files.delete(spark, rest_target)
-        raise
-
-    folders = {month: list(names) for month, names in version.folders.items()}
-    for month in rewritten:
-        folders[month] = [rest] if month in left_over else []
-    for month in written:
-        folders.setdefault(month, []).append(folder)
-    _publish(spark, store, version, folders, [target, rest_target])
-    return inserted, updated
-
-
-def _publish(
-    spark: SparkSession,
-    store: str,
-    version: Version,
-    folders: dict[str, list[str]],
-    targets: list[str],
+def _apply(spark: SparkSession, store: str, scratch: str) -> tuple[int, int]:
+    """Bring the staged changes into the table; returns the papers inserted and updated."""
+    changes = spark.read.schema(_CHANGES).parquet(f"{scratch}/changes")
+    # One row per pair of months, so its size does not depend on the batch.
+    done = changes.groupBy("month", "old_month").agg(
+        F.count_if(F.col("action") == INSERT).alias("inserted"),
+        F.count_if(F.col("action") == UPDATE).alias("updated"),
+        F.sum(F.when(F.col("action") == UPDATE, _key_bytes())).alias("key_bytes"),
+    ).collect()
+    updates = [row for row in done if row["updated"]]
+    touched = {row["month"] for row in updates} | {row["old_month"] for row in updates}
+    init_store(spark, store)
+    if touched:
+        key_bytes = sum(row["key_bytes"] for row in updates)
+        _overwrite_months(spark, store, scratch, changes, touched, key_bytes)
+    if {row["month"] for row in done} - touched:
+        added = changes.filter(~F.col("month").isin(sorted(touched)))
+        _by_month(added.drop("action", "old_month")).write.mode("append").partitionBy(
+            "month"
+        ).parquet(store)
+    return sum(row["inserted"] for row in done), sum(row["updated"] for row in done)
+
+
+def _overwrite_months(
+    spark: SparkSession, store: str, scratch: str, changes: DataFrame, months: set[str],
+    key_bytes: int,
 ) -> None:
-    """Make the next version current.  If this raises otherwise than by a lost race,
-    the version may or may not be there, so its data stay."""
-    used = {month: names for month, names in folders.items() if names}
-    if not Version(version.number + 1, used).publish(spark, store):
-        for target in targets:
-            files.delete(spark, target)
-        raise RuntimeError(f"Another save to '{store}' finished first; save again")
-
-
-def _write_months(rows: DataFrame, path: str) -> None:
+    """Write what the months hold after the changes, and put it in their place."""
+    here = F.col("month").isin(sorted(months))
+    replaced = changes.filter(F.col("action") == UPDATE).select("paper_id")
+    if key_bytes <= BROADCAST_BYTES:
+        replaced = F.broadcast(replaced)
+    kept = _read_months(spark, store).filter(here).join(replaced, "paper_id", "left_anti")
+    merged = kept.unionByName(changes.filter(here).drop("action", "old_month"))
+    # The table is read for its own new content, which is therefore written first.
+    _by_month(merged).write.partitionBy("month").parquet(f"{scratch}/merged")
+    written = spark.read.schema(_STORED).parquet(f"{scratch}/merged")
+    _by_month(written).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("month").parquet(store)
+    left = {f"month={row['month']}" for row in written.select("month").distinct().collect()}
+    for month in months:
+        if f"month={month}" not in left:
+            files.delete(spark, f"{store}/month={month}")
+
+
+def _by_month(rows: DataFrame) -> DataFrame:
     # Few tasks per month, more for a large one: adaptive execution evens them out.
-    spread = rows.withColumn("month", _month("published_date")).hint("rebalance", "month")
-    ordered = spread.sortWithinPartitions("month", "published_date")
-    ordered.write.partitionBy("month").parquet(path)
+    return rows.hint("rebalance", "month").sortWithinPartitions("month", "published_date")
 
 
 def _month(column: str) -> Column:
@@ -272,66 +218,3 @@ def _month(column: str) -> Column:
 def _key_bytes() -> Column:
     """Memory a broadcast key takes, generously."""
     return F.octet_length("paper_id") + 64
-
-
-def _months_in(spark: SparkSession, path: str) -> set[str]:
-    names = files.list_names(spark, path)
-    return {n.removeprefix("month=") for n in names if n.startswith("month=")}
-
-
-def _unchanged(
-    spark: SparkSession,
-    store: str,
-    version: Version,
-    months: set[str],
-    replaced: DataFrame,
-    key_bytes: int,
-) -> DataFrame:
-    """Rows of the months to rewrite that no change replaces."""
-    stored = read_publications(spark, store, sorted(months), version)
-    if key_bytes <= BROADCAST_BYTES:
-        replaced = F.broadcast(replaced)
-    return stored.join(replaced, "paper_id", "left_anti")
-
-
-def compact_store(spark: SparkSession, path: str | None = None, folders: int = 1) -> int:
-    """Rewrite the months made up of more than ``folders`` folders; returns their number."""
-    store = store_path(spark, path)
-    version = init_store(spark, store)
-    months = sorted(m for m, names in version.folders.items() if len(names) > folders)
-    if months:
-        folder = f"{version.number + 1}-{uuid.uuid4().hex[:12]}"
-        target = f"{store}/data/{folder}"
-        try:
-            _write_months(read_publications(spark, store, months, version), target)
-        except BaseException:
-            files.delete(spark, target)
-            raise
-        merged = version.folders | {month: [folder] for month in months}
-        _publish(spark, store, version, merged, [target])
-    return len(months)
-
-
-def forget_versions(
-    spark: SparkSession, path: str | None = None, older_than: float = 7 * 24 * 3600.0
-) -> int:
-    """Delete versions replaced more than so many seconds ago, and data only they
-    refer to; returns the number of versions.  No reader may be older than that."""
-    store = store_path(spark, path)
-    numbers = _version_numbers(spark, store)
-    now = time.time()
-    gone = [
-        number
-        for number, following in zip(numbers, numbers[1:])
-        if now - files.modified(spark, Version.file(store, following)) > older_than
-    ]
-    kept = [_read_version(spark, store, n) for n in numbers if n not in gone]
-    needed = {f for v in kept for names in v.folders.values() for f in names}
-    for number in gone:
-        files.delete(spark, Version.file(store, number))
-    for folder in files.list_names(spark, f"{store}/data") if gone else []:
-        # Folders of later versions may belong to a save that is still running.
-        written_for = int(folder.partition("-")[0])
-        if folder not in needed and written_for < kept[0].number:
-            files.delete(spark, f"{store}/data/{folder}")
-    return len(gone)

@@ -16,9 +16,6 @@ from pubweave.plans.marts import build_marts
 from pubweave.schemas import PUBLICATION_COLUMNS, PUBLICATIONS_SCHEMA
 from pubweave.sources import files, publications as store_module
 from pubweave.sources.publications import (
-    compact_store,
-    current_version,
-    forget_versions,
     init_store,
     load_publications,
     read_publications,
@@ -124,14 +121,14 @@ def test_copies_in_a_batch_count_as_skipped(spark, path):
 def test_saving_again_changes_nothing(spark, path):
     papers = batch(spark, *[paper(str(i)) for i in range(50)])
     assert counts(save_publications(papers, path)) == (50, 0, 0)
-    version = current_version(spark, path)
+    before = file_names(spark, path)
     assert counts(save_publications(papers, path)) == (0, 0, 50)
-    assert current_version(spark, path) == version
+    assert file_names(spark, path) == before
 
 
 def test_empty_batch_leaves_no_trace(spark, path):
     assert counts(save_publications(batch(spark), path)) == (0, 0, 0)
-    assert current_version(spark, path) is None
+    assert not files.exists(spark, path)
 
 
 def test_missing_columns_are_named(spark, path):
@@ -152,8 +149,10 @@ def month_paper(key, month, updated="2024-01-02T00:00:00Z"):
 
 
 def file_names(spark, path):
+    """Data files by month."""
     return {
-        p: sorted(files.list_names(spark, p)) for p in current_version(spark, path).paths(path)
+        month: {n for n in files.list_names(spark, f"{path}/{month}") if n.endswith(".parquet")}
+        for month in files.list_names(spark, path) if month.startswith("month=")
     }
 
 
@@ -161,16 +160,15 @@ def test_updates_rewrite_their_month_only(spark, path):
     first = [month_paper(f"{m}-{i}", m) for m in (0, 1, 2, 3) for i in range(5)]
     save_publications(batch(spark, *first), path)
     before = file_names(spark, path)
-    assert len(before) == 4 and any(p.endswith("month=none") for p in before)
+    assert set(before) == {"month=none", "month=2023-01", "month=2023-02", "month=2023-03"}
     save_publications(batch(spark, month_paper("new", 2)), path)
     grown = file_names(spark, path)
-    assert before.items() <= grown.items() and len(grown) == 5
+    assert grown["month=2023-02"] > before["month=2023-02"]
+    assert {m for m in grown if grown[m] != before[m]} == {"month=2023-02"}
     save_publications(batch(spark, month_paper("2-0", 2, "2025-01-01T00:00:00Z")), path)
     after = file_names(spark, path)
-    assert {p for p in before if not p.endswith("2023-02")} == {
-        p for p in after if not p.endswith("2023-02")
-    }
-    assert not {p for p in grown if p.endswith("2023-02")} & after.keys()
+    assert not after["month=2023-02"] & grown["month=2023-02"]
+    assert {m for m in after if after[m] != grown[m]} == {"month=2023-02"}
     assert load_publications(spark, path).count() == 21
 
 
@@ -183,76 +181,67 @@ def test_a_paper_may_change_its_month(spark, path):
         "a": "2023-05", "b": "2023-01", "c": "None",
     }
     save_publications(batch(spark, month_paper("b", 0, later)), path)
-    assert sorted(current_version(spark, path).folders) == ["2023-05", "none"]
+    assert set(file_names(spark, path)) == {"month=2023-05", "month=none"}
     assert load_publications(spark, path, year=2023).count() == 1
 
 
 def test_a_year_reads_its_months(spark, path):
+    from conftest import plan_of
+
     rows = [month_paper("a", 1), paper("b", published="2022-05-05T00:00:00Z"), month_paper("c", 0)]
     save_publications(batch(spark, *rows), path)
-    assert values(load_publications(spark, path, year=2022)) == ["b"]
-    read = load_publications(spark, path, year=2022).inputFiles()
-    assert read and all("month=2022-05" in name for name in read)
+    of_year = load_publications(spark, path, year=2022)
+    assert values(of_year) == ["b"]
+    scans = [line for line in plan_of(of_year).splitlines() if "PartitionFilters: [" in line]
+    for scan in scans:
+        pruned = scan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "2022-01" in pruned and "2022-12" in pruned
+    assert scans
     assert load_publications(spark, path, year=1999).count() == 0
 
 
-def test_layout_does_not_depend_on_the_first_batch(spark, tmp_path):
+def test_layout_does_not_depend_on_the_batches(spark, tmp_path):
     papers = [month_paper(str(i), i % 5) for i in range(40)]
     one, many = str(tmp_path / "one"), str(tmp_path / "many")
     save_publications(batch(spark, *papers), one)
     for i in range(0, 40, 10):
         save_publications(batch(spark, *papers[i : i + 10]), many)
-    months = current_version(spark, one).folders.keys()
-    assert current_version(spark, many).folders.keys() == months
-    assert compact_store(spark, many) == 5 and compact_store(spark, many) == 0
-    assert all(len(f) == 1 for f in current_version(spark, many).folders.values())
+    assert set(file_names(spark, one)) == set(file_names(spark, many))
     strip = [c for c in PUBLICATIONS_SCHEMA.names if c != "ingested_at"]
     assert sorted(map(str, read_publications(spark, one).select(*strip).collect())) == sorted(
         map(str, read_publications(spark, many).select(*strip).collect())
     )
 
 
-def test_versions_are_forgotten_on_request_only(spark, path):
-    for day in range(1, 6):
-        save_publications(batch(spark, paper("a", f"2024-02-0{day}T00:00:00Z")), path)
-    assert len(files.list_names(spark, f"{path}/versions")) == 6
-    first = read_publications(spark, path, version=store_module._read_version(spark, path, 1))
-    assert first.first().updated_date == datetime(2024, 2, 1)
-    assert forget_versions(spark, path) == 0
-    assert forget_versions(spark, path, older_than=-1) == 5
-    assert len(files.list_names(spark, f"{path}/versions")) == 1
-    assert len(files.list_names(spark, f"{path}/data")) == 1
-    assert stored(spark, path)["a"].updated_date == datetime(2024, 2, 5)
-
-
-def test_losing_a_race_changes_nothing(spark, path, monkeypatch):
+def test_failing_write_changes_nothing(spark, path, monkeypatch):
     save_publications(batch(spark, paper("a")), path)
-    before = current_version(spark, path)
-    monkeypatch.setattr(store_module.Version, "publish", lambda *_: False)
-    with pytest.raises(RuntimeError, match="finished first"):
-        save_publications(batch(spark, paper("b")), path)
-    monkeypatch.undo()
-    assert current_version(spark, path) == before and sorted(stored(spark, path)) == ["a"]
-    assert len(files.list_names(spark, f"{path}/data")) == 1
-
-
-def test_failing_write_leaves_no_data(spark, path, monkeypatch):
-    save_publications(batch(spark, paper("a")), path)
-    before = current_version(spark, path)
-    monkeypatch.setattr(store_module, "_unchanged", lambda *_: 1 / 0)
+    before = file_names(spark, path)
+    monkeypatch.setattr(store_module, "_overwrite_months", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         save_publications(batch(spark, paper("a", "2025-01-01T00:00:00Z")), path)
     monkeypatch.undo()
-    assert current_version(spark, path) == before
-    assert len(files.list_names(spark, f"{path}/data")) == 1
+    assert file_names(spark, path) == before
     assert stored(spark, path)["a"].updated_date == datetime(2024, 1, 2)
 
 
-def test_a_version_file_is_never_replaced(spark, path):
-    assert files.publish_text(spark, f"{path}/versions/1.json", "one")
-    assert not files.publish_text(spark, f"{path}/versions/1.json", "two")
-    assert files.read_text(spark, f"{path}/versions/1.json") == "one"
-    assert files.list_names(spark, f"{path}/versions") == ["1.json"]
+def test_an_interrupted_save_is_repeated(spark, path, monkeypatch):
+    """The months updated are in place, those that only gain papers are not."""
+    save_publications(batch(spark, month_paper("a", 1)), path)
+    again = batch(spark, month_paper("a", 1, "2025-01-01T00:00:00Z"), month_paper("b", 2))
+    whole = store_module._overwrite_months
+
+    def stops(*arguments):
+        whole(*arguments)
+        raise OSError("gone")
+
+    monkeypatch.setattr(store_module, "_overwrite_months", stops)
+    with pytest.raises(OSError):
+        save_publications(again, path)
+    monkeypatch.undo()
+    assert counts(save_publications(again, path)) == (1, 0, 1)
+    assert {k: r.updated_date.year for k, r in stored(spark, path).items()} == {
+        "a": 2025, "b": 2024,
+    }
 
 
 @pytest.mark.parametrize("broadcast_bytes", [1_000_000, 0])
@@ -291,7 +280,7 @@ def test_each_month_is_written_by_few_tasks(spark, path, monkeypatch):
     newer = [month_paper(k, int(k) % 4, "2025-01-01T00:00:00Z") for k in keys[:100]]
     assert counts(save_publications(batch(spark, *newer), path)) == (0, 100, 0)
     for names in file_names(spark, path).values():
-        assert len([n for n in names if n.endswith(".parquet")]) <= 2
+        assert 0 < len(names) <= 2
     assert load_publications(spark, path).count() == 200
 
 

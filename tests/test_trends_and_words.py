@@ -111,16 +111,46 @@ def test_word_plans(pubs):
     assert "Python" not in by_tag + overall
 
 
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
+def test_long_stop_lists_are_joined(pubs, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(words, "BROADCAST_BYTES", broadcast_bytes)
+    long_list = [f"word{i}" for i in range(100_000)] + ["gamma"]
+    found = words.get_top_words(pubs, stopwords=long_list)
+    plan = plan_of(found)
+    assert "LeftAnti" in plan and "word777" not in plan
+    assert ("BroadcastHashJoin" in plan) == (broadcast_bytes > 0)
+    assert rows(found) == rows(words.get_top_words(pubs, stopwords=["gamma"]))
+    by_tag = words.get_top_words_by_tag(pubs, stopwords=long_list)
+    assert rows(by_tag.orderBy("tag", "word")) == rows(
+        words.get_top_words_by_tag(pubs, stopwords=["gamma"]).orderBy("tag", "word")
+    )
+
+
 def test_marts(spark, pubs, tmp_path):
     paths = write_marts(pubs, str(tmp_path))
     lazy = build_marts(pubs)
-    assert set(paths) == {*lazy, "word_counts"}
+    assert set(paths) == {*lazy, "word_counts", "paper_counts"}
     for name, table in lazy.items():
         assert sorted(map(str, rows(spark.read.parquet(paths[name])))) == sorted(
             map(str, rows(table))
         )
 
 
+def test_marts_alone(spark, pubs, tmp_path):
+    assert set(write_marts(pubs, str(tmp_path), ["tag_share"])) == {"tag_share", "paper_counts"}
+    assert set(write_marts(pubs, str(tmp_path), ["has_data"])) == {"has_data"}
+
+
+def test_paper_counts_in_one_scan(pubs):
+    counts = trends.paper_counts(pubs)
+    assert plan_of(counts).count("Scan") == 1 and plan_of(counts).count("Exchange") == 1
+    assert text_rows(trends.days_from_counts(counts)) == text_rows(trends.papers_by_day(pubs))
+    assert rows(trends.share_from_counts(counts)) == rows(trends.tag_share(pubs))
+    assert rows(trends.authors_per_paper_from_paper_counts(counts)) == rows(
+        trends.authors_per_paper_histogram(pubs)
+    )
+
+
 def test_chart_orders(pubs):
     marts = build_marts(pubs)
     assert [r.n for r in by_count_order(marts["top_authors"]).collect()] == [1, 1, 2, 3]

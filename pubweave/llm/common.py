@@ -93,6 +93,26 @@ def without_rows(
     return docs.join(listed, same, "left_anti")
 
 
+def one_row_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one of the rows that repeat both id and text; a null text is empty.
+
+    Only ids and hashes of texts are shuffled, unless there are such rows.
+    """
+    repeated = saved(
+        docs.select(F.col(id_col).alias("__id"), text_mark(text_col).alias("__mark"))
+        .groupBy("__id", "__mark").agg(F.count("*").alias("__n")).filter("__n > 1")
+        .drop("__n"),
+        "repeated-rows",
+    )
+    if repeated.isEmpty():
+        return docs
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_mark(text_col) == F.col("__mark"))
+    several = docs.join(repeated, same, "left_semi").withColumn("__text", whole_text(text_col))
+    return docs.join(repeated, same, "left_anti").unionByName(
+        several.dropDuplicates([id_col, "__text"]).drop("__text")
+    )
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Prepare Python workers: documents are long, so batches are short, and the
     package is imported from where the driver has it, if it was not shipped."""

@@ -2,10 +2,17 @@
 
 A seed is a fixed mask of token positions; tokens between them are ignored, so a
 passage keeps hashes in common with its source when single tokens are replaced.
-Test items are hashed under every mask.  A Bloom filter of fixed size lets the scan
-of the documents emit only positions whose hash is likely a test hash; these are
-joined with the test hashes, and around every hit the tokens of document and item
-are compared along the diagonal.
+Test items are hashed under every mask.  Filters of fixed size let the scan of the
+documents emit only positions whose hash is likely a test hash; these are joined with
+the test hashes, and around every hit the tokens of document and item are compared
+along the diagonal.
+
+A seed that many items share, such as the phrase of a question template, would pair every
+document that has it with all of them.  Its places are joined by the seed and one more
+token instead: a token near it, at a given distance, that few items have there.  A passage
+that passes the comparison has so few replaced tokens that one of these is left, if
+there are enough of them; items that have too few, which differ hardly from many others,
+keep the seed itself.
 """
 
 from __future__ import annotations
@@ -26,11 +33,14 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 5), (0, 1, 2, 3, 4), (0, 2, 3, 5, 7))
 #: window has, stands in the document.
 SIMILARITY = 75
 WINDOW = 32
-#: Bits of the filter, a fixed number, and bits per hash.
+#: A seed, or a seed with a token, that more items share is not joined by itself.
+COMMON = 64
+#: Bits of a filter, a fixed number, and bits per hash.
 FILTER_BITS = 25
 PROBES = 3
 
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64))
+_SPAN = max(mask[-1] for mask in MASKS) + 1
 
 
 def seed_hashes(words: np.ndarray, masks=MASKS) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,50 +69,261 @@ def _row_words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield first + row, words[before[row] : before[row + 1]]
 
 
-def _item_hashes(items: DataFrame) -> DataFrame:
+def _item_blocks(items: DataFrame, window: int) -> DataFrame:
+    """item_id, block, n (words of the item), first and words of every stretch of an item.
+
+    A block has the places from ``block * stride`` on, and a margin on both sides.
+    """
+    stride, margin = _stride(window), _margin(window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["item_id"].to_pylist()
             for row, words in _row_words(batch):
-                hashes, places = [], []
-                for _, found in seed_hashes(words):
-                    hashes.append(found)
-                    places.append(np.arange(len(found)))
-                hashes, places = np.concatenate(hashes), np.concatenate(places)
+                starts = range(0, len(words), stride)
+                firsts = [max(0, at - margin) for at in starts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes.view(np.int64)),
-                        pa.array([ids[row]] * len(hashes), batch["item_id"].type),
-                        pa.array(places),
-                        pa.array([words.tobytes()] * len(hashes), pa.binary()),
+                        batch["item_id"].take(pa.array([row] * len(firsts), pa.int64())),
+                        pa.array(range(len(firsts)), pa.int64()),
+                        pa.array([len(words)] * len(firsts), pa.int64()),
+                        pa.array(firsts, pa.int64()),
+                        pa.array(
+                            [words[f : at + stride + margin].tobytes()
+                             for f, at in zip(firsts, starts)],
+                            pa.binary(),
+                        ),
                     ],
-                    ["hash", "item_id", "place", "words"],
+                    ["item_id", "block", "n", "first", "words"],
                 )
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.mapInArrow(run, f"hash long, item_id {kind}, place long, words binary")
+    return items.mapInArrow(
+        run, f"item_id {kind}, block long, n long, first long, words binary"
+    )
+
+
+def _stride(window: int) -> int:
+    return 4 * window
+
+
+def _margin(window: int) -> int:
+    """More than a window that contains a seed reaches beyond the seed's place."""
+    return window + _SPAN
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """hash, item_id, place and span of every seed of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in _row_words(batch):
+                for span, found in seed_hashes(words):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(found.view(np.int64)),
+                            batch["item_id"].take(pa.array([row] * len(found), pa.int64())),
+                            pa.array(np.arange(len(found))),
+                            pa.array([span] * len(found), pa.int64()),
+                        ],
+                        ["hash", "item_id", "place", "span"],
+                    )
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.mapInArrow(run, f"hash long, item_id {kind}, place long, span long")
+
+
+def token_keys(
+    words: np.ndarray, places: np.ndarray, hashes: np.ndarray, window: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every distance from a seed's place: which places have a token there, and the
+    number of seed and token."""
+    for distance in [*range(-window, 0), *range(1, window + _SPAN)]:
+        at = places + distance
+        inside = np.flatnonzero((at >= 0) & (at < len(words)))
+        factor = mix(np.uint64([distance + (1 << 20)]))
+        yield distance, inside, mix(
+            hashes[inside] * np.uint64(0x9E3779B97F4A7C15) + words[at[inside]] + factor
+        )
 
 
-def _filter_words(hashes: DataFrame) -> np.ndarray:
-    """The Bloom filter of all test hashes; its size does not depend on them."""
+def _token_rows(common: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
+    """hash, item_id, place, span, n, distance and key of the tokens near common seeds."""
+    stride = _stride(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bits in probes(batch["hash"].to_numpy().view(np.uint64)):
+            for row in range(batch.num_rows):
+                words = np.frombuffer(batch["words"][row].as_py(), np.uint64)
+                place = np.array([batch["place"][row].as_py() - batch["first"][row].as_py()])
+                seed = np.array([batch["hash"][row].as_py()]).view(np.uint64)
+                distances, keys = [], []
+                for distance, inside, key in token_keys(words, place, seed, window):
+                    if len(inside):
+                        distances.append(distance)
+                        keys.append(int(key.view(np.int64)[0]))
+                same = pa.array([row] * len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch[c].take(same) for c in ("hash", "item_id", "place", "span", "n")],
+                        pa.array(distances, pa.int64()), pa.array(keys, pa.int64()),
+                    ],
+                    ["hash", "item_id", "place", "span", "n", "distance", "key"],
+                )
+
+    placed = common.withColumn("block", F.floor(F.col("place") / stride)).join(
+        blocks, ["item_id", "block"]
+    )
+    kind = common.schema["item_id"].dataType.simpleString()
+    return placed.select("hash", "item_id", "place", "span", "n", "first", "words").mapInArrow(
+        run,
+        f"hash long, item_id {kind}, place long, span long, n long, distance long, key long",
+    )
+
+
+def _always_met(window: int, similarity: int):
+    """SQL expression: whether every window around a seed has more rare tokens than a
+    passage may lack there; ``rare`` lists their distances."""
+    size = f"least(n, {window})"
+    lacking = f"{size} - ceil({size} * {similarity} / 100)"
+    first = f"greatest(0, place + span - {size})"
+    last = f"least(place, n - {size})"
+    return F.expr(
+        f"forall(sequence(cast({first} as int), cast({last} as int)), w ->"
+        f" size(filter(rare, d -> place + d >= w and place + d < w + {size})) > {lacking})"
+    )
+
+
+def _item_keys(
+    items: DataFrame, blocks: DataFrame, window: int, similarity: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What documents are joined with: the ``key``, item_id and place of plain seeds; those
+    of seeds with a token; and the common hashes that the latter belong to."""
+    seeds = saved(_item_seeds(items), "item-seeds")
+    shared = seeds.groupBy("hash").agg(F.countDistinct("item_id").alias("items"))
+    shared = saved(shared.filter(F.col("items") > COMMON), "common-seeds")
+    if shared.isEmpty():
+        plain = seeds.select(F.col("hash").alias("key"), "item_id", "place")
+        return plain, plain.limit(0), plain.select("key").limit(0)
+    common = seeds.join(shared.select("hash"), "hash")
+    plain = seeds.join(shared, "hash", "left_anti")
+    tokens = saved(_token_rows(common, blocks, window), "seed-tokens")
+    rare = tokens.groupBy("key").agg(F.countDistinct("item_id").alias("items"))
+    rare = saved(rare.filter(F.col("items") <= COMMON).select("key"), "rare-tokens")
+    kept = saved(tokens.join(rare, "key"), "kept-tokens")
+    # Seeds without any rare token have no row here and are left out below.
+    seed = ["hash", "item_id", "place"]
+    met = kept.groupBy(*seed, "span", "n").agg(F.collect_list("distance").alias("rare"))
+    met = saved(met.filter(_always_met(window, similarity)).select(*seed), "met-seeds")
+    plain = plain.unionByName(common.join(met, seed, "left_anti"))
+    with_token = kept.join(met, seed)
+    columns = ["key", "item_id", "place"]
+    return (
+        saved(plain.select(F.col("hash").alias("key"), "item_id", "place"), "plain-keys"),
+        saved(with_token.select(*columns), "token-keys"),
+        met.select(F.col("hash").alias("key")).distinct(),
+    )
+
+
+def _filter_words(keys: DataFrame) -> np.ndarray | None:
+    """The Bloom filter of all keys, whose size does not depend on them; None of none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bits in probes(batch["key"].to_numpy().view(np.uint64)):
                 masks = np.left_shift(np.int64(1), bits & 63)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bits >> 6), pa.array(masks)], ["at", "mask"]
                 )
 
-    filled = hashes.select("hash").mapInArrow(run, "at long, mask long").groupBy("at").agg(
+    filled = keys.select("key").mapInArrow(run, "at long, mask long").groupBy("at").agg(
         F.bit_or("mask").alias("mask")
     )
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     found = filled.toPandas()
+    if not len(found):
+        return None
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     table[found["at"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
     return table
 
 
+def _likely(table: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that a filter lets through."""
+    places = np.arange(len(hashes) if table is not None else 0)
+    for at in probes(hashes):
+        if not len(places):
+            break
+        passes = (table[at[places] >> 6] >> (at[places] & 63)) & 1 == 1
+        places = places[passes]
+    return places
+
+
+def _scan(texts: DataFrame, filters, window: int) -> DataFrame:
+    """doc_id, mark, hits (key, at) and stretches (number, words) of the documents with
+    hits.
+
+    A stretch has the words from ``number * reach`` on, twice as many as an item's block,
+    so that one contains whatever a block is compared with.
+    """
+    reach = _reach(window)
+
+    def hits(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        plain, with_token, common = filters.value
+        for _, seeds in seed_hashes(words):
+            places = _likely(plain, seeds)
+            yield seeds[places], places
+            places = _likely(common, seeds)
+            if len(places):
+                for _, inside, keys in token_keys(words, places, seeds[places], window):
+                    found = _likely(with_token, keys)
+                    yield keys[found], places[inside[found]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, stretches = [], [], []
+            for row, words in _row_words(batch):
+                parts = list(hits(words))
+                if not any(len(places) for _, places in parts):
+                    continue
+                keys = np.concatenate([k for k, _ in parts]).view(np.int64)
+                places = np.concatenate([p for _, p in parts])
+                least = (places - _stride(window) - _margin(window)) // reach
+                most = (places - _margin(window)) // reach
+                rows.append(row)
+                found.append([
+                    {"key": k, "at": p} for k, p in zip(keys.tolist(), places.tolist())
+                ])
+                stretches.append([
+                    {"number": i,
+                     "words": words[max(0, i * reach) : (i + 2) * reach].tobytes()}
+                    for i in np.union1d(least, most).tolist()
+                ])
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"].take(taken), batch["mark"].take(taken),
+                    pa.array(found, pa.list_(
+                        pa.struct([("key", pa.int64()), ("at", pa.int64())])
+                    )),
+                    pa.array(stretches, pa.list_(
+                        pa.struct([("number", pa.int64()), ("words", pa.binary())])
+                    )),
+                ],
+                ["doc_id", "mark", "hits", "stretches"],
+            )
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(
+        run,
+        f"doc_id {kind}, mark long, hits array<struct<key:bigint,at:bigint>>,"
+        " stretches array<struct<number:bigint,words:binary>>",
+    )
+
+
+def _reach(window: int) -> int:
+    """Words of an item's block with both margins."""
+    return _stride(window) + 2 * _margin(window)
+
+
 def find_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -128,80 +349,43 @@ def find_contamination(
     small_batches(spark)
     distinct_items = items.select(
         F.col(item_col).alias("item_id"), whole_text(item_text_col).alias("text")
-    ).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    hashes = saved(_item_hashes(distinct_items.select("item_id", "text")), "item-hashes")
-    bits = spark.sparkContext.broadcast(_filter_words(hashes))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-        for batch in batches:
-            ids = batch["doc_id"]
-            rows, hits, tokens = [], [], []
-            for row, words in _row_words(batch):
-                found = []
-                for _, seeds in seed_hashes(words):
-                    places = np.arange(len(seeds))
-                    for at in probes(seeds):
-                        likely = (table[at[places] >> 6] >> (at[places] & 63)) & 1 == 1
-                        places = places[likely]
-                        if not len(places):
-                            break
-                    found += [
-                        {"hash": h, "place": p}
-                        for h, p in zip(seeds[places].view(np.int64).tolist(), places.tolist())
-                    ]
-                if found:
-                    rows.append(row)
-                    hits.append(found)
-                    tokens.append(words.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(rows, pa.int64())),
-                    batch["mark"].take(pa.array(rows, pa.int64())),
-                    pa.array(hits, pa.list_(
-                        pa.struct([("hash", pa.int64()), ("place", pa.int64())])
-                    )),
-                    pa.array(tokens, pa.binary()),
-                ],
-                ["doc_id", "mark", "hits", "tokens"],
-            )
-
+    ).groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
+    distinct_items = saved(distinct_items, "items")
+    blocks = saved(_item_blocks(distinct_items, window), "item-blocks")
+    plain, with_token, common = _item_keys(distinct_items, blocks, window, similarity)
+    filters = spark.sparkContext.broadcast(
+        [_filter_words(plain), _filter_words(with_token), _filter_words(common)]
+    )
     texts = docs.select(
         F.col(id_col).alias("doc_id"), text_mark(text_col).alias("mark"),
         whole_text(text_col).alias("text"),
     )
-    kind = texts.schema["doc_id"].dataType.simpleString()
     likely = saved(
-        texts.mapInArrow(
-            scan,
-            f"doc_id {kind}, mark long, hits array<struct<hash:bigint,place:bigint>>, tokens binary",
-        ).withColumn("row", F.monotonically_increasing_id()),
+        _scan(texts, filters, window).withColumn("row", F.monotonically_increasing_id()),
         "likely",
     )
     hits = likely.select("row", F.explode("hits").alias("hit")).select(
-        "row", F.col("hit.hash").alias("hash"), F.col("hit.place").alias("at")
+        "row", "hit.key", "hit.at"
     )
-    places = hashes.groupBy("hash").agg(
-        F.collect_list(F.struct("item_id", "place")).alias("places")
+    met = _joined_hits(hits, plain.unionByName(with_token))
+    stride, reach = _stride(window), _reach(window)
+    pairs = met.select(
+        "row", "item_id", (F.col("at") - F.col("place")).alias("diagonal"),
+        F.floor(F.col("place") / stride).alias("block"),
+    ).distinct().withColumn(
+        "number",
+        F.floor((F.col("diagonal") + F.col("block") * stride - _margin(window)) / reach),
     )
-    # The number of hits tells which hashes are hot.
-    counted = hits.groupBy("hash").agg(F.count("*").alias("n"))
-    table = saved(places.join(counted, "hash"), "seed-places")
-    diagonals = (
-        lookup(hits, table, "hash", "n")
-        .select("row", "at", F.explode("places").alias("place"))
-        .select(
-            "row", F.col("place.item_id").alias("item_id"),
-            (F.col("at") - F.col("place.place")).alias("diagonal"),
-        )
-        .groupBy("row", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
+    stretches = likely.select("row", "doc_id", "mark", F.explode("stretches").alias("s")).select(
+        "row", "doc_id", "mark", "s.number", F.col("s.words").alias("tokens")
     )
-    item_words = hashes.filter("place = 0").select("item_id", "words").distinct()
-    compared = diagonals.join(likely.select("row", "doc_id", "mark", "tokens"), "row").join(
-        item_words, "item_id"
+    compared = pairs.join(stretches, ["row", "number"]).join(blocks, ["item_id", "block"]).select(
+        "doc_id", "mark", "item_id", "diagonal", "n", "first", "words",
+        F.greatest(F.lit(0), F.col("number") * reach).alias("begin"), "tokens",
     )
-    item_kind = hashes.schema["item_id"].dataType.simpleString()
-    found = compared.select("doc_id", "mark", "item_id", "diagonals", "tokens", "words").mapInArrow(
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    item_kind = distinct_items.schema["item_id"].dataType.simpleString()
+    found = compared.mapInArrow(
         verifier(similarity, window),
         f"doc_id {kind}, mark long, item_id {item_kind}, first_word long, matched long, compared long",
     )
@@ -212,41 +396,52 @@ def find_contamination(
     )
 
 
-def best_overlap(
-    tokens: np.ndarray, item: np.ndarray, diagonal: int, window: int
-) -> tuple[int, int, int]:
-    """Matched and compared words of the best window on a diagonal, and its first word."""
-    size = min(window, len(item))
-    first, last = max(0, -diagonal), min(len(item), len(tokens) - diagonal)
-    same = np.zeros(len(item) + 1, np.int64)
-    if first < last:
-        same[first + 1 : last + 1] = (
-            item[first:last] == tokens[first + diagonal : last + diagonal]
-        )
-    sums = np.cumsum(same)
+def _joined_hits(hits: DataFrame, keys: DataFrame) -> DataFrame:
+    """row, at, item_id, place of all hits.
+
+    Of keys that many documents have, only those of at most ``COMMON`` places are
+    broadcast; others are shuffled, and Spark splits their partitions.
+    """
+    counted = hits.groupBy("key").agg(F.count("*").alias("n"))
+    width = keys.groupBy("key").agg(F.count("*").alias("places"))
+    table = saved(keys.join(width, "key").join(counted, "key"), "seed-places")
+    narrow = table.filter(F.col("places") <= COMMON).drop("places")
+    wide = table.filter(F.col("places") > COMMON).drop("places", "n")
+    met = lookup(hits, narrow, "key", "n").select("row", "at", "item_id", "place")
+    return met.unionByName(hits.join(wide, "key").select("row", "at", "item_id", "place"))
+
+
+def best_overlap(same: np.ndarray, size: int) -> tuple[int, int]:
+    """The most matching words in a window of ``size``, and where it begins first."""
+    sums = np.append(0, np.cumsum(same))
     matched = sums[size:] - sums[:-size]
     at = int(matched.argmax())
-    return int(matched[at]), size, max(0, at + diagonal)
+    return int(matched[at]), at
 
 
 def verifier(similarity: int, window: int):
+    """Compares a block of an item with the stretch of a document on one diagonal."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, out = [], []
-            for row, (diagonals, tokens, words) in enumerate(zip(
-                batch["diagonals"].to_pylist(),
-                batch["tokens"].to_pylist(),
-                batch["words"].to_pylist(),
-            )):
-                document = np.frombuffer(tokens, np.uint64)
+            numbers = zip(*[
+                batch[c].to_pylist() for c in ("diagonal", "n", "first", "begin", "words", "tokens")
+            ])
+            for row, (diagonal, n, first, begin, words, tokens) in enumerate(numbers):
                 item = np.frombuffer(words, np.uint64)
-                matched, size, first = max(
-                    (best_overlap(document, item, d, window) for d in diagonals),
-                    key=lambda found: (found[0], -found[2]),
-                )
+                document = np.frombuffer(tokens, np.uint64)
+                # Places of the block whose counterpart is in the stretch.
+                shift = first + diagonal - begin
+                low, high = max(0, -shift), min(len(item), len(document) - shift)
+                same = np.zeros(len(item), np.int64)
+                if low < high:
+                    same[low:high] = item[low:high] == document[low + shift : high + shift]
+                size = min(window, n)
+                matched, at = best_overlap(same, size)
                 if 100 * matched >= similarity * size:
                     keep.append(row)
-                    out.append((first, matched, size))
+                    out.append((max(0, first + at + diagonal), matched, size))
             chosen = pa.array(keep, pa.int64())
             columns = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(

@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pubweave.llm.common import lookup, saved, whole_text
+from pubweave.llm.common import lookup, one_row_each, saved, whole_text
 
 SALTS = 64
 
@@ -85,11 +85,15 @@ def exact_dedup(
 def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document per distinct text, all columns unchanged."""
+    """``docs`` with one row per distinct text, all columns unchanged.
+
+    The row with the largest id stays, one of those that repeat it with the text; a null
+    text is empty, and a null id is less than others.
+    """
     winners = classes_of_equal_texts(docs, id_col, text_col).select(
         F.col("keep_id").alias("__id"), F.col("digest").alias("__digest")
     )
     wins = F.col(id_col).eqNullSafe(F.col("__id")) & (
         sha256(whole_text(text_col)) == F.col("__digest")
     )
-    return docs.join(winners, wins, "left_semi")
+    return one_row_each(docs, id_col, text_col).join(winners, wins, "left_semi")

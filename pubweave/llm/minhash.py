@@ -22,7 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pubweave.llm.common import lookup, saved, small_batches, text_mark, whole_text, without_rows
+from pubweave.llm.classes import (
+    class_components, class_texts, document_classes, representatives, same_document,
+)
+from pubweave.llm.common import (
+    lookup, one_row_each, saved, small_batches, text_mark, whole_text, without_rows,
+)
 from pubweave.llm.graph import components
 from pubweave.llm.shingles import chunks, shingle_sets, utf8
 from pubweave.llm.sketch import band_keys, sketches
@@ -286,15 +291,10 @@ def minhash_dedup(
     )
     profile = saved(profiles(rows, k, bands, band_rows), "profiles")
     usable = profile.filter("n_shingles > 0 and doc_id is not null")
-    classes = saved(
-        usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")),
-        "classes",
+    classes = document_classes(usable)
+    reps = representatives(usable, classes, "n_shingles", "sketch", "bands").withColumnRenamed(
+        "cls", "rep"
     )
-    reps = usable.join(
-        classes.select(F.col("digest").alias("of"), "rep"),
-        (F.col("of") == F.col("digest")) & (F.col("rep") == F.col("doc_id")),
-    ).select("rep", "n_shingles", "sketch", "bands").dropDuplicates(["rep"])
-    reps = saved(reps, "representatives")
 
     in_bands = reps.select("rep", F.explode("bands").alias("key"))
     buckets = saved(
@@ -306,30 +306,24 @@ def minhash_dedup(
         lookup(in_bands, buckets, "key", "n").select("key", "rep", "hub"),
         "members",
     )
-    in_buckets = members.select(F.col("rep").alias("listed")).distinct()
-    texts = rows.join(in_buckets, F.col("doc_id") == F.col("listed")).select(
-        F.col("doc_id").alias("rep"), "text"
-    )
-    texts = saved(texts.dropDuplicates(["rep"]), "texts")
+    texts = class_texts(rows, classes, members.withColumnRenamed("rep", "cls"))
+    texts = texts.withColumnRenamed("cls", "rep")
 
     stars = members.filter("rep <> hub").select(
         F.col("hub").alias("a"), F.col("rep").alias("b")
     ).distinct()
-    links = saved(verified(stars, texts, k, similarity), "links")
+    near = verified(stars, texts, k, similarity)
+    links = saved(near.unionByName(same_document(usable, classes)), "links")
     crossing = _open_members(members, components(links), reps, texts)
     more = _cross_links(crossing, similarity, k, bands * band_rows)
     labels = components(links.unionByName(saved(more, "links")))
 
-    known = classes.join(labels, classes["rep"] == labels["id"], "left").select(
-        F.col("digest").alias("of"), "n", F.coalesce("component", "rep").alias("component")
-    )
-    known = saved(known, "class-components")
     verdicts = lookup(
         profile.select("doc_id", "mark", "n_shingles", "digest"),
-        known.withColumnRenamed("of", "digest"), "digest", "n", "left",
+        class_components(classes, labels), "digest", "n", "left",
     )
     component = F.when(
-        (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")
+        (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")
     ).otherwise(F.col("doc_id"))
     return verdicts.select(
         "doc_id", "n_shingles", component.alias("component_id"),
@@ -340,6 +334,17 @@ def minhash_dedup(
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document of each component, all columns unchanged."""
-    dropped = minhash_dedup(docs, id_col, text_col).filter("not kept")
-    return without_rows(docs, dropped, id_col, text_col)
+    """``docs`` with one row of each component, all columns unchanged.
+
+    Rows without an id or without words stay; of those that repeat both id and text, one.
+    """
+    verdicts = saved(minhash_dedup(docs, id_col, text_col), "near-copies")
+    # Of rows that share the id of a component, one text stays, and of equal rows one.
+    other = verdicts.filter("kept and n_shingles > 0 and doc_id is not null").groupBy(
+        "doc_id"
+    ).agg(F.min("mark").alias("stays"), F.max("mark").alias("last")).filter("stays < last")
+    extra = verdicts.filter("kept and n_shingles > 0").join(other, "doc_id").filter(
+        "mark > stays"
+    )
+    dropped = verdicts.filter("not kept").unionByName(extra.select(*verdicts.columns))
+    return without_rows(one_row_each(docs, id_col, text_col), dropped, id_col, text_col)

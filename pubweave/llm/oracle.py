@@ -26,7 +26,7 @@ _KINDS = [
 def _spans(order: int) -> str:
     kind, pattern, group, least = _KINDS[order]
     return f"""
-  SELECT doc_id, row, source, lang, {order} AS ord, '{kind}' AS kind, hit, value,
+  SELECT doc_id, row, source, repo, {order} AS ord, '{kind}' AS kind, hit, value,
          (list_sum([length(x) for x in gaps[1:i]])
           + coalesce(list_sum([length(x) for x in hits[1:i - 1]]), 0))::BIGINT AS s
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit,
@@ -39,26 +39,30 @@ def _spans(order: int) -> str:
 
 _OP4 = f"""
 WITH texts AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  SELECT doc_id, coalesce(source, '') AS source, concat_ws('/', source, lang) AS repo,
          coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
 spans AS ({" UNION ALL ".join(_spans(k) for k in range(3))}),
-owners AS (SELECT value, count(DISTINCT source) AS n FROM spans GROUP BY value),
+owners AS (
+  SELECT value, count(DISTINCT source) AS n, count(DISTINCT repo) AS n_repos
+  FROM spans GROUP BY value),
 base AS (
-  SELECT row, ord, s, kind || ':' || s || ':' || (s + length(hit)) AS span, n = 1 AS live,
+  SELECT row, ord, s, kind || ':' || s || ':' || (s + length(hit)) AS span,
+         n = 1 AND n_repos <= 3 AS live, n_repos || ':' || n AS spread,
          'live:' || s || ':' || (s + length(hit)) AS live_span
   FROM spans JOIN owners USING (value)),
 everything AS (
-  SELECT row, ord, s, span, TRUE AS is_base FROM base
-  UNION ALL SELECT row, ord + 3, s, live_span, FALSE FROM base WHERE live),
+  SELECT row, ord, s, span, TRUE AS is_base, spread FROM base
+  UNION ALL SELECT row, ord + 3, s, live_span, FALSE, NULL FROM base WHERE live),
 joined AS (
   SELECT row, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access,
          count(*) FILTER (ord = 2) AS n_hex, count(*) FILTER (NOT is_base) AS n_live,
          string_agg(span, ',' ORDER BY s, ord) FILTER (is_base) AS base,
-         string_agg(span, ',' ORDER BY s, ord) AS spans
+         string_agg(span, ',' ORDER BY s, ord) AS spans,
+         string_agg(spread, ',' ORDER BY s, ord) FILTER (is_base) AS spread
   FROM everything GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
        coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(spread, '') AS spread
 FROM texts LEFT JOIN joined USING (row)
 """
 

@@ -11,10 +11,12 @@ from pubweave.llm.common import new_folder, read_table
 from pubweave.llm.decontaminate import find_contamination
 from pubweave.llm.exact_dedup import exact_dedup
 from pubweave.llm.licenses import scan_licenses
+from pubweave.llm.metric_join import metric_join
 from pubweave.llm.minhash import minhash_dedup
 from pubweave.llm.pieces import encode_pieces
 from pubweave.llm.secrets import KINDS, scan_secrets
 from pubweave.llm.sharding import shard_documents
+from pubweave.llm.spelling import spelling_variants
 from pubweave.llm.suffix_dedup import suffix_dedup
 from pubweave.llm.toxicity import score_toxicity
 from pubweave.llm.token_files import ids_crc32, read_token_files, write_token_files
@@ -74,7 +76,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base spans, and a ``live`` span for each whose value one owner alone has."""
+    """Base spans, and a ``live`` span for each whose value looks live; ``spread`` has the
+    repositories and owners of every base span's value."""
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
 
     def joined(spans):
@@ -104,6 +107,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(listed), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat(listed, live))).alias("spans"),
         F.size(live).cast("long").alias("n_live"),
+        F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["n_repos"], s["n_owners"])), ","
+        ).alias("spread"),
     )
 
 
@@ -181,3 +187,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join(read_table(spark, sf_dir, "documents"))

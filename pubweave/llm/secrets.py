@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found by patterns in every text.  Their values are then counted
-over the whole corpus: a value that many repositories and owners have is an
-example that people copied, one that only its owner has looks live.
+over the whole corpus by distinct repositories and owners: a value that several
+owners have, or that stands in many repositories, is an example that people copied; one
+that only its owner has, in few repositories, looks live.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 
-#: A value of more owners than this is an example.
-LIVE_OWNERS = 1
+#: A value of more owners, or in more repositories, than this is an example.
+LIVE_OWNERS, LIVE_REPOS = 1, 3
 
 
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -99,11 +100,13 @@ def scan_secrets(
     repo: Column | None = None,
     owner: Column | None = None,
     live_owners: int = LIVE_OWNERS,
+    live_repos: int = LIVE_REPOS,
 ) -> DataFrame:
     """doc_id and ``spans`` of every document, spans with their verdict.
 
     A span has start, end (code points, end exclusive), kind, hash (SHA-256 of the
-    secret's value; the value itself is not returned), n_repos, n_owners and live.
+    secret's value; the value itself is not returned), n_repos, n_owners and live: at
+    most ``live_owners`` owners and ``live_repos`` repositories have the value.
     ``repo`` and ``owner`` say whose document it is (default: source and
     language, and source); a null counts as one unnamed owner.  Documents
     without candidates have an empty array.  A null text is empty.  Repeated rows
@@ -146,7 +149,7 @@ def scan_secrets(
         "hash",
         "n_repos",
         "n_owners",
-        (F.col("n_owners") <= live_owners).alias("live"),
+        ((F.col("n_owners") <= live_owners) & (F.col("n_repos") <= live_repos)).alias("live"),
     )
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("judged"))
     kind = spans.schema["judged"].dataType.simpleString()

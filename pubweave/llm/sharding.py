@@ -1,11 +1,11 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Documents with equal texts form a group, and a group stays in one shard unless
-it is so large that shards could not be equal: then it is split.  Groups that
-are small against a shard are first hashed into a fixed number of lots; lots
-and large groups, whose number is bounded by arithmetic, are packed in falling
-order, each where the dot product of its vector with the residual capacity is
-highest.
+Documents with equal texts form a group, and a group stays in one shard if that has
+room for it; only a group larger than a shard is split.  Groups that are small
+against a shard are first hashed into a fixed number of lots; lots and large groups,
+whose number is bounded by arithmetic, are packed in falling order, each where the
+dot product of its vector with the residual capacity is highest.  Where no shard has
+room in every dimension, as next to a group of many short texts, bytes decide.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pubweave.llm.common import saved, whole_text
 SHARDS = 40
 #: Lots per shard; a group larger than a lot is packed by itself.
 LOTS = 256
-#: A group larger than one in so many parts of a shard is split into such parts.
+#: A group larger than a shard is split into parts of one in so many of a shard.
 PARTS = 16
 #: Rows numbered by one window task.
 NUMBERED_ROWS = 200_000
@@ -29,14 +29,16 @@ _SIZES = ["size", "tokens", "n"]
 
 
 def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:
-    """The shard of every vector; columns are shares of the total."""
+    """The shard of every vector; columns are shares of the total, bytes first."""
     residual = np.full((n_shards, vectors.shape[1]), 1.0 / n_shards)
     placed = np.zeros(len(vectors), dtype=np.int64)
     for i in np.argsort(-vectors.max(axis=1), kind="stable"):
-        fit = (residual >= vectors[i]).all(axis=1)
+        room = residual >= vectors[i]
         score = residual @ vectors[i]
-        if fit.any():
-            score = np.where(fit, score, -np.inf)
+        for fit in (room.all(axis=1), room[:, 0]):
+            if fit.any():
+                score = np.where(fit, score, -np.inf)
+                break
         placed[i] = best = int(score.argmax())
         residual[best] -= vectors[i]
     return placed
@@ -67,6 +69,8 @@ def shard_documents(
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("group"),
             F.lit(1).cast("long").alias("n"),
+            # Spreads rows that have equal ids, or none.
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
@@ -80,14 +84,13 @@ def shard_documents(
         .filter(largest * F.lit(n_shards * lots) >= 1)
         .select(
             "group",
-            F.when(largest * F.lit(n_shards * parts) > 1,
-                   F.ceil(largest * F.lit(n_shards * parts)))
+            F.when(largest * n_shards > 1, F.ceil(largest * F.lit(n_shards * parts)))
             .otherwise(1).alias("pieces"),
         )
     )
     large = saved(large, "shard-large")
     piece = F.when(
-        F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces"))
+        F.col("pieces").isNotNull(), F.pmod(F.xxhash64("row"), F.col("pieces"))
     )
     unit = rows.join(F.broadcast(large), "group", "left").select(
         *rows.columns,
@@ -108,14 +111,14 @@ def shard_documents(
     placed = unit.join(F.broadcast(shards), ["unit", "piece"])
     # Slots: rows are numbered in small lots, whose first slots are prefix sums.
     n_lots = (total["n"] or 0) // NUMBERED_ROWS + 1
-    placed = placed.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(n_lots)))
+    placed = placed.withColumn("lot", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(n_lots)))
     first = placed.groupBy("shard", "lot").count().select(
         "shard",
         "lot",
         (F.sum("count").over(W.partitionBy("shard").orderBy("lot")) - F.col("count"))
         .alias("first"),
     )
-    number = F.row_number().over(W.partitionBy("shard", "lot").orderBy("doc_id", "group"))
+    number = F.row_number().over(W.partitionBy("shard", "lot").orderBy("doc_id", "row"))
     return placed.withColumn("number", number).join(first, ["shard", "lot"]).select(
         "doc_id", "size", "tokens", "text_crc32", "shard",
         (F.col("first") + F.col("number") - 1).alias("slot"),

@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -31,27 +32,46 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pubweave.llm.common import small_batches, whole_text
 from pubweave.llm.pieces import ragged
 
-#: Chunks of text whose ids a Python worker remembers, about 150 bytes each; beyond
-#: that it starts anew.
-KNOWN_CHUNKS = 1_600_000
+#: Bytes of text whose ids a Python worker remembers, with what an entry takes
+#: besides; beyond that it starts anew.
+KNOWN_BYTES = 320 << 20
+ENTRY_BYTES = 150
 
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+# White space as Unicode has it, and where it is next to a space or a line feed.
+_WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
+_WHITE_RUN = f"{_WHITE}[ \n]|[ \n]{_WHITE}"
 _SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
 
 
+class _Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.size = np.zeros(1 << 16, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.held):
+            self.held = np.append(self.held, np.zeros(max(end, len(self.held)), self.held.dtype))
+        self.held[self.size : end] = values
+        self.size = end
+
+
 class Encoder:
     """A byte-level BPE tokenizer that encodes every chunk of text once.
 
     A token never continues over a space that follows another character than
-    white space, so a text may be cut there and its chunks encoded apart.
+    white space, nor into or out of a line feed between such characters, so a text
+    may be cut there and its chunks encoded apart.  Chunks are split and reduced to
+    the different ones of a batch by Arrow; only those are looked up.
     """
 
-    def __init__(self, path: str, known_chunks: int = KNOWN_CHUNKS):
+    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known_chunks = known_chunks
+        self.known_bytes = known_bytes
         self._forget()
 
     @property
@@ -59,42 +79,72 @@ class Encoder:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _forget(self) -> None:
-        self.known: dict[str | tuple[str], int] = {}
-        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        #: Slots of chunks after a space, and of those that begin without one.
+        self.spaced: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.at, self.length = _Grown(np.int64), _Grown(np.int64)
+        self.pool = _Grown(np.uint32)
+        self.bytes = 0
 
     @staticmethod
-    def chunks(text: str) -> list[str | tuple[str]]:
-        """The chunks without the space they begin with; the first, which has none,
-        is marked by a tuple."""
-        if _SPACE_AFTER_SPACE.search(text):
-            found = _SPACE_AFTER_WORD.split(text)
-        else:
-            found = text.split(" ")
-        found[0] = (found[0],)
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the number of ids of each."""
-        split = [self.chunks(text) for text in texts]
-        flat = [c for chunks in split for c in chunks]
-        if len(self.known) > self.known_chunks:
-            self._forget()
-        if new := list(set(flat) - self.known.keys()):
-            spelled = [c[0] if isinstance(c, tuple) else f" {c}" for c in new]
-            found = self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)
+    def split(texts: pa.StringArray) -> tuple[pa.ListArray, np.ndarray]:
+        """Chunks of every text, and which texts have a line feed as a chunk of its own.
+
+        There, all but the first, line feeds and what follows those stand after a space,
+        which is not part of them; elsewhere, all but the first.
+        """
+        odd = pc.match_substring_regex(texts, _WHITE_RUN)
+        plain = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        odd = odd.to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(odd)
+        if not len(rows):
+            return plain, ~odd
+        slow = [_SPACE_AFTER_WORD.split(texts[row].as_py()) for row in rows.tolist()]
+        order = np.arange(len(texts))
+        order[rows] = len(texts) + np.arange(len(rows))
+        whole = pa.concat_arrays([plain, pa.array(slow, plain.type)])
+        return whole.take(pa.array(order)), ~odd
+
+    def _slots(self, chunks: list[str], known: dict[str, int], lead: str) -> np.ndarray:
+        """Places of the ids of different chunks; those not known yet are encoded."""
+        new = [c for c in chunks if c not in known]
+        if new:
+            found = self.tokenizer.encode_batch_fast(
+                [lead + c for c in new] if lead else new, add_special_tokens=False
+            )
             ids = [e.ids for e in found]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.at = np.append(self.at, len(self.pool) + np.cumsum(counts) - counts)
-            self.length = np.append(self.length, counts)
-            added = np.fromiter(chain.from_iterable(ids), np.uint32, counts.sum())
-            self.pool = np.append(self.pool, added)
-        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        lengths = self.length[index]
-        ids = self.pool[ragged(self.at[index], lengths)]
-        ends = np.append(0, np.cumsum(lengths))
-        bounds = np.append(0, np.cumsum([len(chunks) for chunks in split], dtype=np.int64))
+            known.update(zip(new, range(self.at.size, self.at.size + len(new))))
+            self.at.add(self.pool.size + np.cumsum(counts) - counts)
+            self.length.add(counts)
+            self.pool.add(np.fromiter(chain.from_iterable(ids), np.uint32, counts.sum()))
+            self.bytes += sum(map(len, new)) + len(new) * ENTRY_BYTES
+        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the number of ids of each."""
+        if self.bytes > self.known_bytes:
+            self._forget()
+        split, has_feeds = self.split(texts)
+        flat = split.flatten()
+        lengths = pc.list_value_length(split).to_numpy()
+        bounds = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        bare = np.zeros(len(flat) + 1, bool)
+        bare[bounds[:-1]] = True
+        feed = pc.equal(flat, "\n").to_numpy(zero_copy_only=False) & np.repeat(
+            has_feeds, lengths
+        )
+        bare[:-1] |= feed
+        bare[1:] |= feed
+        bare = bare[:-1]
+        slots = np.zeros(len(flat), np.int64)
+        for mask, known, lead in ((bare, self.bare, ""), (~bare, self.spaced, " ")):
+            chosen = flat.filter(pa.array(mask)).dictionary_encode()
+            places = self._slots(chosen.dictionary.to_pylist(), known, lead)
+            slots[mask] = places[chosen.indices.to_numpy()]
+        counts = self.length.held[slots]
+        ids = self.pool.held[ragged(self.at.held[slots], counts)]
+        ends = np.append(0, np.cumsum(counts))
         return ids, np.diff(ends[bounds])
 
 
@@ -117,15 +167,26 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file's numbers: mapped where the folder is mounted, else read."""
-    system, path = _place(f"{folder}/{name}")
-    if isinstance(system, pafs.LocalFileSystem):
-        if not os.path.getsize(path):
-            return np.zeros(0, dtype)
-        return np.memmap(path, dtype=dtype, mode="r")
-    with system.open_input_file(path) as file:
-        return np.frombuffer(file.read(), dtype)
+class _Numbers:
+    """The numbers of a file: mapped where its folder is mounted, else read by ranges."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        system, path = _place(f"{folder}/{name}")
+        self.file = self.map = None
+        if not isinstance(system, pafs.LocalFileSystem):
+            self.file = system.open_input_file(path)
+        elif os.path.getsize(path):
+            self.map = np.memmap(path, dtype=self.dtype, mode="r")
+        else:
+            self.map = np.zeros(0, self.dtype)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[part]
+        wide = self.dtype.itemsize
+        found = self.file.read_at((part.stop - part.start) * wide, part.start * wide)
+        return np.frombuffer(found, self.dtype)
 
 
 def write_token_files(
@@ -161,7 +222,7 @@ def write_token_files(
                 continue
             if out is None:
                 out = system.open_output_stream(f"{path}.bin")
-            ids, counts = encoder.encode(batch["text"].to_pylist())
+            ids, counts = encoder.encode(batch["text"])
             closed = np.full(len(ids) + len(counts), end_id, np.dtype(width))
             stops = np.cumsum(counts + 1)
             body = np.ones(len(closed), bool)
@@ -217,19 +278,21 @@ def read_token_files(
                 yield from documents(part)
 
     def documents(part: dict) -> Iterator[pa.RecordBatch]:
-        ids = _mapped(folder, part["name"] + ".bin", part["width"])
-        index = _mapped(folder, part["name"] + ".idx", "<i8")
+        ids = _Numbers(folder, part["name"] + ".bin", part["width"])
+        index = _Numbers(folder, part["name"] + ".idx", "<i8")
         n = part["n_docs"]
-        ends, doc_ids = index[: n + 1], index[n + 1 :]
         for first in range(0, n, 512):
             stop = min(n, first + 512)
-            bounds = ends[first : stop + 1].tolist()
-            found = [value(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            # Offsets come first, document ids after the last of them.
+            ends = index[first : stop + 1]
+            here = ids[int(ends[0]) : int(ends[-1])]
+            bounds = (ends - ends[0]).tolist()
+            found = [value(here[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc_ids[first:stop]),
-                    pa.array(part["base"] + ends[first:stop]),
-                    pa.array(np.diff(ends[first : stop + 1])),
+                    pa.array(index[n + 1 + first : n + 1 + stop]),
+                    pa.array(part["base"] + ends[:-1]),
+                    pa.array(np.diff(ends)),
                     pa.array(found),
                 ],
                 ["doc_id", "start", "n_tokens", "value"],

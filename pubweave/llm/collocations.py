@@ -4,10 +4,11 @@ Nodes of the graph are runs of three words, edges are runs of four, weighted by
 their number of occurrences within the pieces of the texts.
 
 1. Words are counted per language.  A phrase of at least ``least`` occurrences has no
-   rarer word and no rarer pair of neighbours, so pieces are cut at both; two filters of
-   fixed size tell the scans where.  What a filter lets through by chance costs time only.
-2. Every place of a cut piece gives one edge.  At its end the last three and the last
-   two words give an edge with missing words: the piece-end corrections.
+   rarer word and no rarer pair of neighbours, so pieces are cut at both, and its nodes are
+   as frequent; filters of fixed size tell the scans where.  What a filter lets through
+   by chance costs time only.
+2. Every place of a cut piece gives one edge.  At its end, and where the next node is too
+   rare, the words left give an edge with missing words: the piece-end corrections.
 3. Edges are aggregated.  The count of a node is the flow out of it, corrected by the
    ends; the count of a pair is the flow of the nodes that begin with it, corrected
    likewise.  One shuffle by node serves edges and nodes.
@@ -143,15 +144,37 @@ def _pair_keys(ids: np.ndarray) -> np.ndarray:
     return mix(ids[:-1] * _ODD + ids[1:])
 
 
-def _frequent_pairs(texts: DataFrame, seed: int, words, least: int) -> DataFrame:
-    """The ``key`` of every pair of neighbours that occurs often enough."""
+def _triple_keys(ids: np.ndarray) -> np.ndarray:
+    """The same for three words."""
+    return mix(_pair_keys(ids)[:-1] * _ODD + ids[2:])
+
+
+def _linked(ids: np.ndarray, follows: np.ndarray, words, pairs=None) -> np.ndarray:
+    """Whether every word and the next one may be in a phrase together."""
+    known = _passes(words.value, ids)
+    linked = follows & known
+    linked[:-1] &= known[1:]
+    if pairs is not None:
+        linked[:-1] &= _passes(pairs.value, _pair_keys(ids))
+    return linked
+
+
+def _frequent(texts: DataFrame, seed: int, least: int, words, pairs=None) -> DataFrame:
+    """The ``key`` of every pair, or given those every triple, that occurs often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, _, _, _, follows, _ in _numbered(batch, seed):
-                known = _passes(words.value, ids)
-                both = follows[:-1] & known[:-1] & known[1:]
-                keys, counts = np.unique(_pair_keys(ids)[both], return_counts=True)
+                if len(ids) < 3:
+                    ids, follows = np.append(ids, [0, 0, 0]).astype(np.uint64), np.append(
+                        follows, [False] * 3
+                    )
+                linked = _linked(ids, follows, words, pairs)
+                if pairs is None:
+                    keys = _pair_keys(ids)[linked[:-1]]
+                else:
+                    keys = _triple_keys(ids)[linked[:-2] & linked[1:-1]]
+                keys, counts = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))],
                     ["key", "n"],
@@ -163,25 +186,24 @@ def _frequent_pairs(texts: DataFrame, seed: int, words, least: int) -> DataFrame
     return counted.filter(F.col("n") >= least).select("key")
 
 
-def _edges(texts: DataFrame, seed: int, words, pairs) -> DataFrame:
-    """w1 to w4, 0 where a piece has ended, of every place that a frequent pair begins."""
+def _edges(texts: DataFrame, seed: int, words, pairs, triples) -> DataFrame:
+    """w1 to w4 of every place that a frequent pair begins, 0 where the piece has ended or
+    no frequent node follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, _, _, _, follows, _ in _numbered(batch, seed):
-                if len(ids) < 2:
-                    continue
-                linked = follows.copy()
-                linked[:-1] &= _passes(words.value, ids)[:-1] & _passes(words.value, ids)[1:]
-                linked[:-1] &= _passes(pairs.value, _pair_keys(ids))
-                padded = np.append(ids, np.zeros(LONGEST, np.uint64))
-                linked = np.append(linked, np.zeros(LONGEST, bool))
+                ids = np.append(ids, np.zeros(LONGEST, np.uint64))
+                follows = np.append(follows, np.zeros(LONGEST, bool))
+                linked = _linked(ids, follows, words, pairs)
+                node = linked.copy()
+                node[:-2] &= linked[1:-1] & _passes(triples.value, _triple_keys(ids))
                 place = np.flatnonzero(linked)
                 goes_on = np.ones(len(place), bool)
-                columns = [padded[place]]
-                for i in range(1, LONGEST):
-                    goes_on &= linked[place + i - 1]
-                    columns.append(np.where(goes_on, padded[place + i], np.uint64(0)))
+                columns = [ids[place], ids[place + 1]]
+                for i in range(2, LONGEST):
+                    goes_on &= node[place + i - 2]
+                    columns.append(np.where(goes_on, ids[place + i], np.uint64(0)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c.view(np.int64)) for c in columns], _KEYS
                 )
@@ -216,12 +238,12 @@ def phrase_graph(
     words, seed = count_words(texts)
     frequent = words.filter(F.col("n") >= least).select(F.col("id").alias("key"))
     word_bits = spark.sparkContext.broadcast(_filter_of(frequent))
-    pairs = _frequent_pairs(texts, seed, word_bits, least)
+    pairs = _frequent(texts, seed, least, word_bits)
     pair_bits = spark.sparkContext.broadcast(_filter_of(pairs))
-    edges = saved(
-        _edges(texts, seed, word_bits, pair_bits).groupBy(*_KEYS).agg(F.count("*").alias("f")),
-        "edges",
-    )
+    triples = _frequent(texts, seed, least, word_bits, pair_bits)
+    triple_bits = spark.sparkContext.broadcast(_filter_of(triples))
+    edges = _edges(texts, seed, word_bits, pair_bits, triple_bits)
+    edges = saved(edges.groupBy(*_KEYS).agg(F.count("*").alias("f")), "edges")
     grams = None
     for size in range(LONGEST, 1, -1):
         # The flow out of a run: the edges that begin with it, ended ones included.

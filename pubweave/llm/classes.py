@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from pubweave.llm.common import saved
 
+#: Lists of classes up to this size are broadcast, by what a row of one takes in memory.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 64
+
 
 def document_classes(profile: DataFrame) -> DataFrame:
     """cls, digest, n (rows), and doc_id and mark of the row with the least id of each digest.
@@ -49,6 +52,10 @@ def class_texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     """cls and text of the classes in column ``cls`` of ``wanted``; ``rows`` has doc_id,
     mark and text."""
     listed = _picked(classes).drop("__d").join(wanted.select("cls").distinct(), "cls")
+    listed = saved(listed, "wanted-texts")
+    if listed.count() * ROW_BYTES <= BROADCAST_BYTES:
+        # A short list visits the texts; beyond that, texts are shuffled.
+        listed = F.broadcast(listed)
     same = (F.col("__i") == F.col("doc_id")) & (F.col("__m") == F.col("mark"))
     return saved(rows.join(listed, same).select("cls", "text").dropDuplicates(["cls"]), "texts")
 

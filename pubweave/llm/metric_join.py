@@ -15,6 +15,7 @@ bins never lies further apart than the sets, so what it rules out is out.
    at most two radii further away than its nearest, as the triangle inequality demands.
    Regions divide again until they are small, have one component only, or no longer
    shrink; large ones are divided by Spark jobs, others inside a task.
+   A pair is looked at in the first region that both are in.
 5. What remains meets in its leaf with the texts; pairs are confirmed on full sets, and
    only while their components are still apart.
 """
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pubweave.llm.classes import (
@@ -34,6 +36,7 @@ from pubweave.llm.classes import (
 from pubweave.llm.common import lookup, saved, small_batches, text_mark, whole_text
 from pubweave.llm.graph import components
 from pubweave.llm.minhash import runs_of, similar
+from pubweave.llm.pieces import ragged
 from pubweave.llm.shingles import chunks, mix, shingle_hashes, shingle_sets, utf8, word_hashes
 
 #: Links have 100 * intersection >= SIMILARITY * union.
@@ -52,6 +55,8 @@ LEAF = 128
 PIVOTS, SHRINK = 16, 0.8
 
 _SLACK = 1e-9
+#: What a region knows of its members besides whether they are at home.
+_MEMBER = ["origin", "cls", "component", "histogram", "keys"]
 
 
 # --- sets, sketch of counts, profiles -------------------------------------------------
@@ -196,12 +201,37 @@ def voronoi(rows: np.ndarray, pivots: np.ndarray, similarity: int) -> tuple[np.n
 
 class Region:
     """Classes that one task divides: members, histograms, components; ``own`` marks those
-    at home, of which every pair to find has one."""
+    at home, of which every pair to find has one.
 
-    def __init__(self, histograms: np.ndarray, component: np.ndarray, own: np.ndarray,
-                 similarity: int):
-        self.histograms, self.component, self.own = histograms, component, own
+    ``origin`` is the shingle that the region began with, ``keys`` are those of all
+    regions of every member: a pair is looked at in the first region it shares.
+    """
+
+    def __init__(self, group: pa.Table, similarity: int):
+        self.histograms = unpacked(group["histogram"])
+        self.component = group["component"].to_numpy()
+        self.own = group["own"].to_numpy()
         self.similarity = similarity
+        keys = group["keys"].combine_chunks()
+        flat, self.bounds = keys.flatten().to_numpy(), np.append(
+            0, np.cumsum(pc.list_value_length(keys).to_numpy())
+        )
+        row = np.repeat(np.arange(len(self.own)), np.diff(self.bounds))
+        origin = group["origin"][0].as_py()
+        earlier = flat < origin
+        self.earlier = np.append(0, np.cumsum(earlier))[self.bounds]
+        flat, row = flat[earlier], row[earlier]
+        self.flat, order = flat, np.argsort(flat, kind="stable")
+        self.sorted_keys, self.holders = flat[order], row[order]
+
+    def met_before(self, row: int) -> np.ndarray:
+        """Which classes share an earlier region with one."""
+        found = np.zeros(len(self.own), bool)
+        mine = self.flat[self.earlier[row] : self.earlier[row + 1]]
+        first = np.searchsorted(self.sorted_keys, mine)
+        last = np.searchsorted(self.sorted_keys, mine, "right")
+        found[self.holders[ragged(first, last - first)]] = True
+        return found
 
     def open(self, rows: np.ndarray, own: np.ndarray) -> bool:
         found = self.component[rows]
@@ -247,6 +277,8 @@ class Region:
         for i in np.flatnonzero(own):
             others = may_link(near[i], near, self.similarity)
             others &= self.component[rows] != self.component[rows[i]]
+            if others.any():
+                others &= ~self.met_before(int(rows[i]))[rows]
             if others.any():
                 found |= others
                 found[i] = True
@@ -263,9 +295,7 @@ def _leaf_rows(regions: DataFrame, similarity: int) -> DataFrame:
         for group in runs_of(batches, ["region"]):
             name = group["region"][0].as_py()
             cls, component = group["cls"].to_numpy(), group["component"].to_numpy()
-            region = Region(
-                unpacked(group["histogram"]), component, group["own"].to_numpy(), similarity
-            )
+            region = Region(group, similarity)
             for number, (rows, own) in enumerate(region.leaves()):
                 keep = region.candidates(rows, own)
                 if keep.any():
@@ -297,8 +327,7 @@ def _sizes(regions: DataFrame) -> DataFrame:
 
 
 def _divide_large(regions: DataFrame, similarity: int) -> DataFrame:
-    """``regions`` (region, cls, component, own, histogram) with none of more than REGION
-    classes."""
+    """``regions`` (region, own and _MEMBER) with none of more than REGION classes."""
     done = []
     before = None
     while True:
@@ -351,17 +380,18 @@ def _by_pivots(large: DataFrame, similarity: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(child.view(np.int64)),
-                            batch["cls"].take(taken), batch["component"].take(taken),
                             pa.array(own[here] & (home[here] == p)),
-                            batch["histogram"].take(taken),
+                            *[batch[c].take(taken) for c in _MEMBER],
                         ],
-                        ["region", "cls", "component", "own", "histogram"],
+                        ["region", "own", *_MEMBER],
                     )
 
     placed = lookup(large.drop("n"), pivots, "region", "weight").drop("weight")
     return saved(
-        placed.select("region", "cls", "component", "own", "histogram", "pivots").mapInArrow(
-            run, "region long, cls long, component long, own boolean, histogram binary"
+        placed.select("region", "own", *_MEMBER, "pivots").mapInArrow(
+            run,
+            "region long, own boolean, origin long, cls long, component long,"
+            " histogram binary, keys array<long>",
         ),
         "divided",
     )
@@ -376,7 +406,7 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     )
     return placed.withColumn(
         "region", F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))
-    ).select("region", "cls", "component", "own", "histogram")
+    ).select("region", "own", *_MEMBER)
 
 
 def _confirmed(leaves: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -505,9 +535,11 @@ def metric_join(
     labelled = members.join(labels, members["cls"] == labels["id"], "left").select(
         "region", "cls", F.coalesce("component", "cls").alias("component")
     )
-    crossing = _open_regions(saved(labelled, "labelled"))
-    regions = crossing.join(reps.select("cls", "histogram"), "cls").select(
-        "region", "cls", "component", F.lit(True).alias("own"), "histogram"
+    crossing = saved(_open_regions(saved(labelled, "labelled")), "open-members")
+    keys = crossing.groupBy("cls").agg(F.sort_array(F.collect_list("region")).alias("keys"))
+    described = keys.join(reps.select("cls", "histogram"), "cls")
+    regions = crossing.withColumn("origin", F.col("region")).join(described, "cls").select(
+        "region", F.lit(True).alias("own"), *_MEMBER
     )
     leaves = saved(
         _leaf_rows(_divide_large(saved(regions, "open-regions"), similarity), similarity), "leaves"

@@ -5,11 +5,13 @@ piece of the vocabulary reaches across such a place.  The words that a batch
 adds to those already known are encoded together: their symbols lie in one flat
 array, every round finds the best pair of every word by a segmented minimum
 over pair ranks, merges it at all its places from left to right, and compacts
-the array, until no word has a pair.
+the array, until no word has a pair.  Very long words need as many rounds as they have
+different pairs and take their pairs from a heap instead.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -20,8 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 from pubweave.llm.common import small_batches, whole_text
 
 MARK = "▁"
-#: Words that a Python worker remembers; beyond that it starts anew.
-KNOWN_WORDS = 600_000
+#: Words that a Python worker remembers, and their bytes with what an entry takes
+#: besides; beyond that it starts anew.
+KNOWN_WORDS, KNOWN_BYTES, ENTRY_BYTES = 600_000, 200 << 20, 150
+#: Longer words are merged pair by pair: a round looks at all symbols of a word, which
+#: costs little as long as few rounds are needed.
+LONG_WORD = 256
 
 _NONE = np.int64(1) << 40
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -130,6 +136,7 @@ class Pieces:
                     for half in halves:
                         best[half] = min(best.get(half, _NONE), order[score[piece]])
         self.pairs = PairTable(pairs)
+        self.pair_of: dict[int, tuple[int, int]] | None = None
         # A merge is made at all places at once only if what it makes cannot come
         # first itself; else the leftmost place is merged alone.
         self.alone = np.zeros(self.size + 1, bool)
@@ -158,6 +165,7 @@ class Pieces:
         self.known: dict[str, int] = {}
         self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
+        self.bytes = 0
 
     # --- encoding ---------------------------------------------------------
 
@@ -178,11 +186,47 @@ class Pieces:
         lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         return np.array(ids, np.int64)[where], lengths
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one word after the last merge, best and leftmost pair first."""
+        if self.pair_of is None:
+            used = np.flatnonzero(self.pairs.key != -1)
+            ranked = zip(self.pairs.rank[used].tolist(), self.pairs.made[used].tolist())
+            self.pair_of = dict(zip(self.pairs.key[used].tolist(), ranked))
+        pair_of, symbol, n = self.pair_of, symbols.tolist(), len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = []
+        for at, key in enumerate(((symbols[:-1] << 32) | symbols[1:]).tolist()):
+            if found := pair_of.get(key):
+                heap.append((found[0], at, key, found[1]))
+        heapq.heapify(heap)
+        while heap:
+            _, at, key, made = heapq.heappop(heap)
+            other = after[at]
+            if other >= n or symbol[at] < 0 or (symbol[at] << 32) | symbol[other] != key:
+                continue  # one of the two has been merged since
+            symbol[at], symbol[other] = made, -1
+            after[at] = following = after[other]
+            if following < n:
+                before[following] = at
+            for first, second in ((before[at], at), (at, following)):
+                if first >= 0 and second < n:
+                    key = (symbol[first] << 32) | symbol[second]
+                    if found := pair_of.get(key):
+                        heapq.heappush(heap, (found[0], first, key, found[1]))
+        return np.array([s for s in symbol if s >= 0], np.int64)
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat symbols of all words after the last merge, and their numbers."""
         symbol, lengths = self._symbols(words)
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbol, done_word = [], []
+        ends = np.cumsum(lengths)
+        for long in np.flatnonzero(lengths > LONG_WORD).tolist():
+            merged = self._merge_long(symbol[ends[long] - lengths[long] : ends[long]])
+            done_symbol.append(merged)
+            done_word.append(np.full(len(merged), long))
+        short = np.repeat(lengths <= LONG_WORD, lengths)
+        symbol, word = symbol[short], word[short]
         while len(symbol) > 1:
             # The rank of a symbol and its right neighbour in the same word.
             slot = self.pairs.find(symbol[:-1], symbol[1:])
@@ -249,12 +293,13 @@ class Pieces:
         self.at = np.append(self.at, begin)
         self.length = np.append(self.length, counts)
         self.pool = np.append(self.pool, symbol.astype(np.int32))
+        self.bytes += sum(map(len, words)) + len(words) * ENTRY_BYTES + symbol.nbytes // 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
         split = [self.words(text) for text in texts]
         flat = [w for words in split for w in words]
-        if len(self.known) > self.known_words:
+        if len(self.known) > self.known_words or self.bytes > KNOWN_BYTES:
             self._forget()
         if new := list(set(flat) - self.known.keys()):
             self.learn(new)

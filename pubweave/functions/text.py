@@ -17,8 +17,8 @@ SPACE = r"\s\p{Z}\x{85}"
 # "<...>" closed on the same line.
 TAG = r"<[^>\n\x0B\f\r\x{85}\x{2028}\x{2029}]*>"
 
-#: Words worth counting: at least three plain Latin letters.
-COUNTABLE_WORD = "^[a-z]{3,}$"
+#: Letters that a word worth counting has at least; they are plain Latin ones.
+COUNTABLE_LETTERS = 3
 
 
 def strip_tags(text: Column) -> Column:
@@ -42,7 +42,7 @@ def countable_words(text: Column) -> Column:
     are removed.
     """
     runs = F.regexp_extract_all(
-        strip_tags(F.lower(text)), F.lit(f"([a-z]{{3,}}+)(?![{ALNUM}])|[{ALNUM}]++"), F.lit(1)
+        strip_tags(F.lower(text)), F.lit(f"([a-z]{{{COUNTABLE_LETTERS},}}+)(?![{ALNUM}])|[{ALNUM}]++"), F.lit(1)
     )
     return F.array_remove(runs, "")
 
@@ -50,21 +50,16 @@ def countable_words(text: Column) -> Column:
 def clean_text(text: Column, stopwords: Iterable[str] = CLEANER_STOPWORDS) -> Column:
     """Lower-case text without tags, punctuation, single characters, plain
     numbers and stop words.  Gaps left by stop words stay."""
-
-    lower = F.lower(text)
-    # Tags and all that is no word, space or hyphen leave nothing in their place.
-    kept = F.regexp_replace(lower, f"{TAG}|<|[^<{ALNUM}{SPACE}-]+", "")
+    # All that is no word, space or hyphen leaves nothing in its place.
+    kept = F.regexp_replace(strip_tags(F.lower(text)), f"[^{ALNUM}{SPACE}-]+", "")
     stops = list(dict.fromkeys(stopwords))
     plain = [word for word in stops if word.isalnum()]
 
-    def is_number(word: Column) -> Column:
-        # Few words do not begin with a plain letter.
-        return F.when((word >= "a") & (word < "{"), F.lit(False)).otherwise(
-            word.rlike(r"^\p{Nd}+$")
-        )
-
     def is_short(word: Column) -> Column:
-        return ((F.length(word) == 1) & (word != "-")) | is_number(word)
+        # Most words begin with a plain letter, which one comparison tells.
+        return F.when((word >= "a") & (word < "{"), F.length(word) == 1).otherwise(
+            ((F.length(word) == 1) & (word != "-")) | word.rlike(r"^\p{Nd}+$")
+        )
 
     def is_stop(word: Column) -> Column:
         return word.isin(plain) if plain else F.lit(False)
@@ -85,8 +80,8 @@ def clean_text(text: Column, stopwords: Iterable[str] = CLEANER_STOPWORDS) -> Co
     cleaned = F.array_join(
         F.transform(
             chunks,
-            lambda chunk: F.when(F.contains(chunk, F.lit("-")), hyphened(chunk))
-            .when(is_stop(chunk), "").otherwise(chunk),
+            lambda chunk: F.when(is_stop(chunk), "")
+            .when(F.contains(chunk, F.lit("-")), hyphened(chunk)).otherwise(chunk),
         ),
         " ",
     )
@@ -137,65 +132,61 @@ def escaped(text: str) -> str:
     )
 
 
-def _word_runs(phrase: str) -> list[str]:
-    """Runs of ``WORD`` characters."""
-    runs = "".join(
-        char if char.isalnum() or char == "_" or unicodedata.category(char)[0] == "M" else "\0"
-        for char in phrase
-    )
-    return [run for run in runs.split("\0") if run]
+def phrase_pattern(phrases: Iterable[str]) -> str:
+    """A regular expression whose group 1 is the longest phrase that starts at a word start
+    and ends at a word end.
+
+    A match takes in one word and what follows up to the next, and looks ahead for a
+    phrase, so only word starts are tried and phrases may overlap; group 1 is empty where
+    there is none.  Phrases that do not begin with a word have to be tried everywhere.
+    """
+    known = list(phrases)
+    found = f"(?=({_any_of(known)})(?![{WORD}]))"
+    if all(_starts_word(phrase[0]) for phrase in known):
+        return f"(?:{found})?+[{WORD}]++[^{WORD}]*+"
+    return f"(?<![{WORD}]){found}"
+
+
+def _starts_word(char: str) -> bool:
+    """Whether a character is one of ``WORD``."""
+    return char.isalnum() or char == "_" or unicodedata.category(char)[0] == "M"
 
 
 def phrases_found(text: Column, topics: Mapping[str, Iterable[str]]) -> Column:
     """Array with every topic keyword that occurs in ``text``, once each.
 
-    Case does not matter.  Where a keyword stands, each run of word characters in it is a
-    word of the text.  So the words of the text are intersected with one such run of
-    every keyword; keywords of a single word are then found, others are looked for
-    if their run is.
+    Case does not matter.  The extraction finds the longest keyword per word
+    start; keywords that begin it ("log" in "log file") are added by lookup.
     """
-    by_run: dict[str, list[str]] = {}
-    for phrase in distinct_keywords(topics):
-        by_run.setdefault(max(_word_runs(phrase), key=len, default=""), []).append(phrase)
-    always = by_run.pop("", [])
-
-    def candidates(phrases: Iterable[str]) -> str:
-        items = ", ".join(
-            f"named_struct('phrase', {sql_text(p)}, 'pattern',"
-            f" {'cast(null as string)' if _word_runs(p) == [p] else sql_text(_bounded(p))})"
-            for p in phrases
-        )
-        return f"array({items})"
-
-    none = "cast(array() as array<struct<phrase: string, pattern: string>>)"
+    phrases = distinct_keywords(topics)
+    if not phrases:
+        return F.when(text.isNotNull(), F.expr("cast(array() as array<string>)"))
+    longest = F.array_remove(
+        F.regexp_extract_all(F.lower(text), F.lit(phrase_pattern(phrases)), F.lit(1)), ""
+    )
+    beginnings = {
+        phrase: [
+            p for p in phrases
+            if phrase != p and phrase.startswith(p) and not _starts_word(phrase[len(p)])
+        ]
+        for phrase in phrases
+    }
+    nested = {phrase: found for phrase, found in beginnings.items() if found}
+    if not nested:
+        return F.array_distinct(longest)
     table = F.expr(
-        f"map_from_arrays({sql_array(by_run)}, array({', '.join(map(candidates, by_run.values()))}))"
-        if by_run else f"map(cast('' as string), {none})"
+        f"map_from_arrays({sql_array(nested)},"
+        f" array({', '.join(map(sql_array, nested.values()))}))"
     )
-    everywhere = F.expr(candidates(always) if always else none)
-
-    def found(lower: Column) -> Column:
-        # The extraction is used once, so it is evaluated once.
-        runs = F.array_intersect(
-            F.regexp_extract_all(lower, F.lit(f"[{WORD}]+"), F.lit(0)), string_array(by_run)
-        )
-        listed = F.flatten(F.transform(runs, lambda run: F.try_element_at(table, run)))
-        present = F.filter(
-            F.concat(listed, everywhere),
-            lambda item: item["pattern"].isNull()
-            | (F.contains(lower, item["phrase"]) & F.rlike(lower, item["pattern"])),
-        )
-        return F.transform(present, lambda item: item["phrase"])
-
-    # One item, so that the lower-case text is a value and not an expression.
-    return F.when(
-        text.isNotNull(), F.element_at(F.transform(F.array(F.lower(text)), found), 1)
+    # The extraction is used once, so it is evaluated once; few keywords are left by then.
+    with_beginnings = F.transform(
+        F.array_distinct(longest),
+        lambda phrase: F.concat(
+            F.array(phrase),
+            F.coalesce(F.try_element_at(table, phrase), F.expr("cast(array() as array<string>)")),
+        ),
     )
-
-
-def _bounded(phrase: str) -> str:
-    """A pattern for the phrase between word boundaries."""
-    return f"(?<![{WORD}]){escaped(phrase)}(?![{WORD}])"
+    return F.array_distinct(F.flatten(with_beginnings))
 
 
 def string_array(values: Iterable[str]) -> Column:

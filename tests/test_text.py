@@ -208,3 +208,39 @@ def test_clean_text(spark):
     assert values(df.select(clean_text(F.col("abstract")))) == [
         " deep-learning  a1 -ray  results", None,
     ]
+
+
+def test_countable_words(spark):
+    from pubweave.functions.text import countable_words
+
+    rng = random.Random(2)
+    parts = ["abc", "ab", "ABC", "a1", "é", "日", "_", " ", "-", "\n", "<b>", "<", ">", "42", "İ", "ß"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "abstract string")
+    both = df.select(
+        countable_words(F.col("abstract")).alias("found"),
+        F.filter(words(F.col("abstract")), lambda w: w.rlike("^[a-z]{3,}$")).alias("expected"),
+    )
+    assert both.filter("not found <=> expected").count() == 0
+
+
+def test_clean_text_equals_word_by_word_cleaning(spark):
+    rng = random.Random(4)
+    parts = ["the", "The", "a", "x", "7", "42", "deep", "-", "--", " ", "  ", "\n", "\t", ".", ",",
+             "é", "naïve", "٣", "<i>", "<", "of", "_", "日本", " ", "9th"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(1500)]
+    stops = set(CLEANER_STOPWORDS)
+
+    def cleaned(text):
+        kept = re.sub(r"<[^>\n\v\f\r]*>", "", text.lower())
+        kept = "".join(c for c in kept if c.isalnum() or c.isspace() or c == "-")
+        word = r"(?<![^\W_])([^\W_]+)(?![^\W_])"
+        kept = re.sub(word, lambda m: "" if len(m[1]) == 1 or m[1].isdigit() else m[1], kept)
+        kept = re.sub(r"\s+", " ", kept).strip(" ")
+        return re.sub(word, lambda m: "" if m[1] in stops else m[1], kept)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, abstract string")
+    found = {r.id: r.c for r in df.select("id", clean_text(F.col("abstract")).alias("c")).collect()}
+    assert found == {i: cleaned(t) for i, t in enumerate(texts)}
+    phrase = df.limit(1).select(clean_text(F.lit("use e-mail of it, et al here"), ["et al", "of"]))
+    assert phrase.first()[0] == "use -mail  it  here"

@@ -161,23 +161,21 @@ def gram_index(words: DataFrame) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: all ordered pairs of words one edit apart."""
     index = saved(gram_index(words), "gram-index")
+
+    def key(more: int, on: int) -> Column:
+        """Stands for a gram at a place of a word of a length; verification is exact."""
+        return F.xxhash64("gram", F.col("length") + more, F.col("place") + on)
+
     # Where the same gram stands in a word of equal length or with one more character.
-    seen = F.inline(F.array(*[
-        F.struct((F.col("length") + more).alias("at_length"), (F.col("place") + on).alias("at"))
-        for more, on in ((0, 0), (1, 0), (1, 1))
-    ]))
-    probes = index.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "length",
-                          F.col("gram").alias("same"), "place").select(
-        "a", "a_n", "same", F.col("length").alias("a_length"), seen
+    probes = index.select(
+        F.col("word").alias("a"), F.col("n").alias("a_n"),
+        F.explode(F.array(key(0, 0), key(1, 0), key(1, 1))).alias("key"),
     )
     met = probes.join(
-        index,
-        (F.col("same") == F.col("gram")) & (F.col("at_length") == F.col("length"))
-        & (F.col("at") == F.col("place")),
-    ).filter((F.col("a_length") < F.col("length")) | (F.col("a") < F.col("word")))
-    near = met.filter(F.levenshtein("a", "word", 1) == 1).select(
-        "a", "a_n", F.col("word").alias("b"), F.col("n").alias("b_n")
-    ).distinct()
+        index.select(F.col("word").alias("b"), F.col("n").alias("b_n"), key(0, 0).alias("key")),
+        "key",
+    ).filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
+    near = met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
     both = F.inline(F.array(
         F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"),
                  F.col("b").alias("near"), F.col("b_n").alias("near_n")),

@@ -160,25 +160,32 @@ def spelling(rows, factor=10):
 def contamination(docs, items, hashed, masks, similarity=75, window=32):
     """Pairs (doc, item) with a window on some diagonal that matches well enough: those in
     which a mask matches there, and all of them."""
+    import numpy as np
+
     seeded, everywhere = set(), set()
+    wanted = {i: np.array(hashed(text)) for i, text in items.items()}
     for doc, text in docs.items():
-        words = hashed(text)
-        for item, item_text in items.items():
-            wanted = hashed(item_text)
-            size = min(window, len(wanted))
+        words = np.array(hashed(text))
+        for item, other in wanted.items():
+            size = min(window, len(other))
             if size < 5:
                 continue
-            for diagonal in range(-len(wanted) + 1, len(words)):
-                same = [
-                    0 <= i + diagonal < len(words) and words[i + diagonal] == w
-                    for i, w in enumerate(wanted)
-                ]
-                for at in range(len(wanted) - size + 1):
-                    if 100 * sum(same[at : at + size]) >= similarity * size:
-                        everywhere.add((doc, item))
-                        if any(
-                            at + i + mask[-1] < at + size and all(same[at + i + m] for m in mask)
-                            for mask in masks for i in range(size)
-                        ):
-                            seeded.add((doc, item))
+            # All places where the same word stands, by their diagonal.
+            at, place = np.nonzero(words[:, None] == other[None, :])
+            diagonals, counts = np.unique(at - place, return_counts=True)
+            for diagonal in diagonals[100 * counts >= similarity * size].tolist():
+                same = np.zeros(len(other), bool)
+                same[place[at - place == diagonal]] = True
+                sums = np.append(0, np.cumsum(same))
+                first = np.flatnonzero(100 * (sums[size:] - sums[:-size]) >= similarity * size)
+                if not len(first):
+                    continue
+                everywhere.add((doc, item))
+                for mask in masks:
+                    span = mask[-1] + 1
+                    n = len(other) - span + 1
+                    hit = np.flatnonzero(np.all([same[m : m + n] for m in mask], axis=0)) if n > 0 else []
+                    if any(((hit >= f) & (hit + span <= f + size)).any() for f in first.tolist()
+                           if len(hit)):
+                        seeded.add((doc, item))
     return seeded, everywhere

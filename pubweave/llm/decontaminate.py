@@ -132,40 +132,46 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, f"hash long, item_id {kind}, place long, span long")
 
 
+def _distances(window: int) -> np.ndarray:
+    """From a seed's place to the tokens that are joined with it."""
+    return np.append(np.arange(-window, 0), np.arange(1, window + _SPAN))
+
+
+def _token_numbers(seeds: np.ndarray, words: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    """The numbers of seeds with tokens at distances."""
+    factors = mix((distances + (1 << 20)).astype(np.uint64))
+    return mix(seeds * np.uint64(0x9E3779B97F4A7C15) + words + factors)
+
+
 def token_keys(
     words: np.ndarray, places: np.ndarray, hashes: np.ndarray, window: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For every distance from a seed's place: which places have a token there, and the
-    number of seed and token."""
-    for distance in [*range(-window, 0), *range(1, window + _SPAN)]:
+    numbers of seed and token."""
+    for distance in _distances(window):
         at = places + distance
         inside = np.flatnonzero((at >= 0) & (at < len(words)))
-        factor = mix(np.uint64([distance + (1 << 20)]))
-        yield distance, inside, mix(
-            hashes[inside] * np.uint64(0x9E3779B97F4A7C15) + words[at[inside]] + factor
-        )
+        yield inside, _token_numbers(hashes[inside], words[at[inside]], np.array([distance]))
 
 
 def _token_rows(common: DataFrame, blocks: DataFrame, window: int) -> DataFrame:
     """hash, item_id, place, span, n, distance and key of the tokens near common seeds."""
-    stride = _stride(window)
+    stride, every = _stride(window), _distances(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            places = batch["place"].to_numpy() - batch["first"].to_numpy()
+            seeds = batch["hash"].to_numpy().view(np.uint64)
             for row in range(batch.num_rows):
                 words = np.frombuffer(batch["words"][row].as_py(), np.uint64)
-                place = np.array([batch["place"][row].as_py() - batch["first"][row].as_py()])
-                seed = np.array([batch["hash"][row].as_py()]).view(np.uint64)
-                distances, keys = [], []
-                for distance, inside, key in token_keys(words, place, seed, window):
-                    if len(inside):
-                        distances.append(distance)
-                        keys.append(int(key.view(np.int64)[0]))
+                at = places[row] + every
+                distances = every[(at >= 0) & (at < len(words))]
+                keys = _token_numbers(seeds[row], words[places[row] + distances], distances)
                 same = pa.array([row] * len(keys), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch[c].take(same) for c in ("hash", "item_id", "place", "span", "n")],
-                        pa.array(distances, pa.int64()), pa.array(keys, pa.int64()),
+                        pa.array(distances), pa.array(keys.view(np.int64)),
                     ],
                     ["hash", "item_id", "place", "span", "n", "distance", "key"],
                 )
@@ -273,7 +279,7 @@ def _scan(texts: DataFrame, filters, window: int) -> DataFrame:
             yield seeds[places], places
             places = _likely(common, seeds)
             if len(places):
-                for _, inside, keys in token_keys(words, places, seeds[places], window):
+                for inside, keys in token_keys(words, places, seeds[places], window):
                     found = _likely(with_token, keys)
                     yield keys[found], places[inside[found]]
 

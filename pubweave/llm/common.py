@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pubweave.sources import files
+
 #: Folder of the package.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,28 +24,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables and files.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting, as in a local test, gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session without that
+    setting, as in a test, gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pubweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/pubweave-llm"
+    return f"{files.shared_scratch(spark)}/pubweave-llm"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the intermediate tables that this process has written, in order.
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here,
     and a lost executor costs no more than the task it ran."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many intermediate tables there have been so far, see delete_tables."""
+    return len(_WRITTEN)
+
+
+def delete_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the intermediate tables with these numbers, by default all.
+
+    What an operator returns may still read its tables, so a job does this once it has
+    written the result.
+    """
+    for path in _WRITTEN[first:last]:
+        files.delete(spark, path)
+
+
 def whole_text(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -167,14 +167,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(suffix_dedup(read_table(spark, sf_dir, "documents"), keep="none"))
 
 
-def piece_digests(encoded: DataFrame) -> DataFrame:
-    """Numbers and digests of the ids and texts that ``encode_pieces`` returns."""
+def piece_digests(encoded: DataFrame, *keep: str) -> DataFrame:
+    """Numbers and digests of the ids and texts that ``encode_pieces`` returns, and the
+    columns ``keep`` of it."""
     ids = F.col("ids").cast("array<string>")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *keep,
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pubweave.llm.common import read_table, saved
+from pubweave.llm.common import delete_tables, read_table, saved, tables_written
 from pubweave.llm.decontaminate import drop_contaminated
 from pubweave.llm.exact_dedup import drop_exact_copies
 from pubweave.llm.minhash import drop_near_copies
@@ -34,8 +34,9 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids of all documents left, and of what they decode to."""
-    return piece_digests(encode_pieces(docs, tokenizer_path(spark, "piece_bpe_32k.model")))
+    """The ids of all documents left, and digests of them and of what they decode to."""
+    encoded = encode_pieces(docs, tokenizer_path(spark, "piece_bpe_32k.model"))
+    return piece_digests(encoded, "ids")
 
 
 STAGES = [
@@ -51,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again."""
+    """All stages over ``documents``; each one's rows are written and read again, and then
+    its intermediate tables are deleted."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        first = tables_written()
+        kept = stage(spark, docs, sf_dir)
+        last = tables_written()
+        docs = saved(kept, f"pipeline-{name}")
+        delete_tables(spark, first, last)
     return docs

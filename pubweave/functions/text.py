@@ -21,9 +21,12 @@ TAG = r"<[^>\n\x0B\f\r\x{85}\x{2028}\x{2029}]*>"
 COUNTABLE_LETTERS = 3
 
 
-def strip_tags(text: Column) -> Column:
-    """Remove ``<...>``, leaving nothing in its place."""
-    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, TAG, "")).otherwise(text)
+def lower_without_tags(text: Column) -> Column:
+    """Lower-case text in which ``<...>`` leaves nothing in its place."""
+    lower = F.lower(text)
+    return F.when(
+        F.contains(text, F.lit("<")), F.regexp_replace(lower, TAG, "")
+    ).otherwise(lower)
 
 
 def words(text: Column) -> Column:
@@ -31,7 +34,7 @@ def words(text: Column) -> Column:
 
     The first or last array item may be empty.
     """
-    spaced = F.regexp_replace(strip_tags(F.lower(text)), f"[^{ALNUM}]+", " ")
+    spaced = F.regexp_replace(lower_without_tags(text), f"[^{ALNUM}]+", " ")
     return F.split(spaced, " ")
 
 
@@ -42,7 +45,7 @@ def countable_words(text: Column) -> Column:
     are removed.
     """
     runs = F.regexp_extract_all(
-        strip_tags(F.lower(text)), F.lit(f"([a-z]{{{COUNTABLE_LETTERS},}}+)(?![{ALNUM}])|[{ALNUM}]++"), F.lit(1)
+        lower_without_tags(text), F.lit(f"([a-z]{{{COUNTABLE_LETTERS},}}+)(?![{ALNUM}])|[{ALNUM}]++"), F.lit(1)
     )
     return F.array_remove(runs, "")
 
@@ -51,7 +54,7 @@ def clean_text(text: Column, stopwords: Iterable[str] = CLEANER_STOPWORDS) -> Co
     """Lower-case text without tags, punctuation, single characters, plain
     numbers and stop words.  Gaps left by stop words stay."""
     # All that is no word, space or hyphen leaves nothing in its place.
-    kept = F.regexp_replace(strip_tags(F.lower(text)), f"[^{ALNUM}{SPACE}-]+", "")
+    kept = F.regexp_replace(lower_without_tags(text), f"[^{ALNUM}{SPACE}-]+", "")
     stops = list(dict.fromkeys(stopwords))
     plain = [word for word in stops if word.isalnum()]
 

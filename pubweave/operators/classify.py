@@ -23,7 +23,8 @@ _FOUND = "__keywords_found"
 
 
 def _score_table(topics: Topics) -> Column:
-    """Keyword to its entries (tag, its place, the keyword's place, weight)."""
+    """First character, then keyword, to entries (place of the tag and of the keyword in it,
+    tag, length)."""
     entries: dict[str, list[str]] = {}
     for place, (tag, keywords) in enumerate(topics.items()):
         for order, keyword in enumerate(dict.fromkeys(keywords)):
@@ -31,9 +32,18 @@ def _score_table(topics: Topics) -> Column:
                 f"named_struct('place', {place}, 'keyword', {order}, 'tag', {sql_text(tag)},"
                 f" 'length', {len(keyword)})"
             )
+    # A map is searched from its beginning, so there is one for every first character.
+    by_first: dict[str, list[str]] = {}
+    for keyword in entries:
+        by_first.setdefault(keyword[:1], []).append(keyword)
+
+    def table(keywords: list[str]) -> str:
+        rows = ", ".join(f"array({', '.join(entries[keyword])})" for keyword in keywords)
+        return f"map_from_arrays({sql_array(keywords)}, array({rows}))"
+
     # Written as SQL so that the whole table is one constant of the plan.
-    values = ", ".join(f"array({', '.join(rows)})" for rows in entries.values())
-    return F.expr(f"map_from_arrays({sql_array(entries)}, array({values}))")
+    tables = ", ".join(map(table, by_first.values()))
+    return F.expr(f"map_from_arrays({sql_array(by_first)}, array({tables}))")
 
 
 def _topic_scores(found: Column, topics: Topics) -> Column:
@@ -45,9 +55,12 @@ def _topic_scores(found: Column, topics: Topics) -> Column:
     if not any(topics.values()):
         return nothing
     table = _score_table(topics)
-    entries = F.array_sort(
-        F.flatten(F.transform(found, lambda keyword: F.try_element_at(table, keyword)))
-    )
+    entries = F.array_sort(F.flatten(F.transform(
+        found,
+        lambda keyword: F.try_element_at(
+            F.try_element_at(table, F.substring(keyword, 1, 1)), keyword
+        ),
+    )))
 
     def add(scores: Column, entry: Column) -> Column:
         last = F.try_element_at(scores, F.lit(-1))

@@ -30,11 +30,6 @@ INSERT, UPDATE, KEEP = "insert", "update", "keep"
 #: What a merge needs to know about a stored paper to decide and to carry over.
 DECISION_COLUMNS = ["paper_id", "updated_date", "tag", "umap_x", "umap_y"]
 
-#: A deduplicated batch: one staged paper per key and how many it stands for.
-BATCH_SCHEMA = T.StructType([
-    *STAGED_SCHEMA.fields, T.StructField("copies", T.LongType())
-])
-
 _CARRIED = ("umap_x", "umap_y")
 
 
@@ -116,18 +111,29 @@ def decide_changes(
     batch: DataFrame,
     now: Column | None = None,
     carried: Sequence[str] = (),
+    counted: bool = False,
 ) -> DataFrame:
     """New and updated publications of a deduplicated ``batch``, with ``action``.
 
     Reads only ``DECISION_COLUMNS`` of the stored side, and ``carried``, further
-    columns of it to hand on.
+    columns of it to hand on.  A batch fresh from ``newest_per_key`` is not shuffled
+    again.  ``counted`` adds the ``copies`` each row stands for, and the rest of the
+    batch as rows that have nothing but those and the action.
     """
     p = stored.select(*DECISION_COLUMNS, *carried).alias("p")
-    s = valid_keys(batch).alias("s")
+    s = (batch if counted else valid_keys(batch)).alias("s")
     joined = s.join(p, F.col("p.paper_id") == F.col("s.paper_id"), "left_outer")
-    changed = joined.withColumn("action", _action()).filter(F.col("action") != KEEP)
-    merged = [_merged(name, now).alias(name) for name in PUBLICATIONS_SCHEMA.names]
-    return changed.select(*merged, "action", *carried)
+    usable = F.col("s.paper_id") != ""
+    decided = joined.withColumn("action", F.when(usable, _action()).otherwise(KEEP))
+    changes = F.col("action") != KEEP
+    merged = {name: _merged(name, now) for name in PUBLICATIONS_SCHEMA.names}
+    merged |= {name: F.col(name) for name in carried}
+    if counted:
+        columns = [F.when(changes, value).alias(name) for name, value in merged.items()]
+        return decided.select(*columns, "action", "copies")
+    columns = [value.alias(name) for name, value in merged.items()]
+    changed = decided.filter(changes).select(*columns, "action")
+    return changed.select(*PUBLICATIONS_SCHEMA.names, "action", *carried)
 
 
 def count_actions(staged: DataFrame, stored: DataFrame) -> DataFrame:

@@ -326,3 +326,86 @@ def test_load_filters_and_limit(spark, path):
     assert values(load_publications(spark, path, text="MALWARE", year=2024)) == ["a"]
     assert values(load_publications(spark, path, category="cryptography", limit=1)) == ["a"]
     assert load_publications(spark, path, category="cs.CR").count() == 0
+
+
+@pytest.fixture
+def writes(monkeypatch):
+    """Plans of the tables written."""
+    from conftest import plan_of
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def recorded(self, *arguments, **options):
+        plans.append(plan_of(self._df))
+        return write(self, *arguments, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    return plans
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1_000_000, 4 * store_module.MARK_BYTES])
+def test_a_save_writes_and_shuffles_whole_rows_twice(
+    spark, path, monkeypatch, writes, broadcast_bytes
+):
+    """By key with the decision, by month into the table; stored rows by month only."""
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", broadcast_bytes)
+    keys = [str(i) for i in range(800)]
+    save_publications(batch(spark, *[month_paper(k, int(k) % 4) for k in keys]), path)
+    newer = [month_paper(k, int(k) % 4, "2025-01-01T00:00:00Z") for k in keys[:400]]
+    assert counts(save_publications(batch(spark, *newer), path)) == (0, 400, 0)
+    assert len(writes) == 4
+    first, added, second, merged = writes
+    for decided in (first, second):
+        # The batch and, unless they are few, the stored keys.
+        assert decided.count("Exchange hashpartitioning(paper_id") in (1, 2)
+        assert "REBALANCE" not in decided
+    assert added.count("REBALANCE") == merged.count("REBALANCE") == 1
+    assert "Exchange hashpartitioning(paper_id" not in merged and "SortMergeJoin" not in merged
+
+
+@pytest.mark.parametrize("marks", [8, 7, 0])
+def test_replaced_rows_are_found_by_place(spark, path, monkeypatch, marks):
+    """Two files in each of two months, with over 32,768 rows in one: its marks fill two
+    bitmaps. With room for all eight marks or fewer the result is the same."""
+    def papers(first, last, updated, title):
+        return spark.range(first, last, 1, 1).selectExpr(
+            "'p' || id as id", "'link' as link", f"'{title}' as title", "'A; B' as authors",
+            "cast(id as string) as abstract", "'cs.CR' as categories",
+            "if(id % 9 = 0, '2023-02', '2023-01') || '-15T00:00:00Z' as published_date",
+            f"{updated} as updated_date", "'t' as tag",
+        )
+
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", marks * store_module.MARK_BYTES)
+    old, new = "'2024-01-01T00:00:00Z'", "'2025-01-01T00:00:00Z'"
+    assert counts(save_publications(papers(0, 40_000, old, "old"), path)) == (40_000, 0, 0)
+    assert counts(save_publications(papers(40_000, 42_000, old, "old"), path)) == (2_000, 0, 0)
+    assert {len(names) for names in file_names(spark, path).values()} == {2}
+    again = papers(0, 44_000, f"if(id % 3 = 0, {new}, {old})", "new")
+    assert counts(save_publications(again, path)) == (2_000, 14_000, 28_000)
+    rows = read_publications(spark, path).selectExpr(
+        "cast(abstract as long) as id", "paper_id", "title", "updated_date"
+    )
+    assert rows.count() == rows.select("paper_id").distinct().count() == 44_000
+    expected = F.expr("if(id % 3 = 0 or id >= 42000, 'new', 'old')")
+    wrong = (F.col("title") != expected) | (F.col("paper_id") != F.concat(F.lit("p"), "id"))
+    assert rows.filter(wrong).count() == 0
+    assert rows.filter("id % 3 = 0 and year(updated_date) <> 2025").count() == 0
+
+
+def test_months_that_lose_all_rows_go(spark, path, monkeypatch):
+    monkeypatch.setattr(store_module, "BROADCAST_BYTES", 4 * store_module.MARK_BYTES)
+    keys = [str(i) for i in range(400)]
+    save_publications(batch(spark, *[month_paper(k, int(k) % 2 + 1) for k in keys]), path)
+    moved = [month_paper(k, 5, "2025-01-01T00:00:00Z") for k in keys if int(k) % 2 or k < "3"]
+    save_publications(batch(spark, *moved), path)
+    assert set(file_names(spark, path)) == {"month=2023-01", "month=2023-05"}
+    assert load_publications(spark, path).count() == 400
+
+
+def test_skipped_papers_are_counted_not_written(spark, path):
+    rows = [paper("a"), paper("a"), paper("b"), paper(None), paper(None), paper("")]
+    assert counts(save_publications(batch(spark, *rows), path)) == (2, 0, 4)
+    assert counts(save_publications(batch(spark, *rows), path)) == (0, 0, 6)
+    assert counts(save_publications(batch(spark, paper(None)), path)) == (0, 0, 1)
+    assert set(stored(spark, path)) == {"a", "b"}

@@ -32,16 +32,21 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pubweave.llm.common import small_batches, whole_text
 from pubweave.llm.pieces import ragged
 
-#: Bytes of text whose ids a Python worker remembers, with what an entry takes
-#: besides; beyond that it starts anew.
-KNOWN_BYTES = 320 << 20
-ENTRY_BYTES = 150
+#: Bytes that a Python worker holds of chunks and their ids; beyond that it starts anew.
+KNOWN_BYTES = 96 << 20
+#: Bytes of rows that are encoded together; a larger batch is by itself.
+GROUP_BYTES = 12 << 20
+#: New chunks that the library gets in one string, and strings in one call.
+JOINED, CALL = 32, 1024
 
 # White space as Unicode has it, and where it is next to a space or a line feed.
 _WHITE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 _WHITE_RUN = f"{_WHITE}[ \n]|[ \n]{_WHITE}"
 _SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
 
+# Chunks that are sure to have no white space in any version of Unicode.
+_VISIBLE = r"^[!-~\p{L}\p{N}]+$"
+
 
 class _Grown:
     """A numpy array that grows at its end."""
@@ -62,8 +67,9 @@ class Encoder:
 
     A token never continues over a space that follows another character than
     white space, nor into or out of a line feed between such characters, so a text
-    may be cut there and its chunks encoded apart.  Chunks are split and reduced to
-    the different ones of a batch by Arrow; only those are looked up.
+    may be cut there and its chunks encoded apart.  Chunks are split and numbered by
+    Arrow, those known before first; numpy looks up their ids by number.  New ones go
+    to the library as lines of a few strings, where line feeds end their ids.
     """
 
     def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
@@ -72,6 +78,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known_bytes = known_bytes
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: The id of a line feed; None if chunks cannot be told apart by it.
+        self.feed = feed[0] if len(feed) == 1 and self.tokenizer.normalizer is None else None
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Tokens that the library looks for before it cuts a text into words.
+        self.added = "|".join(re.escape(token.content) for token in added)
         self._forget()
 
     @property
@@ -79,12 +91,15 @@ class Encoder:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _forget(self) -> None:
-        #: Slots of chunks after a space, and of those that begin without one.
-        self.spaced: dict[str, int] = {}
-        self.bare: dict[str, int] = {}
-        self.at, self.length = _Grown(np.int64), _Grown(np.int64)
+        self.chunks = pa.array([], pa.string())
+        #: Per chunk the slot of its ids after a space, and where it begins without one.
+        self.slot = _Grown(np.int32)
+        self.at, self.length = _Grown(np.int64), _Grown(np.int32)
         self.pool = _Grown(np.uint32)
-        self.bytes = 0
+
+    def _held(self) -> int:
+        grown = (self.slot, self.at, self.length, self.pool)
+        return self.chunks.nbytes + sum(g.held.nbytes for g in grown)
 
     @staticmethod
     def split(texts: pa.StringArray) -> tuple[pa.ListArray, np.ndarray]:
@@ -105,27 +120,58 @@ class Encoder:
         whole = pa.concat_arrays([plain, pa.array(slow, plain.type)])
         return whole.take(pa.array(order)), ~odd
 
-    def _slots(self, chunks: list[str], known: dict[str, int], lead: str) -> np.ndarray:
-        """Places of the ids of different chunks; those not known yet are encoded."""
-        new = [c for c in chunks if c not in known]
-        if new:
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts as the library has them, and the number of ids of each."""
+        ids, counts = [], []
+        for first in range(0, len(texts), CALL):
             found = self.tokenizer.encode_batch_fast(
-                [lead + c for c in new] if lead else new, add_special_tokens=False
+                texts[first : first + CALL], add_special_tokens=False
             )
-            ids = [e.ids for e in found]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            known.update(zip(new, range(self.at.size, self.at.size + len(new))))
+            each = [e.ids for e in found]
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+            ids.append(np.fromiter(chain.from_iterable(each), np.uint32, counts[-1].sum()))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _apart(self, chunks: pa.StringArray, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        return self._library([lead + c for c in chunks.to_pylist()])
+
+    def _joined(self, chunks: pa.StringArray, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_apart``, of chunks without white space and added tokens."""
+        bounds = np.append(np.arange(0, len(chunks), JOINED), len(chunks))
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), chunks)
+        lines = pc.binary_join(lists, f"\n{lead}").to_pylist()
+        ids, counts = self._library([f"{lead}{line}\n" for line in lines])
+        feeds = np.flatnonzero(ids == self.feed)
+        if len(feeds) != len(chunks) or np.any(feeds[bounds[1:] - 1] + 1 != np.cumsum(counts)):
+            return self._apart(chunks, lead)
+        return np.delete(ids, feeds), np.diff(feeds, prepend=-1) - 1
+
+    def _learn(self, keys: np.ndarray, lead: str) -> None:
+        """Encode the chunks of these places in ``slot``."""
+        chunks = self.chunks.take(pa.array(keys >> 1))
+        plain = np.zeros(len(keys), bool)
+        if self.feed is not None:
+            plain = pc.match_substring_regex(chunks, _VISIBLE)
+            if self.added:
+                special = pc.match_substring_regex(chunks, self.added)
+                plain = pc.and_not(plain, special)
+            plain = plain.to_numpy(zero_copy_only=False)
+        for mask, encoded in ((plain, self._joined), (~plain, self._apart)):
+            if not mask.any():
+                continue
+            ids, counts = encoded(chunks.filter(pa.array(mask)), lead)
+            self.slot.held[keys[mask]] = self.at.size + np.arange(len(counts))
             self.at.add(self.pool.size + np.cumsum(counts) - counts)
             self.length.add(counts)
-            self.pool.add(np.fromiter(chain.from_iterable(ids), np.uint32, counts.sum()))
-            self.bytes += sum(map(len, new)) + len(new) * ENTRY_BYTES
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            self.pool.add(ids)
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
-        if self.bytes > self.known_bytes:
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self._held() > self.known_bytes:
             self._forget()
-        split, has_feeds = self.split(texts)
+        split, has_feeds = self.split(texts.cast(pa.string()))
         flat = split.flatten()
         lengths = pc.list_value_length(split).to_numpy()
         bounds = np.append(0, np.cumsum(lengths, dtype=np.int64))
@@ -136,18 +182,38 @@ class Encoder:
         )
         bare[:-1] |= feed
         bare[1:] |= feed
-        bare = bare[:-1]
-        slots = np.zeros(len(flat), np.int64)
-        for mask, known, lead in ((bare, self.bare, ""), (~bare, self.spaced, " ")):
-            chosen = flat.filter(pa.array(mask)).dictionary_encode()
-            places = self._slots(chosen.dictionary.to_pylist(), known, lead)
-            slots[mask] = places[chosen.indices.to_numpy()]
+        # Chunks known before keep their numbers, new ones follow.
+        coded = pa.chunked_array([self.chunks, flat]).dictionary_encode().chunks[-1]
+        self.chunks = coded.dictionary
+        self.slot.add(np.full(2 * len(self.chunks) - self.slot.size, -1, np.int32))
+        keys = 2 * coded.indices.to_numpy().astype(np.int64) + bare[:-1]
+        slots = self.slot.held[keys]
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = np.unique(keys[missing])
+            for is_bare, lead in ((1, ""), (0, " ")):
+                if len(chosen := new[new & 1 == is_bare]):
+                    self._learn(chosen, lead)
+            slots[missing] = self.slot.held[keys[missing]]
         counts = self.length.held[slots]
         ids = self.pool.held[ragged(self.at.held[slots], counts)]
         ends = np.append(0, np.cumsum(counts))
         return ids, np.diff(ends[bounds])
 
 
+def grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """All rows in order, as many batches together as have up to ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -217,7 +283,7 @@ def write_token_files(
         ends, doc_ids = [np.zeros(1, np.int64)], []
         total = 0
         out = None
-        for batch in batches:
+        for batch in grouped(batches, GROUP_BYTES):
             if not batch.num_rows:
                 continue
             if out is None:

@@ -22,7 +22,7 @@ from pubweave.llm.pieces import Pieces
 from pubweave.llm.sharding import pack, shard_documents
 from pubweave.llm.shingles import utf8, word_hashes
 from pubweave.llm.spelling import decompose, lists_to_merge, spelling_variants
-from pubweave.llm.token_files import Encoder
+from pubweave.llm.token_files import Encoder, grouped
 
 
 @pytest.fixture(scope="module")
@@ -379,6 +379,68 @@ def test_token_chunks_equal_library(known_bytes):
             assert found.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+class Watched:
+    """A tokenizer that keeps the strings it gets in batches."""
+
+    def __init__(self, library):
+        self.library, self.seen = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += texts
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def chunky_texts():
+    """20,000 different words, in texts with line feeds, special tokens and white space."""
+    rng = random.Random(7)
+    ends = ["", ".", ",", "'s", "é", "日本", "😀", "<|endoftext|>", "\u200b", "\u180e"]
+    texts = []
+    for i in range(200):
+        stems = ("".join(rng.choices("abcdefgé", k=9)) for _ in range(100))
+        words = [f"{stem}{i}{rng.choice(ends)}" for stem in stems]
+        words[9] += "\x85" if i % 8 == 7 else ""
+        texts.append(rng.choice([" ", " ", " ", "\n"]).join(words))
+    return texts
+
+
+def test_library_gets_new_chunks_joined_and_once():
+    encoder, texts = Encoder(public_tokenizers.path("byte_bpe_50k.json")), chunky_texts()
+    library = encoder.tokenizer
+    expected = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    encoder.tokenizer = watched = Watched(library)
+    ids, counts = encoder.encode(pa.array(texts))
+    assert [s.tolist() for s in np.split(ids, np.cumsum(counts)[:-1])] == expected
+    assert len(watched.seen) < 12_000  # of over 19,000 chunks, a third is not sure to be visible
+    watched.seen.clear()
+    ids, counts = encoder.encode(pa.array(texts[::-1]))
+    assert [s.tolist() for s in np.split(ids, np.cumsum(counts)[:-1])] == expected[::-1]
+    assert not watched.seen
+    plain = [f"the {'abcdefgh'[i % 8]}{i} word" for i in range(8000)]
+    encoder.encode(pa.array(plain))
+    assert len(watched.seen) < 400  # 8,000 new chunks
+
+
+def test_joined_chunks_that_cannot_be_told_apart_are_encoded_apart():
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [text for text in chunky_texts() if "\x85" not in text]
+    texts += [text.replace("\x85", "") for text in chunky_texts()]
+    expected = [encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    encoder.tokenizer.enable_truncation(60)  # cuts joined strings, no single chunk
+    ids, counts = encoder.encode(pa.array(texts))
+    assert [s.tolist() for s in np.split(ids, np.cumsum(counts)[:-1])] == expected
+
+
+def test_groups_of_batches_keep_all_rows_in_order():
+    batches = [pa.RecordBatch.from_pydict({"n": range(i, i + 10)}) for i in range(0, 95, 10)]
+    batches.insert(3, batches[0].slice(0, 0))
+    whole = [n for batch in batches for n in batch["n"].to_pylist()]
+    for most in (0, 100, 170, 1 << 20):
+        groups = list(grouped(iter(batches), most))
+        assert [n for group in groups for n in group["n"].to_pylist()] == whole
+        assert all(group.nbytes <= max(most, 80) for group in groups)
+    assert len(groups) == 1 and not list(grouped(iter([]), 100))
+
+
 def test_very_long_words():
     import time
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -46,6 +47,8 @@ _SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
 
 # Chunks that are sure to have no white space in any version of Unicode.
 _VISIBLE = r"^[!-~\p{L}\p{N}]+$"
+# Ends of words that are letters or digits in any version of Unicode.
+_WORD_END = "[0-9A-Za-zÀ-ÖØ-öø-ſ]$"
 
 
 class _Grown:
@@ -67,9 +70,10 @@ class Encoder:
 
     A token never continues over a space that follows another character than
     white space, nor into or out of a line feed between such characters, so a text
-    may be cut there and its chunks encoded apart.  Chunks are split and numbered by
-    Arrow, those known before first; numpy looks up their ids by number.  New ones go
-    to the library as lines of a few strings, where line feeds end their ids.
+    may be cut there and its chunks encoded apart; nor from a letter or digit into
+    the signs that end a chunk.  Chunks are split, numbered and parted from such signs by
+    Arrow, then numbered with those known before; numpy looks up their ids by number.  New
+    ones go to the library as lines of a few strings, where line feeds end their ids.
     """
 
     def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
@@ -84,6 +88,11 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         #: Tokens that the library looks for before it cuts a text into words.
         self.added = "|".join(re.escape(token.content) for token in added)
+        pieces = self.tokenizer.pre_tokenizer
+        #: Whether words end where signs begin.
+        self.parted = self.feed is not None and pieces is not None and all(
+            len(pieces.pre_tokenize_str(word)) == 2 for word in ("é.", "a!?", "7),")
+        )
         self._forget()
 
     @property
@@ -146,16 +155,36 @@ class Encoder:
             return self._apart(chunks, lead)
         return np.delete(ids, feeds), np.diff(feeds, prepend=-1) - 1
 
+    def _special(self, chunks: pa.StringArray) -> np.ndarray:
+        """Which chunks have added tokens in them."""
+        if not self.added:
+            return np.zeros(len(chunks), bool)
+        return pc.match_substring_regex(chunks, self.added).to_numpy(zero_copy_only=False)
+
+    def _part(self, chunks: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray, np.ndarray]:
+        """Chunks without the signs that end them, these signs, and the rows that have some."""
+        none = np.zeros(0, np.int64)
+        if not self.parted:
+            return chunks, chunks.slice(0, 0), none
+        words = pc.ascii_rtrim(chunks, string.punctuation)
+        ending = pc.match_substring_regex(words, _WORD_END).to_numpy(zero_copy_only=False)
+        shorter = pc.not_equal(pc.binary_length(words), pc.binary_length(chunks))
+        parted = ending & shorter.to_numpy(zero_copy_only=False) & ~self._special(chunks)
+        rows = np.flatnonzero(parted)
+        if not len(rows):
+            return chunks, chunks.slice(0, 0), none
+        # Signs are ASCII, so they are as many bytes as the difference.
+        whole = chunks.take(pa.array(rows))
+        signs = pc.replace_substring_regex(whole, "(?s)^.*[^!-/:-@\\[-`{-~]", "")
+        return pc.if_else(pa.array(parted), words, chunks), signs, rows
+
     def _learn(self, keys: np.ndarray, lead: str) -> None:
         """Encode the chunks of these places in ``slot``."""
         chunks = self.chunks.take(pa.array(keys >> 1))
         plain = np.zeros(len(keys), bool)
         if self.feed is not None:
-            plain = pc.match_substring_regex(chunks, _VISIBLE)
-            if self.added:
-                special = pc.match_substring_regex(chunks, self.added)
-                plain = pc.and_not(plain, special)
-            plain = plain.to_numpy(zero_copy_only=False)
+            visible = pc.match_substring_regex(chunks, _VISIBLE)
+            plain = visible.to_numpy(zero_copy_only=False) & ~self._special(chunks)
         for mask, encoded in ((plain, self._joined), (~plain, self._apart)):
             if not mask.any():
                 continue
@@ -182,21 +211,39 @@ class Encoder:
         )
         bare[:-1] |= feed
         bare[1:] |= feed
+        numbered = flat.dictionary_encode()
+        keys = 2 * numbered.indices.to_numpy().astype(np.int64) + bare[:-1]
+        # Different chunks, after a space and without one, as far as they are there.
+        there = np.zeros(2 * len(numbered.dictionary), bool)
+        there[keys] = True
+        chosen = np.flatnonzero(there)
+        words, signs, ending = self._part(numbered.dictionary)
         # Chunks known before keep their numbers, new ones follow.
-        coded = pa.chunked_array([self.chunks, flat]).dictionary_encode().chunks[-1]
-        self.chunks = coded.dictionary
+        coded = pa.chunked_array([self.chunks, words, signs]).dictionary_encode().chunks
+        self.chunks = coded[-1].dictionary
         self.slot.add(np.full(2 * len(self.chunks) - self.slot.size, -1, np.int32))
-        keys = 2 * coded.indices.to_numpy().astype(np.int64) + bare[:-1]
-        slots = self.slot.held[keys]
-        missing = np.flatnonzero(slots < 0)
-        if len(missing):
-            new = np.unique(keys[missing])
-            for is_bare, lead in ((1, ""), (0, " ")):
-                if len(chosen := new[new & 1 == is_bare]):
-                    self._learn(chosen, lead)
-            slots[missing] = self.slot.held[keys[missing]]
-        counts = self.length.held[slots]
-        ids = self.pool.held[ragged(self.at.held[slots], counts)]
+        codes = np.concatenate([c.indices.to_numpy() for c in coded])
+        codes = codes[len(codes) - len(words) - len(signs) :].astype(np.int64)
+        first = 2 * codes[chosen >> 1] + (chosen & 1)
+        then = np.full(len(words), -1)
+        then[ending] = 2 * codes[len(words) :] + 1
+        then = then[chosen >> 1]
+        used = np.zeros(self.slot.size, bool)
+        used[first] = used[then[then >= 0]] = True
+        new = np.flatnonzero(used & (self.slot.held[: self.slot.size] < 0))
+        for is_bare, lead in ((1, ""), (0, " ")):
+            if len(some := new[new & 1 == is_bare]):
+                self._learn(some, lead)
+        # Ids of the different chunks, those of the word before those of the signs.
+        slots = np.stack([self.slot.held[first], self.slot.held[np.maximum(then, 0)]], axis=1)
+        sizes = self.length.held[slots]
+        sizes[then < 0, 1] = 0
+        pool = self.pool.held[ragged(self.at.held[slots].ravel(), sizes.ravel())]
+        sizes = sizes.sum(axis=1)
+        place = np.cumsum(there) - 1
+        rows = place[keys]
+        counts = sizes[rows]
+        ids = pool[ragged((np.cumsum(sizes) - sizes)[rows], counts)]
         ends = np.append(0, np.cumsum(counts))
         return ids, np.diff(ends[bounds])
 

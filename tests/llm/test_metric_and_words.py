@@ -420,6 +420,22 @@ def test_library_gets_new_chunks_joined_and_once():
     assert len(watched.seen) < 400  # 8,000 new chunks
 
 
+def test_words_are_known_whatever_signs_end_them():
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library = encoder.tokenizer
+    encoder.encode(pa.array(["the word ends, don't né 42"]))
+    encoder.tokenizer = watched = Watched(library)
+    texts = ["the word. ends? don't!? word, né.", "the word!) ends's ends', né<|endoftext|>. 42.-",
+             "the word×. 42, word_\n"]
+    ids, counts = encoder.encode(pa.array(texts))
+    assert [s.tolist() for s in np.split(ids, np.cumsum(counts)[:-1])] == [
+        library.encode(text, add_special_tokens=False).ids for text in texts
+    ]
+    lines = {line.strip() for seen in watched.seen for line in seen.split("\n")}
+    assert {"ends's", "né<|endoftext|>.", "word×."} <= lines
+    assert not lines & {"word", "word.", "word!)", "word_", "ends?", "ends',", "né.", "42,"}
+
+
 def test_joined_chunks_that_cannot_be_told_apart_are_encoded_apart():
     encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [text for text in chunky_texts() if "\x85" not in text]
